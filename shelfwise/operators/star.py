@@ -60,11 +60,11 @@ def star_join(fact: DataFrame, dims: list[DimSpec], need: set[str] | None = None
         keep: list[DimSpec] = []
         required_keys: set[str] = set()
         for spec in reversed(dims):
-            contributes = any(alias.lower() in needed for _, alias in spec.out_columns())
-            carries = any(carried(spec.name, c) in required_keys for c in spec.carry)
-            if contributes or carries:
+            provides = {alias.lower() for _, alias in spec.out_columns()}
+            provides |= {carried(spec.name, c).lower() for c in spec.carry}
+            if provides & (needed | required_keys):
                 keep.append(spec)
-                required_keys.update(_keys(spec.left_on))
+                required_keys.update(k.lower() for k in _keys(spec.left_on))
         active = list(reversed(keep))
 
     out = fact

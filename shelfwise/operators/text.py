@@ -33,7 +33,7 @@ STOP_WORDS = [
     "this", "that", "with", "from", "they", "will", "would", "there", "their", "what", "about", "which",
     "when", "were", "been", "into", "than", "then", "them", "these", "some", "such", "also", "more",
     "les", "des", "une", "est", "pas", "pour", "par", "sur", "dans", "avec", "que", "qui", "aux", "ces",
-    "los", "las", "del", "por", "con", "una", "para", "como", "que", "sus", "mas",
+    "los", "las", "del", "por", "con", "una", "para", "como", "sus", "mas",
     "der", "die", "das", "und", "ein", "eine", "ist", "nicht", "mit", "von", "den", "dem", "auf", "für",
 ]
 TOKEN_SPLIT = r"[^\p{L}]+"
@@ -144,12 +144,18 @@ def cosine_topk_many(corpus: DataFrame, id_col: str, vec_col: str, queries: Data
     return out
 
 
+def _enrich(hits: DataFrame, products: DataFrame, status: DataFrame, product_cols: list[str],
+            status_cols: list[str]) -> DataFrame:
+    h = hits.select(F.col("productkey").alias("__hk"), "score")
+    p = products.select(F.col("ProductKey").alias("__pk"), *product_cols)
+    s = status.select(F.col("ProductKey").alias("__sk"), *status_cols)
+    return (h.join(p, F.col("__hk") == F.col("__pk"), "left")
+             .join(s, F.col("__hk") == F.col("__sk"), "left"))
+
+
 def search_enriched(hits: DataFrame, products: DataFrame, status: DataFrame) -> DataFrame:
     """Hits LEFT JOIN product LEFT JOIN inventory status, best score first."""
-    p = products.select("ProductKey", "EnglishProductName", "Weight", "Size")
-    s = status.select("ProductKey", "HasStock", "Margin_Pct")
-    j = hits.join(p, hits.productkey == p.ProductKey, "left").drop("ProductKey") \
-            .join(s, hits.productkey == s.ProductKey, "left")
+    j = _enrich(hits, products, status, ["EnglishProductName", "Weight", "Size"], ["HasStock", "Margin_Pct"])
     return j.select(F.col("EnglishProductName").alias("Bike Name"), "Weight", "Size",
                     F.col("HasStock").alias("Has Stock"), F.col("Margin_Pct").alias("Margin"),
                     F.col("score").alias("Similarity")).orderBy(F.desc("Similarity"))
@@ -157,10 +163,9 @@ def search_enriched(hits: DataFrame, products: DataFrame, status: DataFrame) ->
 
 def search_described(hits: DataFrame, products: DataFrame, status: DataFrame) -> DataFrame:
     """Hits with name, description, stock flags and margin."""
-    p = products.select("ProductKey", "EnglishProductName", "EnglishDescription")
-    s = status.select(F.col("ProductKey").alias("__sk"), "HasStock", "WeeksUntilStockAvailable", "Margin_Pct")
-    j = hits.join(p, hits.productkey == p.ProductKey, "left").join(s, F.col("productkey") == F.col("__sk"), "left")
-    return j.select("productkey", "EnglishProductName", "EnglishDescription", "HasStock",
+    j = _enrich(hits, products, status, ["EnglishProductName", "EnglishDescription"],
+                ["HasStock", "WeeksUntilStockAvailable", "Margin_Pct"])
+    return j.select(F.col("__hk").alias("productkey"), "EnglishProductName", "EnglishDescription", "HasStock",
                     "WeeksUntilStockAvailable", "Margin_Pct")
 
 

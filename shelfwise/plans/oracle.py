@@ -399,9 +399,9 @@ qvec AS (SELECT embedding AS q FROM emb WHERE vec_id = {C.QUERY_VEC_ID} LIMIT 1)
 hits AS (
   SELECT vec_id AS productkey, round(score, 6) AS score FROM (
     SELECT e.vec_id,
-           list_sum(list_transform(list_zip(e.embedding, qv.q), x -> CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))
-           / nullif(sqrt(list_sum(list_transform(e.embedding, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))
-                    * sqrt(list_sum(list_transform(qv.q, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 0) AS score
+           list_sum(list_transform(list_zip(e.embedding, qv.q), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))
+           / nullif(sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))
+                    * sqrt(list_sum(list_transform(qv.q, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 0) AS score
     FROM emb e CROSS JOIN qvec qv)
   ORDER BY score DESC NULLS LAST, vec_id LIMIT {C.SEARCH_K}),
 returns AS (SELECT l_orderkey AS OrderNumber, l_linenumber AS LineNumber FROM lineitem WHERE l_returnflag = 'R'),
@@ -586,9 +586,9 @@ BODIES = {
                    AS rank
           FROM (SELECT label, arg_min(embedding, vec_id) AS q FROM emb GROUP BY 1) q CROSS JOIN emb e
           CROSS JOIN LATERAL (SELECT
-            list_sum(list_transform(list_zip(e.embedding, q.q), x -> CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))
-            / nullif(sqrt(list_sum(list_transform(e.embedding, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))
-                     * sqrt(list_sum(list_transform(q.q, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 0) AS score) s)
+            list_sum(list_transform(list_zip(e.embedding, q.q), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))
+            / nullif(sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))
+                     * sqrt(list_sum(list_transform(q.q, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 0) AS score) s)
         WHERE rank <= 3""",
     "search_enriched": """SELECT p.EnglishProductName AS "Bike Name", p.Weight, p.Size, i.HasStock AS "Has Stock",
                                  i.Margin_Pct AS Margin, js.score AS Similarity

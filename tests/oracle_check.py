@@ -77,7 +77,7 @@ def main():
             rec["spark_rows"] = len(srows)
             rec["spark_sec"] = round(time.time() - t0, 2)
         except Exception as e:  # noqa: BLE001
-            rec["spark_error"] = repr(e)[:800]
+            rec["spark_error"] = str(e).splitlines()[0][:600]
             report[name] = rec
             print(name, json.dumps(rec), flush=True)
             continue
@@ -101,7 +101,7 @@ def main():
                     rec["only_spark"] = [str(x)[:300] for x in list((a - b).elements())[:3]]
                     rec["only_duck"] = [str(x)[:300] for x in list((b - a).elements())[:3]]
             except Exception as e:  # noqa: BLE001
-                rec["duck_error"] = repr(e)[:800]
+                rec["duck_error"] = str(e).splitlines()[0][:600]
         else:
             rec["oracle"] = "none"
         report[name] = rec
