@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import badge
-from shelfwise.operators.ranking import with_percent_rank
+from shelfwise.operators.ranking import with_percent_rank, with_percent_ranks
 
 CUSTOMER_ATTRS = ["FirstName", "LastName", "Gender", "HouseOwnerFlag", "NumberCarsOwned",
                   "CommuteDistance", "YearlyIncome"]
@@ -51,11 +51,18 @@ def add_score_quartiles(df: DataFrame, tiebreak: str, column: str = "score") ->
 
 
 def customer_ranks(scores: DataFrame) -> DataFrame:
-    """Score quartiles first, then spend and purchase probability, all tie-broken by revenue."""
-    df = add_score_quartiles(scores, "rev")
-    for column in ("spend", "purchase_prob"):
-        df = add_quartiles(df, column, "rev")
-    return df
+    """C18+C19 together: score quartiles (NULL -> 0 -> quartile 0) and spend / purchase
+    probability quartiles, all tie-broken by revenue. The scored input is materialised
+    once and the three exact global ranks are computed from it side by side."""
+    t = scores.schema["score"].dataType
+    base = scores.withColumn("score", F.coalesce(F.col("score"), F.lit(0).cast(t)))
+    specs = [([(c, True), ("rev", True)], f"{c}_rank") for c in ("score", "spend", "purchase_prob")]
+    out = with_percent_ranks(base, specs)
+    return out.select(
+        *scores.columns, "score_rank",
+        F.when(F.col("score") == 0, 0).otherwise(_quartile(F.col("score_rank"))).alias("score_quartile"),
+        "spend_rank", _quartile(F.col("spend_rank")).alias("spend_quartile"),
+        "purchase_prob_rank", _quartile(F.col("purchase_prob_rank")).alias("purchase_prob_quartile"))
 
 
 def _per_customer(sales: DataFrame) -> DataFrame:

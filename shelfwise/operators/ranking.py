@@ -49,8 +49,7 @@ def global_rank_table(df: DataFrame, keys: list[tuple[str, bool]],
     distinct = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__m"))
     ranged = distinct.repartitionByRange(n, *_sort_cols(keys)) \
                      .withColumn("__pid", F.spark_partition_id())
-    checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged)
     local_w = (Window.partitionBy("__pid").orderBy(*_sort_cols(keys))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumn("__upto", F.sum("__m").over(local_w))
@@ -64,24 +63,50 @@ def global_rank_table(df: DataFrame, keys: list[tuple[str, bool]],
     return ranked.select(*names, rank.alias("rank"), F.col("__m").alias("mult"), "total")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir``: cuts lineage so an
+    input read by several rank passes is computed once and survives executor loss."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _pr(rank_col: str = "rank", total_col: str = "total") -> Column:
+    return F.when(F.col(total_col) <= 1, F.lit(0.0)).otherwise(
+        (F.col(rank_col) - 1).cast("double") / (F.col(total_col) - 1).cast("double"))
+
+
+def with_percent_ranks(df: DataFrame, specs: list[tuple[list[tuple[str, bool]], str]],
+                       num_partitions: int | None = None, checkpoint_input: bool = True) -> DataFrame:
+    """``df`` plus one percent_rank column per (keys, out_col) spec, each over the whole frame.
+
+    The input is materialised once, every rank table is derived from it, and the
+    tables are joined back to it — no pass re-executes another pass's lineage.
+    """
+    base = materialize(df) if checkpoint_input else df
+    out = base
+    for keys, out_col in specs:
+        names = [c for c, _ in keys]
+        table = global_rank_table(base, keys, num_partitions)
+        out = _join_on_keys(out, table.select(*names, _pr().alias(out_col)), names)
+    return out
+
+
 def with_percent_rank(df: DataFrame, keys: list[tuple[str, bool]], out_col: str,
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, checkpoint_input: bool = False) -> DataFrame:
     """``df`` plus ``out_col`` = percent_rank() over ORDER BY keys (whole frame)."""
-    table = global_rank_table(df, keys, num_partitions)
-    pr = F.when(F.col("total") <= 1, F.lit(0.0)).otherwise(
-        (F.col("rank") - 1).cast("double") / (F.col("total") - 1).cast("double"))
-    table = table.select(*[c for c, _ in keys], pr.alias(out_col))
-    return _join_on_keys(df, table, [c for c, _ in keys])
+    return with_percent_ranks(df, [(keys, out_col)], num_partitions, checkpoint_input)
 
 
 def with_row_number(df: DataFrame, keys: list[tuple[str, bool]], out_col: str,
-                    count_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
+                    count_col: str | None = None, num_partitions: int | None = None,
+                    checkpoint_input: bool = True) -> DataFrame:
     """``df`` plus ``out_col`` = row_number() over ORDER BY keys; keys must be unique."""
-    table = global_rank_table(df, keys, num_partitions)
+    base = materialize(df) if checkpoint_input else df
+    table = global_rank_table(base, keys, num_partitions)
     cols = [*[c for c, _ in keys], F.col("rank").alias(out_col)]
     if count_col:
         cols.append(F.col("total").alias(count_col))
-    return _join_on_keys(df, table.select(*cols), [c for c, _ in keys])
+    return _join_on_keys(base, table.select(*cols), [c for c, _ in keys])
 
 
 def _join_on_keys(df: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
