@@ -9,6 +9,8 @@ lines = lineitem rows with return flag 'R'.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,10 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import basket, customer, forecast, inventory, mining, propensity, serving, star, text
 from shelfwise.sources import ingest
+from shelfwise.session import checkpoint_dir
 from shelfwise.sources.binding import ANCHOR_CATEGORY, Warehouse, bind
+from shelfwise.sources.raw import read_table
+from shelfwise.streaming import returns as returns_stream
 
 FISCAL_YEAR = 2000
 AS_OF = "2002-01-01"
@@ -414,6 +419,61 @@ def q_shift_dates(spark, sf):
     return ingest.shift_dates(o, ["o_orderdate"], months=132, cutoff="2010-04-30", cutoff_col="o_orderdate")
 
 
+# ------------------------------------------------- sinks (write, read back)
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+# Fixed values of the round-trip catalog over the driver tables: table -> cluster keys.
+DRIVER_CATALOG = {"lineitem": "l_orderkey,l_linenumber", "orders": "o_orderkey", "customer": "c_custkey",
+                  "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
+
+
+def q_ingest_roundtrip(spark, sf):
+    """Catalog-driven clustered ingest, then source vs written row counts."""
+    root = _scratch(spark, "warehouse")
+    read = lambda t: read_table(spark, sf, t)
+    ingest.ingest(spark, read, root, catalog=DRIVER_CATALOG)
+    return ingest.verify_roundtrip(spark, read, root, DRIVER_CATALOG)
+
+
+def q_clustered_write(spark, sf):
+    """The internet-sales fact written range-clustered by (order, line), read back."""
+    path = _scratch(spark, "fact_internet_sales")
+    ingest.write_clustered(bind(spark, sf).fact_internet_sales, ["SalesOrderNumber", "SalesOrderLineNumber"], path)
+    return spark.read.parquet(path)
+
+
+def q_append_returns(spark, sf):
+    """Validated returned lines appended to a returns table, read back."""
+    w = bind(spark, sf)
+    path = _scratch(spark, "fact_returns")
+    ingest.append_returns(_returns(w), w.fact_internet_sales, path)
+    return spark.read.parquet(path)
+
+
+def q_json_export(spark, sf):
+    """Customer metrics exported as JSON lines, read back with the same schema."""
+    m = _metrics(bind(spark, sf))
+    path = _scratch(spark, "customer_metrics_json")
+    ingest.json_export(m, path)
+    return spark.read.schema(m.schema).json(path)
+
+
+def q_returns_stream(spark, sf):
+    """S11+T9 as a stream: returned lines land as files, the stream validates and appends them
+    and their e-mail payloads; returns the payload table."""
+    w = bind(spark, sf)
+    landing, ret_path, pay_path = (_scratch(spark, n) for n in ("returns-landing", "fact_returns", "payloads"))
+    _returns(w).write.parquet(landing)
+    v = sales_view(w, need={"EmailAddress", "FirstName", "LastName", "EnglishProductName", "CustomerKey"})
+    q = returns_stream.start_returns_stream(spark, landing, v, ret_path, pay_path)
+    q.awaitTermination()
+    return spark.read.parquet(pay_path).drop("batch_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in dict(globals()).items() if name.startswith("q_") and callable(fn)
 }

@@ -641,6 +641,47 @@ BODIES = {
                              - CAST(l_extendedprice * 0.6::DOUBLE AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS Profit,
                         CAST(l_extendedprice * 0.6::DOUBLE AS DECIMAL(18,4)) AS TotalProductCost
                  FROM lineitem""",
+    "ingest_roundtrip": """
+        SELECT 'lineitem' AS "table", count(*) AS source_rows, count(*) AS written_rows FROM lineitem
+        UNION ALL SELECT 'orders', count(*), count(*) FROM orders
+        UNION ALL SELECT 'customer', count(*), count(*) FROM customer
+        UNION ALL SELECT 'part', count(*), count(*) FROM part
+        UNION ALL SELECT 'supplier', count(*), count(*) FROM supplier
+        UNION ALL SELECT 'nation', count(*), count(*) FROM nation
+        UNION ALL SELECT 'region', count(*), count(*) FROM region""",
+    "clustered_write": "SELECT * FROM fact_internet_sales",
+    "append_returns": """SELECT OrderNumber, LineNumber FROM returns r WHERE EXISTS (
+                           SELECT 1 FROM fact_internet_sales s WHERE s.SalesOrderNumber = r.OrderNumber
+                                                                AND s.SalesOrderLineNumber = r.LineNumber)""",
+    "json_export": "SELECT * FROM customer_metrics",
+    "returns_stream": "SELECT * FROM email_json",
+    "training_set": f"""
+        SELECT *, date_diff('day', BirthDate, DATE '{C.AS_OF}') / 365 AS Age FROM (
+          SELECT DISTINCT CustomerKey, BirthDate, MaritalStatus, Gender, YearlyIncome, TotalChildren,
+                 NumberChildrenAtHome, EnglishEducation, EnglishOccupation, HouseOwnerFlag, NumberCarsOwned,
+                 CommuteDistance, 1 AS BikeBuyer
+          FROM v_fact_internet_sales WHERE EnglishProductCategoryName = {_q(C.ANCHOR_CATEGORY)}
+          UNION ALL
+          SELECT DISTINCT a.CustomerKey, a.BirthDate, a.MaritalStatus, a.Gender, a.YearlyIncome, a.TotalChildren,
+                 a.NumberChildrenAtHome, a.EnglishEducation, a.EnglishOccupation, a.HouseOwnerFlag,
+                 a.NumberCarsOwned, a.CommuteDistance, 0 AS BikeBuyer
+          FROM v_fact_internet_sales a
+          WHERE NOT EXISTS (SELECT 1 FROM v_fact_internet_sales b WHERE b.CustomerKey = a.CustomerKey
+                            AND b.EnglishProductCategoryName = {_q(C.ANCHOR_CATEGORY)}))""",
+    "top_products_by_name": f"""
+        , lines AS (
+          SELECT f.SalesOrderNumber AS transaction_id, p.EnglishProductName AS productkey,
+                 coalesce(CASE WHEN s.p_brand = {_q(C.ANCHOR_CATEGORY)} THEN 'Anchor' ELSE p.ModelName END,
+                          'Other') AS category
+          FROM fact_reseller_sales f LEFT JOIN dim_product p ON f.ProductKey = p.ProductKey
+          LEFT JOIN dim_product_subcategory s ON p.ProductSubcategoryKey = s.ProductSubcategoryKey),
+        cnt AS (
+          SELECT b.productkey AS bike_key, o.productkey AS product_key, o.category AS product_category,
+                 count(*) AS count
+          FROM lines b JOIN lines o ON b.transaction_id = o.transaction_id
+          WHERE b.category = 'Anchor' AND o.category <> 'Anchor' GROUP BY ALL)
+        SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY bike_key, product_category ORDER BY count DESC)
+                                      AS INTEGER) AS rank FROM cnt) WHERE rank <= 3""",
     "shift_dates": """SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 132 MONTH AS DATE) AS o_orderdate
                       FROM orders
                       WHERE CAST(CAST(o_orderdate AS DATE) + INTERVAL 132 MONTH AS DATE) < DATE '2010-04-30'

@@ -145,6 +145,18 @@ def ingest(spark: SparkSession, read: Callable[[str], DataFrame], root: str,
     return reconcile(recon)
 
 
+def verify_roundtrip(spark: SparkSession, read: Callable[[str], DataFrame], root: str,
+                     catalog: dict[str, str]) -> DataFrame:
+    """(table, source_rows, written_rows): counts of each source and of its written copy."""
+    parts = []
+    for table in catalog:
+        src = read(table).agg(F.count(F.lit(1)).alias("source_rows"))
+        dst = spark.read.parquet(f"{root}/{snake_name(table)}").agg(F.count(F.lit(1)).alias("written_rows"))
+        parts.append(src.crossJoin(dst).select(F.lit(snake_name(table)).alias("table"), "source_rows",
+                                               "written_rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def append_returns(returns: DataFrame, sales: DataFrame, path: str, validate: bool = True) -> DataFrame:
     """Append (OrderNumber, LineNumber) rows to the returns table as one job.
     With ``validate`` only lines that exist in ``sales`` are appended (left-semi join)."""
