@@ -12,17 +12,27 @@ CUSTOMER_ATTRS = ["FirstName", "LastName", "Gender", "HouseOwnerFlag", "NumberCa
                   "CommuteDistance", "YearlyIncome"]
 
 
-def customer_revenue(sales: DataFrame) -> DataFrame:
-    """(customerkey, rev) = sum(SalesAmount) per customer."""
+def customer_revenue(sales: DataFrame, amount_col: str = "SalesAmount") -> DataFrame:
+    """(customerkey, rev) = sum(SalesAmount) per customer (also accepts the order
+    summary with ``amount_col="a"``: the same sum, one level up)."""
     return sales.groupBy(F.col("CustomerKey").alias("customerkey")) \
-                .agg(F.sum("SalesAmount").cast("double").alias("rev"))
+                .agg(F.sum(amount_col).cast("double").alias("rev"))
 
 
-def model_scores(spend: DataFrame, purchase: DataFrame, rev: DataFrame, score: DataFrame) -> DataFrame:
-    """C17: spend LEFT JOIN purchase, revenue, propensity score on customerkey (spend drives)."""
-    return (spend.join(purchase.select("customerkey", "purchase_prob"), "customerkey", "left")
-                 .join(rev.select("customerkey", "rev"), "customerkey", "left")
-                 .join(score.select("customerkey", "score"), "customerkey", "left"))
+def model_scores(spend: DataFrame, purchase: DataFrame | None, rev: DataFrame | None,
+                 score: DataFrame) -> DataFrame:
+    """C17: spend LEFT JOIN purchase, revenue, propensity score on customerkey (spend drives).
+
+    ``purchase`` / ``rev`` may be None when ``spend`` already carries those columns
+    (computed in the same aggregate), which saves a join and a scan each.
+    """
+    out = spend
+    if purchase is not None:
+        out = out.join(purchase.select("customerkey", "purchase_prob"), "customerkey", "left")
+    if rev is not None:
+        out = out.join(rev.select("customerkey", "rev"), "customerkey", "left")
+    out = out.join(score.select("customerkey", "score"), "customerkey", "left")
+    return out.select("customerkey", "spend", "purchase_prob", "rev", "score")
 
 
 # percent_rank quartile edges.
@@ -65,22 +75,31 @@ def customer_ranks(scores: DataFrame) -> DataFrame:
         "purchase_prob_rank", _quartile(F.col("purchase_prob_rank")).alias("purchase_prob_quartile"))
 
 
-def _per_customer(sales: DataFrame) -> DataFrame:
-    """Two-level aggregate: (customer, order) then customer. Both levels combine map-side."""
-    per_order = sales.groupBy("CustomerKey", "SalesOrderNumber").agg(
+def order_summary(sales: DataFrame) -> DataFrame:
+    """Per (customer, order): units, amounts, their non-null counts, order date range, lines.
+
+    The shared first aggregation level of every per-customer dataset: built once
+    per query, its shuffle is reused by all consumers (metrics, population
+    averages, revenue, recency-based inputs), so the fact is scanned once for them.
+    """
+    return sales.groupBy("CustomerKey", "SalesOrderNumber").agg(
         F.sum("OrderQuantity").alias("u"), F.count("OrderQuantity").alias("nu"),
         F.sum("SalesAmount").alias("a"), F.count("SalesAmount").alias("na"),
-        F.min("OrderDate").alias("d0"), F.max("OrderDate").alias("d1"))
-    return per_order.groupBy("CustomerKey").agg(
+        F.min("OrderDate").alias("d0"), F.max("OrderDate").alias("d1"), F.count(F.lit(1)).alias("lines"))
+
+
+def _per_customer(orders: DataFrame) -> DataFrame:
+    """Second level: per customer, from the order summary (combines map-side)."""
+    return orders.groupBy("CustomerKey").agg(
         F.count(F.lit(1)).alias("TotalOrders"),
         F.sum("u").alias("TotalUnitsOrdered"), F.sum("nu").alias("__nu"),
         F.sum("a").alias("__amt"), F.sum("na").alias("__na"),
         F.max("d1").alias("LatestOrderDate"), F.min("d0").alias("EarliestOrderDate"))
 
 
-def population_averages(sales: DataFrame) -> DataFrame:
+def population_averages(sales: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """C20: one row: average per-customer order count, units and sales amount."""
-    per = _per_customer(sales)
+    per = _per_customer(orders if orders is not None else order_summary(sales))
     n = F.count(F.lit(1))
     return per.agg(
         (F.sum("TotalOrders").cast("double") / n).alias("AvgTotalOrders"),
@@ -88,15 +107,16 @@ def population_averages(sales: DataFrame) -> DataFrame:
         (F.sum("__amt").cast("double") / n).alias("AvgTotalSalesAmount"))
 
 
-def customer_metrics(sales: DataFrame, customers: DataFrame) -> DataFrame:
+def customer_metrics(sales: DataFrame, customers: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """Per-customer order metrics + population averages (rounded to 1 dp) + attributes.
 
-    Aggregates the fact first and joins the customer attributes to the (much
-    smaller) per-customer result; the one-row population average is attached
-    with a broadcast cross join after aggregation.
+    Aggregates the fact first (two levels, via ``order_summary``) and joins the
+    customer attributes to the much smaller per-customer result; the one-row
+    population average is attached with a broadcast cross join after aggregation.
     """
-    per = _per_customer(sales)
-    pop = population_averages(sales)
+    orders = orders if orders is not None else order_summary(sales)
+    per = _per_customer(orders)
+    pop = population_averages(sales, orders)
     attrs = customers.select("CustomerKey", *CUSTOMER_ATTRS)
     j = per.join(attrs, "CustomerKey", "left").crossJoin(F.broadcast(pop))
     return j.select(

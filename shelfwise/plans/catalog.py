@@ -62,12 +62,12 @@ def _upsells(w: Warehouse) -> DataFrame:
 
 
 def _scores(w: Warehouse) -> DataFrame:
-    rev = customer.customer_revenue(w.fact_internet_sales)
-    return customer.model_scores(w.customer_spend, w.customer_purchase, rev, w.bike_score_input)
+    # spend, purchase probability and revenue come out of one aggregate of the order summary
+    return customer.model_scores(w.customer_inputs, None, None, w.bike_score_input)
 
 
 def _metrics(w: Warehouse) -> DataFrame:
-    return customer.customer_metrics(w.fact_internet_sales, w.dim_customer)
+    return customer.customer_metrics(w.fact_internet_sales, w.dim_customer, orders=w.order_summary)
 
 
 def _customer_360(w: Warehouse) -> DataFrame:
@@ -114,7 +114,8 @@ def q_customer_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_population_averages(spark, sf):
-    return customer.population_averages(bind(spark, sf).fact_internet_sales)
+    w = bind(spark, sf)
+    return customer.population_averages(w.fact_internet_sales, w.order_summary)
 
 
 def q_star_internet_sales(spark, sf):

@@ -175,16 +175,13 @@ dim_department_group AS (SELECT CAST(i AS INTEGER) AS DepartmentGroupKey,
 dim_organization AS (SELECT n_nationkey AS OrganizationKey, n_regionkey AS ParentOrganizationKey,
                             n_name AS OrganizationName, n_nationkey AS CurrencyKey FROM nation),
 customer_spend AS (
-  SELECT c.customerkey, s.spend
-  FROM (SELECT DISTINCT CustomerKey AS customerkey FROM fact_internet_sales) c
-  LEFT JOIN (SELECT CustomerKey AS customerkey, CAST(sum(SalesAmount) AS DOUBLE) AS spend
-             FROM fact_internet_sales
-             WHERE OrderDate > (SELECT max(OrderDate) FROM fact_internet_sales) - 365
-             GROUP BY 1) s ON c.customerkey = s.customerkey),
+  SELECT CustomerKey AS customerkey,
+         CAST(sum(CASE WHEN OrderDate > DATE '{C.AS_OF}' - 365 THEN SalesAmount END) AS DOUBLE) AS spend
+  FROM fact_internet_sales GROUP BY 1),
 customer_purchase AS (
   SELECT CustomerKey AS customerkey,
          count(DISTINCT SalesOrderNumber) / (count(DISTINCT SalesOrderNumber)
-           + date_diff('day', max(OrderDate), (SELECT max(OrderDate) FROM fact_internet_sales))) AS purchase_prob
+           + date_diff('day', max(OrderDate), DATE '{C.AS_OF}')) AS purchase_prob
   FROM fact_internet_sales GROUP BY 1),
 bike_score_input AS (
   SELECT f.CustomerKey AS customerkey,
@@ -263,7 +260,7 @@ bike_upsells AS (
   LEFT JOIN dim_product d ON a.Top_Product_2 = d.ProductKey
   LEFT JOIN dim_product e ON a.Top_Product_3 = e.ProductKey),
 raw_scores AS (
-  SELECT a.*, b.purchase_prob, c.rev, d.score
+  SELECT a.customerkey, a.spend, b.purchase_prob, c.rev, d.score
   FROM customer_spend a
   LEFT JOIN customer_purchase b ON a.customerkey = b.customerkey
   LEFT JOIN (SELECT CustomerKey AS customerkey, CAST(sum(SalesAmount) AS DOUBLE) AS rev

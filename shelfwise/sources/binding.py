@@ -38,6 +38,7 @@ from shelfwise.sources.raw import read_table
 
 # Fixed values of the binding.
 ANCHOR_CATEGORY = "Brand#2"
+SCORE_AS_OF = dt.date(2002, 1, 1)
 CALENDAR_START = dt.date(1990, 1, 1)
 CALENDAR_END = dt.date(2030, 12, 31)
 NUM_NATIONS = 25
@@ -355,27 +356,34 @@ class Warehouse:
             F.col("n_nationkey").alias("CurrencyKey"))
 
     # ----------------------------------------------- inputs with no builder
+    @cached_property
+    def order_summary(self) -> DataFrame:
+        """Per (customer, order) aggregate of internet sales, shared by the customer datasets."""
+        from shelfwise.operators.customer import order_summary
+        return order_summary(self.fact_internet_sales)
+
+    @cached_property
+    def customer_inputs(self) -> DataFrame:
+        """Stand-ins for the unowned spend-prediction and purchase-probability tables, plus
+        revenue, from ONE aggregate of the order summary (relative to ``SCORE_AS_OF``):
+        spend = sales in the 365 days up to the as-of date; purchase_prob =
+        orders / (orders + days from the last order to the as-of date); rev = all sales."""
+        o = self.order_summary
+        asof = F.lit(SCORE_AS_OF)
+        recent = F.when(F.col("d1") > F.date_sub(asof, 365), F.col("a"))
+        g = o.groupBy(F.col("CustomerKey").alias("customerkey")).agg(
+            F.sum(recent).cast("double").alias("spend"), F.count(F.lit(1)).alias("n"),
+            F.max("d1").alias("latest"), F.sum("a").cast("double").alias("rev"))
+        prob = F.col("n") / (F.col("n") + F.datediff(asof, F.col("latest")))
+        return g.select("customerkey", "spend", prob.alias("purchase_prob"), "rev")
+
     @cached_property
     def customer_spend(self) -> DataFrame:
-        """Stand-in for the unowned spend-prediction table: sales in the last 365 days of the data."""
-        s = self.fact_internet_sales
-        last = s.agg(F.max("OrderDate").alias("last_day"))
-        recent = s.crossJoin(F.broadcast(last)).filter(F.col("OrderDate") > F.date_sub("last_day", 365))
-        spend = recent.groupBy(F.col("CustomerKey").alias("customerkey")) \
-                      .agg(F.sum("SalesAmount").cast("double").alias("spend"))
-        every = s.select(F.col("CustomerKey").alias("customerkey")).distinct()
-        return every.join(spend, "customerkey", "left")
+        return self.customer_inputs.select("customerkey", "spend")
 
     @cached_property
     def customer_purchase(self) -> DataFrame:
-        """Stand-in for the unowned purchase-probability table: orders / (orders + days since last order)."""
-        s = self.fact_internet_sales
-        last = s.agg(F.max("OrderDate").alias("last_day"))
-        per = s.groupBy(F.col("CustomerKey").alias("customerkey")).agg(
-            F.countDistinct("SalesOrderNumber").alias("n"), F.max("OrderDate").alias("latest"))
-        j = per.crossJoin(F.broadcast(last))
-        prob = F.col("n") / (F.col("n") + F.datediff("last_day", "latest"))
-        return j.select("customerkey", prob.alias("purchase_prob"))
+        return self.customer_inputs.select("customerkey", "purchase_prob")
 
     @cached_property
     def bike_score_input(self) -> DataFrame:
