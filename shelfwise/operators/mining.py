@@ -16,17 +16,21 @@ DEFAULT_AS_OF = "2002-01-01"
 
 
 def dm_prep(w, as_of: str = DEFAULT_AS_OF) -> DataFrame:
-    """M1: sales INNER JOIN date, product, subcategory, category, customer, geography, territory."""
+    """M1: sales INNER JOIN date, product, subcategory, category, customer, geography, territory.
+
+    Only the calendar (bounded by construction) is broadcast explicitly; the planner
+    sizes the other joins (broadcast under the threshold, sort-merge beyond it).
+    """
     f = w.fact_internet_sales.select("OrderDateKey", "ProductKey", "CustomerKey", "SalesOrderNumber",
                                      "SalesOrderLineNumber", "OrderQuantity", "ExtendedAmount")
     d = F.broadcast(w.dim_date.select(F.col("DateKey").alias("OrderDateKey"), "CalendarYear",
                                       "FiscalYear", "MonthNumberOfYear"))
     p = w.dim_product.select("ProductKey", "ProductSubcategoryKey", "ModelName", "EnglishProductName")
-    sc = F.broadcast(w.dim_product_subcategory.select("ProductSubcategoryKey", "ProductCategoryKey"))
-    pc = F.broadcast(w.dim_product_category.select("ProductCategoryKey", "EnglishProductCategoryName"))
+    sc = w.dim_product_subcategory.select("ProductSubcategoryKey", "ProductCategoryKey")
+    pc = w.dim_product_category.select("ProductCategoryKey", "EnglishProductCategoryName")
     c = w.dim_customer.select("CustomerKey", "GeographyKey", "BirthDate", "YearlyIncome")
-    g = F.broadcast(w.dim_geography.select("GeographyKey", "SalesTerritoryKey"))
-    s = F.broadcast(w.dim_sales_territory.select("SalesTerritoryKey", "SalesTerritoryGroup"))
+    g = w.dim_geography.select("GeographyKey", "SalesTerritoryKey")
+    s = w.dim_sales_territory.select("SalesTerritoryKey", "SalesTerritoryGroup")
     j = (f.join(d, "OrderDateKey").join(p, "ProductKey").join(sc, "ProductSubcategoryKey")
           .join(pc, "ProductCategoryKey").join(c, "CustomerKey").join(g, "GeographyKey")
           .join(s, "SalesTerritoryKey"))

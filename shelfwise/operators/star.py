@@ -2,10 +2,10 @@
 
 One generic ``star_join`` expresses every view as configuration:
 ``SELECT a.*, dim.* EXCEPT(key, ...) [, dim.col AS alias] FROM fact a LEFT JOIN dim ON key``.
-Dimensions of a proven-small size (calendar, geography, currency, category) are
-broadcast explicitly; for the others (customer, product, reseller) AQE picks a
-broadcast at runtime only when the measured size is below the threshold and falls
-back to a sort-merge join beyond it.
+Only a dimension whose size is bounded by construction — the calendar, one row
+per day of a fixed range — is broadcast explicitly. Every other dimension is left
+to the planner: it broadcasts when the (runtime, under AQE) size is below
+``spark.sql.autoBroadcastJoinThreshold`` and uses a sort-merge join beyond it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ class DimSpec:
     except_: tuple[str, ...] = ()  # columns excluded from the star (the key is always excluded)
     rename: dict[str, str] = field(default_factory=dict)  # dim col -> output alias, appended
     carry: tuple[str, ...] = ()    # dim columns kept hidden for later snowflake joins
-    small: bool = False            # proven-bounded size: broadcast explicitly
+    small: bool = False            # size bounded by construction (calendar): broadcast explicitly
     how: str = "left"
 
     def out_columns(self) -> list[tuple[str, str]]:
@@ -99,15 +99,15 @@ def v_fact_call_center(w) -> DataFrame:
 
 def v_fact_currency_rate(w) -> DataFrame:
     return star_join(w.fact_currency_rate, [
-        DimSpec("b", w.dim_currency, "CurrencyKey", "CurrencyKey", small=True),
+        DimSpec("b", w.dim_currency, "CurrencyKey", "CurrencyKey"),
         DimSpec("c", w.dim_date, "DateKey", "DateKey", small=True)])
 
 
 def v_fact_finance(w) -> DataFrame:
     return star_join(w.fact_finance, [
-        DimSpec("b", w.dim_account, "AccountKey", "AccountKey", small=True),
-        DimSpec("c", w.dim_department_group, "DepartmentGroupKey", "DepartmentGroupKey", small=True),
-        DimSpec("d", w.dim_organization, "OrganizationKey", "OrganizationKey", small=True),
+        DimSpec("b", w.dim_account, "AccountKey", "AccountKey"),
+        DimSpec("c", w.dim_department_group, "DepartmentGroupKey", "DepartmentGroupKey"),
+        DimSpec("d", w.dim_organization, "OrganizationKey", "OrganizationKey"),
         DimSpec("e", w.dim_date, "DateKey", "DateKey", small=True)])
 
 
@@ -116,15 +116,15 @@ def _product_chain(w, left_on: str = "ProductKey") -> list[DimSpec]:
     return [
         DimSpec("d", w.dim_product, left_on, "ProductKey"),
         DimSpec("e", w.dim_product_subcategory, "ProductSubcategoryKey", "ProductSubcategoryKey",
-                pick=["EnglishProductSubcategoryName"], carry=("ProductCategoryKey",), small=True),
+                pick=["EnglishProductSubcategoryName"], carry=("ProductCategoryKey",)),
         DimSpec("f", w.dim_product_category, carried("e", "ProductCategoryKey"), "ProductCategoryKey",
-                pick=["EnglishProductCategoryName"], small=True),
+                pick=["EnglishProductCategoryName"]),
     ]
 
 
 def v_fact_internet_sales(w, need: set[str] | None = None) -> DataFrame:
     return star_join(w.fact_internet_sales, [
-        DimSpec("b", w.dim_currency, "CurrencyKey", "CurrencyKey", pick=["CurrencyName"], small=True),
+        DimSpec("b", w.dim_currency, "CurrencyKey", "CurrencyKey", pick=["CurrencyName"]),
         DimSpec("c", w.dim_customer, "CustomerKey", "CustomerKey"),
         *_product_chain(w),
         DimSpec("g", w.dim_date, "OrderDateKey", "DateKey", small=True),
@@ -134,7 +134,7 @@ def v_fact_internet_sales(w, need: set[str] | None = None) -> DataFrame:
 def v_fact_internet_sales_reason(w) -> DataFrame:
     # fact-to-fact LEFT join on the composite (order, line) key is a shuffle join on both keys
     return star_join(w.fact_internet_sales_reason, [
-        DimSpec("b", w.dim_sales_reason, "SalesReasonKey", "SalesReasonKey", small=True),
+        DimSpec("b", w.dim_sales_reason, "SalesReasonKey", "SalesReasonKey"),
         DimSpec("c", w.fact_internet_sales, ("SalesOrderNumber", "SalesOrderLineNumber"),
                 ("SalesOrderNumber", "SalesOrderLineNumber")),
         DimSpec("d", w.dim_date, "OrderDateKey", "DateKey", small=True)])
@@ -143,7 +143,7 @@ def v_fact_internet_sales_reason(w) -> DataFrame:
 def v_fact_reseller_sales(w, need: set[str] | None = None) -> DataFrame:
     emp_renamed = ("StartDate", "EndDate", "Phone", "SalesTerritoryKey", "Status")
     return star_join(w.fact_reseller_sales, [
-        DimSpec("b", w.dim_currency, "CurrencyKey", "CurrencyKey", pick=["CurrencyName"], small=True),
+        DimSpec("b", w.dim_currency, "CurrencyKey", "CurrencyKey", pick=["CurrencyName"]),
         DimSpec("c", w.dim_employee, "EmployeeKey", "EmployeeKey", except_=emp_renamed,
                 rename={c: "Emp" + c for c in emp_renamed}),
         *_product_chain(w),
@@ -157,7 +157,7 @@ def v_fact_sales_quota(w) -> DataFrame:
     return star_join(w.fact_sales_quota, [
         DimSpec("b", w.dim_employee, "EmployeeKey", "EmployeeKey"),
         DimSpec("c", w.dim_date, "DateKey", "DateKey", except_=("CalendarYear", "CalendarQuarter"),
-                small=True)])
+                )])
 
 
 def v_fact_survey_response(w) -> DataFrame:

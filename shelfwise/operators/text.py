@@ -47,8 +47,8 @@ def describable_products(products: DataFrame, subcats: DataFrame, cats: DataFram
     turn them into inner joins.
     """
     sc = subcats.select("ProductSubcategoryKey", "EnglishProductSubcategoryName", "ProductCategoryKey")
-    j = (products.join(F.broadcast(sc), "ProductSubcategoryKey", "left")
-                 .join(F.broadcast(cats), "ProductCategoryKey", "left"))
+    j = (products.join(sc, "ProductSubcategoryKey", "left")
+                 .join(cats, "ProductCategoryKey", "left"))
     return j.filter((F.col("EnglishProductCategoryName") == anchor) & F.col("EnglishDescription").isNotNull())
 
 

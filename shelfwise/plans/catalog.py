@@ -199,7 +199,7 @@ def q_top_products_by_name(spark, sf):
     """Coarser grain where the rank filter bites: basket item = product name, category = type."""
     w = bind(spark, sf)
     p = w.dim_product.select("ProductKey", "EnglishProductName", "ModelName", "ProductSubcategoryKey")
-    brand = F.broadcast(w.dim_product_subcategory.select("ProductSubcategoryKey", "p_brand"))
+    brand = w.dim_product_subcategory.select("ProductSubcategoryKey", "p_brand")
     lines = (w.fact_reseller_sales.select("SalesOrderNumber", "ProductKey").join(p, "ProductKey", "left")
              .join(brand, "ProductSubcategoryKey", "left"))
     cat = F.when(F.col("p_brand") == ANCHOR_CATEGORY, "Anchor").otherwise(F.col("ModelName"))

@@ -230,7 +230,7 @@ class Warehouse:
     @cached_property
     def dim_product(self) -> DataFrame:
         p = self.raw("part")
-        sub = F.broadcast(self.dim_product_subcategory.select("ProductSubcategoryKey", "p_brand", "p_type"))
+        sub = self.dim_product_subcategory.select("ProductSubcategoryKey", "p_brand", "p_type")
         j = p.join(sub, ["p_brand", "p_type"], "left")
         k = F.col("p_partkey")
         desc = F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type"), F.lit(" model by "),
@@ -392,9 +392,9 @@ class Warehouse:
         p = self.dim_product.select("ProductKey", "ProductSubcategoryKey")
         sc = self.dim_product_subcategory.select("ProductSubcategoryKey", "ProductCategoryKey")
         cat = self.dim_product_category
-        lines = (s.join(F.broadcast(p), "ProductKey", "left")
-                 .join(F.broadcast(sc), "ProductSubcategoryKey", "left")
-                 .join(F.broadcast(cat), "ProductCategoryKey", "left"))
+        lines = (s.join(p, "ProductKey", "left")
+                 .join(sc, "ProductSubcategoryKey", "left")
+                 .join(cat, "ProductCategoryKey", "left"))
         per = lines.groupBy(F.col("CustomerKey").alias("customerkey")).agg(
             F.max((F.col("EnglishProductCategoryName") == ANCHOR_CATEGORY).cast("int")).alias("buyer"),
             F.count(F.lit(1)).alias("lines"))
