@@ -105,13 +105,15 @@ dim_product_category AS (
   SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS INTEGER) AS ProductCategoryKey,
          p_brand AS EnglishProductCategoryName FROM part),
 dim_product_subcategory AS (
-  SELECT CAST(dense_rank() OVER (ORDER BY p_brand, p_type) AS INTEGER) AS ProductSubcategoryKey,
+  SELECT CAST(CAST(split_part(p_brand, '#', 2) AS INTEGER) * 1000000 + ascii(p_type) * 1000
+              + ascii(substring(p_type, 2, 1)) AS INTEGER) AS ProductSubcategoryKey,
          concat_ws(' ', p_brand, p_type) AS EnglishProductSubcategoryName,
          CAST(split_part(p_brand, '#', 2) AS INTEGER) AS ProductCategoryKey, p_brand, p_type
   FROM (SELECT DISTINCT p_brand, p_type FROM part)),
 dim_product AS (
   SELECT p.p_partkey AS ProductKey,
-         CASE WHEN p.p_partkey % 13 <> 0 THEN s.ProductSubcategoryKey END AS ProductSubcategoryKey,
+         CASE WHEN p.p_partkey % 13 <> 0 THEN CAST(CAST(split_part(p.p_brand, '#', 2) AS INTEGER) * 1000000
+              + ascii(p.p_type) * 1000 + ascii(substring(p.p_type, 2, 1)) AS INTEGER) END AS ProductSubcategoryKey,
          p.p_name AS EnglishProductName,
          CASE WHEN p.p_partkey % 10 <> 0 THEN p.p_type END AS ModelName,
          CASE WHEN p.p_partkey % 11 <> 0 THEN p.p_name || ' ' || lower(p.p_type) || ' model by ' || p.p_brand
@@ -120,7 +122,7 @@ dim_product AS (
          CASE WHEN p.p_partkey % 7 <> 0 THEN p.p_size * 0.5::DOUBLE END AS Weight,
          p.p_retailprice AS ListPrice, substring(p.p_type, 1, 1) AS ProductLine, 'Current' AS Status,
          DATE '1995-01-01' AS StartDate, CAST(NULL AS DATE) AS EndDate
-  FROM part p LEFT JOIN dim_product_subcategory s ON p.p_brand = s.p_brand AND p.p_type = s.p_type),
+  FROM part p),
 dim_customer AS (
   SELECT c_custkey AS CustomerKey, c_nationkey AS GeographyKey,
          'AW' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS CustomerAlternateKey,

@@ -11,7 +11,8 @@ Rules (fixed values, shared with the oracle in ``plans.oracle``):
   money           = decimal(18,4): ExtendedAmount = l_extendedprice,
                     SalesAmount = l_extendedprice * (1 - l_discount),
                     TotalProductCost = 0.6 * l_extendedprice, Profit = SalesAmount - TotalProductCost
-  category        = p_brand (anchor 'Brand#2'), subcategory = (p_brand, p_type),
+  category        = p_brand (anchor 'Brand#2'), subcategory = (p_brand, p_type) keyed
+                    brand_no * 1e6 + ascii(type[1]) * 1e3 + ascii(type[2]);
                     no subcategory when p_partkey % 13 = 0
   model name      = p_type, NULL when p_partkey % 10 = 0
   weight          = p_size * 0.5, NULL when p_partkey % 7 = 0
@@ -30,7 +31,6 @@ import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import date_key, fiscal_year, money
@@ -46,6 +46,13 @@ EDUCATION = ["Bachelors", "Partial College", "High School", "Graduate Degree", "
 COMMUTE = ["0-1 Miles", "0-1 Miles", "1-2 Miles", "1-2 Miles", "2-5 Miles", "5-10 Miles", "10+ Miles"]
 
 
+def subcategory_key(brand: str, ptype: str):
+    """Subcategory key from (brand, type): brand number * 1e6 + character codes of the
+    type's first two letters — a row-local rule (no global numbering pass)."""
+    return (F.split_part(brand, F.lit("#"), F.lit(2)).cast("int") * 1000000
+            + F.ascii(ptype) * 1000 + F.ascii(F.substring(ptype, 2, 1))).cast("int")
+
+
 def _pick(key, values):
     """values[key % len(values)] as a CASE chain."""
     k = key % len(values)
@@ -218,11 +225,9 @@ class Warehouse:
 
     @cached_property
     def dim_product_subcategory(self) -> DataFrame:
-        # the distinct (brand, type) set is bounded by brands x types: a tiny window
         p = self.raw("part").select("p_brand", "p_type").distinct()
-        w = Window.orderBy("p_brand", "p_type")
         return p.select(
-            F.dense_rank().over(w).cast("int").alias("ProductSubcategoryKey"),
+            subcategory_key("p_brand", "p_type").alias("ProductSubcategoryKey"),
             F.concat_ws(" ", "p_brand", "p_type").alias("EnglishProductSubcategoryName"),
             F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("int").alias("ProductCategoryKey"),
             "p_brand", "p_type")
@@ -230,14 +235,12 @@ class Warehouse:
     @cached_property
     def dim_product(self) -> DataFrame:
         p = self.raw("part")
-        sub = self.dim_product_subcategory.select("ProductSubcategoryKey", "p_brand", "p_type")
-        j = p.join(sub, ["p_brand", "p_type"], "left")
         k = F.col("p_partkey")
         desc = F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type"), F.lit(" model by "),
                         F.col("p_brand"), F.lit(", size "), F.col("p_size").cast("string"))
-        return j.select(
+        return p.select(
             k.alias("ProductKey"),
-            F.when(k % 13 != 0, F.col("ProductSubcategoryKey")).alias("ProductSubcategoryKey"),
+            F.when(k % 13 != 0, subcategory_key("p_brand", "p_type")).alias("ProductSubcategoryKey"),
             F.col("p_name").alias("EnglishProductName"),
             F.when(k % 10 != 0, F.col("p_type")).alias("ModelName"),
             F.when(k % 11 != 0, desc).alias("EnglishDescription"),

@@ -58,3 +58,12 @@ def test_forecast_does_not_build_the_grid(spark):
     plan = _plan(C.q_demand_forecast(spark, SF_SMOKE))
     # one pass over the fact: no explode of a day sequence per product before aggregation
     assert plan.count("Generate") == 1  # only the 28-day horizon
+
+
+def test_binding_dimension_keys_are_unique(spark):
+    w = bind(spark, "/root/testdata/sf0.01")
+    for dim, key in [("dim_product", "ProductKey"), ("dim_product_subcategory", "ProductSubcategoryKey"),
+                     ("dim_product_category", "ProductCategoryKey"), ("dim_customer", "CustomerKey"),
+                     ("dim_date", "DateKey"), ("dim_sales_reason", "SalesReasonKey")]:
+        df = getattr(w, dim)
+        assert df.select(key).distinct().count() == df.count(), dim
