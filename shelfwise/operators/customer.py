@@ -133,12 +133,15 @@ def customer_metrics(sales: DataFrame, customers: DataFrame, orders: DataFrame |
 def customer_upsells(sales_view: DataFrame, upsells: DataFrame) -> DataFrame:
     """(customerkey, upsell_list) — distinct first upsell of every anchor product bought.
 
-    Joined on product *name* (names map to many keys, hence the DISTINCT). The
-    list is sorted for determinism and bounded by the number of distinct upsell names.
+    Joined on product *name* (names map to many keys, hence the DISTINCT). Both
+    sides are reduced to their distinct (customer, name) / (name, upsell) pairs
+    before the join, so repeated lines and repeated names never fan out. The list
+    is sorted for determinism and bounded by the number of distinct upsell names.
     """
-    u = upsells.select(F.col("bike_name").alias("EnglishProductName"), F.col("upsell_1").alias("upsell"))
-    j = sales_view.select(F.col("CustomerKey").alias("customerkey"), "EnglishProductName") \
-                  .join(u, "EnglishProductName", "inner").select("customerkey", "upsell").distinct()
+    u = upsells.select(F.col("bike_name").alias("EnglishProductName"), F.col("upsell_1").alias("upsell")) \
+               .distinct()
+    s = sales_view.select(F.col("CustomerKey").alias("customerkey"), "EnglishProductName").distinct()
+    j = s.join(u, "EnglishProductName", "inner").select("customerkey", "upsell").distinct()
     return j.groupBy("customerkey").agg(F.array_sort(F.collect_list("upsell")).alias("upsell_list"))
 
 
