@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -96,3 +97,16 @@ def test_rank_table_one_row_and_all_equal(spark):
     same = spark.createDataFrame([(i, 1.0) for i in range(10)], "id int, a double")
     t = rows(global_rank_table(same, [("a", True)], 4))
     assert t == [{"a": 1.0, "rank": 1, "mult": 10, "total": 10}]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 4)), st.one_of(st.none(), st.integers(0, 3))),
+                min_size=1, max_size=60),
+       st.integers(1, 6))
+def test_property_distributed_rank_equals_window(spark, data, parts):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(data)], "id int, a int, b int")
+    keys = [("a", True), ("b", False)]
+    got = with_percent_rank(df, keys, "pr", num_partitions=parts)
+    w = Window.orderBy(F.col("a").desc_nulls_last(), F.col("b").asc_nulls_first())
+    want = df.withColumn("pr", F.percent_rank().over(w))
+    assert {r["id"]: r["pr"] for r in rows(got)} == {r["id"]: r["pr"] for r in rows(want)}
