@@ -85,6 +85,21 @@ def write_clustered(df: DataFrame, cols: list[str], path: str, mode: str = "over
     cluster(df, cols, num_partitions).write.mode(mode).parquet(path)
 
 
+def replace_table(df: DataFrame, table: str, cluster_cols: list[str] | None = None,
+                  num_partitions: int | None = None) -> None:
+    """Replace a catalog table with the result of a query in one job
+    (the drop + CTAS pair without a window where the table is missing); the new
+    table takes the query's schema. Optionally range-clustered on ``cluster_cols``."""
+    out = cluster(df, cluster_cols, num_partitions) if cluster_cols else df
+    out.write.mode("overwrite").format("parquet").saveAsTable(table)
+
+
+def append_table(df: DataFrame, table: str) -> None:
+    """Append rows to an existing catalog table by column name (INSERT INTO t (cols) ...)."""
+    target = df.sparkSession.table(table).columns
+    df.select(*target).write.mode("append").format("parquet").saveAsTable(table)
+
+
 def reconcile(items: Iterable[tuple[str, DataFrame, Column]]) -> DataFrame:
     """(table, pre_count, post_count) — counts before and after a row filter in one pass per table."""
     rows = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("pre_count"),

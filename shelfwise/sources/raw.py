@@ -52,7 +52,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = table_path(sf_dir, name)
     size = _local_bytes(path)
     stamp = os.path.getmtime(path) if os.path.exists(path) else None
-    key = (id(spark), path, size, stamp)
+    key = (spark.sparkContext.applicationId, id(spark), path, size, stamp)
     hit = _SCANS.get(key)
     if hit is not None:
         return hit

@@ -107,3 +107,18 @@ def test_smoke_every_query_sf0001(spark):
     import __spark_entry__ as E
     for name, fn in E.queries().items():
         fn(spark, SF_SMOKE).write.format("noop").mode("overwrite").save()
+
+
+def test_replace_and_append_catalog_table(spark):
+    loc = tempfile.mkdtemp(prefix="shelfwise-db-", dir="/tmp")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS shelfwise_test LOCATION '{loc}'")
+    t = "shelfwise_test.product_forecasts"
+    ingest.replace_table(spark.createDataFrame([(2, 1.0), (1, 2.0)], "ProductKey long, Week1Demand double"),
+                         t, cluster_cols=["ProductKey"])
+    assert sorted(r["ProductKey"] for r in rows(spark.table(t))) == [1, 2]
+    # replacing takes the new schema (overwriteSchema semantics)
+    ingest.replace_table(spark.createDataFrame([(3, 1.0, 4.0)], "ProductKey long, W1 double, W2 double"), t)
+    assert spark.table(t).columns == ["ProductKey", "W1", "W2"] and spark.table(t).count() == 1
+    ingest.append_table(spark.createDataFrame([(5.0, 2.0, 9)], "W2 double, W1 double, ProductKey long"), t)
+    assert {r["ProductKey"]: r["W2"] for r in rows(spark.table(t))} == {3: 4.0, 9: 5.0}
+    spark.sql("DROP DATABASE shelfwise_test CASCADE")
