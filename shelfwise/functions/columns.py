@@ -20,11 +20,6 @@ def money(c: str | Column) -> Column:
     return col_(c).cast(MONEY)
 
 
-def money_out(c: str | Column) -> Column:
-    """Fixed-point aggregate -> double for presentation."""
-    return col_(c).cast("double")
-
-
 def date_key(d: str | Column) -> Column:
     """yyyymmdd integer key of a date."""
     d = col_(d)

@@ -33,10 +33,6 @@ KEYWORDS_K = 8
 TS_MODELS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 TS_SUCCESSOR = {"ECONOMY": "SARD", "SMALL": "MIUM"}
 
-CUSTOMER_VIEW_COLS = {"CustomerKey", "SalesOrderNumber", "OrderQuantity", "SalesAmount", "OrderDate",
-                      "FirstName", "LastName", "Gender", "HouseOwnerFlag", "NumberCarsOwned",
-                      "CommuteDistance", "YearlyIncome"}
-
 
 # ------------------------------------------------------------ shared pieces
 
