@@ -3,11 +3,13 @@
 Scale notes:
 * Lines are first collapsed to distinct (basket, item, category) with a
   multiplicity, so repeated lines never multiply the pair join.
-* The anchor x companion join is a shuffle join on the basket id. A basket holding
-  a large share of all lines is split by AQE's skew-join handling (the skewed
-  side's partition is cut into several tasks, the matching side replicated), so no
-  single task has to emit all of a hot basket's pairs. Pair counts are
-  m_anchor * m_item per basket, summed with a partial (map-side) aggregate.
+* The anchor x companion join is a shuffle join on the basket id; a hot basket
+  (more than ``BUCKET_ITEMS`` companion items) is instead joined on (basket id,
+  salt bucket) with ceil(n / BUCKET_ITEMS) buckets — companions spread by a hash
+  of the item, anchor items replicated per bucket — so even a basket holding a
+  third of all lines is split over proportionally many tasks, independently of
+  AQE's skew handling. Pair counts are m_anchor * m_item per basket, summed with
+  a partial (map-side) aggregate.
 * Top-k per group uses rank/row_number filters that Spark plans as
   ``WindowGroupLimit`` both before and after the shuffle, so a hot group ships
   at most k rows (plus ties) per map task.
@@ -49,11 +51,21 @@ def _weighted_items(rows: DataFrame) -> DataFrame:
     return rows.groupBy("transaction_id", "productkey", "category").agg(F.count(F.lit(1)).alias("m"))
 
 
-def pair_counts(rows: DataFrame, anchor: str) -> DataFrame:
+# Fixed value: companion items per salt bucket of a hot basket.
+BUCKET_ITEMS = 50_000
+
+
+def pair_counts(rows: DataFrame, anchor: str, bucket_items: int = BUCKET_ITEMS) -> DataFrame:
     """C4+C5: co-purchase line-pair counts per (bike_key, product_key, product_category).
 
     Equal to counting the rows of the line-level self join (anchor line x
     non-anchor line of the same basket), computed from per-basket multiplicities.
+
+    Hot baskets are split: a basket with n companion items above ``bucket_items``
+    gets ceil(n / bucket_items) salt buckets; its companions go to a bucket by a
+    hash of the item and its anchor items are replicated once per bucket, so its
+    pairs are produced by that many tasks. Ordinary baskets have one bucket (no
+    replication). Each (anchor, companion) pair meets exactly once, so counts are exact.
     """
     items = _weighted_items(rows)
     a = items.filter(F.col("category") == anchor).select(
@@ -61,7 +73,16 @@ def pair_counts(rows: DataFrame, anchor: str) -> DataFrame:
     b = items.filter(F.col("category") != anchor).select(
         "transaction_id", F.col("productkey").alias("product_key"),
         F.col("category").alias("product_category"), F.col("m").alias("mb"))
-    pairs = a.join(b, "transaction_id")
+    # basket sizes: a partial (map-side) aggregate, so a hot basket is one row here
+    hot = (b.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("__n"))
+           .filter(F.col("__n") > bucket_items)
+           .select("transaction_id", F.ceil(F.col("__n") / bucket_items).cast("int").alias("__b")))
+    nb = F.coalesce(F.col("__b"), F.lit(1))
+    a = a.join(hot, "transaction_id", "left") \
+         .withColumn("__s", F.explode(F.sequence(F.lit(0), nb - 1))).drop("__b")
+    b = b.join(hot, "transaction_id", "left") \
+         .withColumn("__s", F.pmod(F.xxhash64("product_key", "product_category"), nb).cast("int")).drop("__b")
+    pairs = a.join(b, ["transaction_id", "__s"])
     return (pairs.groupBy("bike_key", "product_key", "product_category")
             .agg(F.sum(F.col("ma") * F.col("mb")).alias("count")))
 

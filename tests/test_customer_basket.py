@@ -89,11 +89,22 @@ def test_pair_counts_equal_line_level_self_join(spark):
              (4, 20, "Helmets"), (4, 30, "Locks")]  # no anchor
     df = spark.createDataFrame(lines, "t long, p long, c string")
     br = basket.basket_rows(df, "t", "p", "c")
-    got = {(r["bike_key"], r["product_key"], r["product_category"]): r["count"]
-           for r in rows(basket.pair_counts(br, "Bikes"))}
     want = _brute_pairs([(t, p, c if c is not None else basket.NO_CATEGORY) for t, p, c in lines], "Bikes")
-    assert got == dict(want)
-    assert got[(10, 20, "Helmets")] == 2 and got[(11, 20, "Helmets")] == 2
+    for bucket_items in (1, 2, 50_000):  # every basket hot (1, 2) or none (default)
+        got = {(r["bike_key"], r["product_key"], r["product_category"]): r["count"]
+               for r in rows(basket.pair_counts(br, "Bikes", bucket_items=bucket_items))}
+        assert got == dict(want), bucket_items
+        assert got[(10, 20, "Helmets")] == 2 and got[(11, 20, "Helmets")] == 2
+
+
+def test_pair_counts_hot_basket_salted(spark):
+    # one basket holds most lines: 3 anchor items x 200 companions, plus small baskets
+    lines = [(1, 10 + i, "Bikes") for i in range(3)] + [(1, 100 + i, "Parts") for i in range(200)]
+    lines += [(t, 10, "Bikes") for t in range(2, 6)] + [(t, 100, "Parts") for t in range(2, 6)]
+    df = spark.createDataFrame(lines, "t long, p long, c string")
+    got = {(r["bike_key"], r["product_key"]): r["count"]
+           for r in rows(basket.pair_counts(basket.basket_rows(df, "t", "p", "c"), "Bikes", bucket_items=20))}
+    assert len(got) == 600 and got[(10, 100)] == 5 and sum(got.values()) == 600 + 4
 
 
 def test_top_per_group_ties_and_lists(spark):
