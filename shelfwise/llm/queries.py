@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ann, hilbert, packing, simhash, tokens
+from shelfwise.llm import ann, hilbert, langid, packing, quality, simhash, tokens, toxicity
 from shelfwise.llm.common import table
 
 
@@ -18,11 +18,26 @@ def op2_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op6_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -31,6 +46,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_block_matrix_knn, op2_whole_token_counts, op6_pigeonring_simhash,
-                                   op9_hilbert_shards, op10_vector_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_block_matrix_knn, op2_whole_token_counts, op5_byte_gru_language, op6_pigeonring_simhash, op7_pu_quality,
+    op8_pu_toxicity, op9_hilbert_shards, op10_vector_packing)}
 ORACLE_SQL: dict[str, str] = {}
