@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ann, hilbert, langid, packing, quality, simhash, tokens, toxicity
+from shelfwise.llm import ann, decontam, hilbert, langid, licenses, packing, quality, simhash, tokens, toxicity
 from shelfwise.llm.common import table
 
 
@@ -18,6 +18,15 @@ def op2_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_greedy_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op5_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -47,6 +56,6 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_block_matrix_knn, op2_whole_token_counts, op5_byte_gru_language, op6_pigeonring_simhash, op7_pu_quality,
+    op1_block_matrix_knn, op2_whole_token_counts, op3_greedy_tiling_decontamination, op4_license_paragraphs, op5_byte_gru_language, op6_pigeonring_simhash, op7_pu_quality,
     op8_pu_toxicity, op9_hilbert_shards, op10_vector_packing)}
 ORACLE_SQL: dict[str, str] = {}
