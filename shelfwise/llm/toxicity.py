@@ -1,14 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning over hashed byte grams.
 
 Confirmed toxic documents are the positives, any documents the unlabelled rows. Features are
-the hashed 5-byte grams of the lower-cased text with everything but letters read as a space, by
-presence. The ``FEATURES`` grams that best tell positives from unlabelled rows are kept and
-a linear classifier minimises the class-prior-corrected, non-negative risk (``pu``).
+the hashed byte grams (of 5 and of 8 bytes) of the lower-cased text with everything but letters read as a
+space, by presence. The ``FEATURES`` grams that are most over-represented among positives are kept, each valued by
+that contrast, and a linear classifier minimises the class-prior-corrected, non-negative risk (``pu``).
 
 Only a text decides its score. Defined cases: a null or empty text has no gram and scores as the
 intercept says; repeated rows get equal scores, one row each; without any confirmed example the
 score is the prior for every row; further columns are not read; an empty table gives no rows.
-Grams of a long text are hashed in pieces of ``PIECE`` bytes that overlap by a gram.
+Grams of a long text are hashed in pieces of ``PIECE`` bytes that overlap by a gram less one byte.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from shelfwise.llm.labelled import keep_rows, score_rows, training_texts
 THRESHOLD = 0.5
 TRAIN_POSITIVES = 2000
 TRAIN_UNLABELLED = 4000
-GRAM = 5
-HASH_BITS = 18
-FEATURES = 4000
+GRAMS = (5, 8)
+HASH_BITS = 20
+FEATURES = 2000
 LEAST_DOCUMENTS = 4
-STEPS = 300
+STEPS = 600
 RATE = 0.05
-DECAY = 1e-4
+DECAY = 1e-5
 PIECE = 1 << 20
 
 
@@ -40,19 +40,22 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
     if not text:
         return
     data = np.frombuffer(b" " + text.lower().encode() + b" ", np.uint8)
-    for start in range(0, max(1, len(data) - GRAM + 1), PIECE):
-        part = data[start:start + PIECE + GRAM - 1]
-        n = len(part) - GRAM + 1
-        if n < 1:
-            return
+    longest = max(GRAMS)
+    for start in range(0, len(data), PIECE):
+        part = data[start:start + PIECE + longest - 1]
         letters = ((part >= 97) & (part <= 122)) | (part >= 128)
         part = np.where(letters, part, 32).astype(np.uint32)
-        h = np.zeros(n, np.uint32)
-        for i in range(GRAM):
-            h *= np.uint32(0x01000193)
-            h += part[i:n + i]
-        h *= np.uint32(2654435761)
-        yield h >> np.uint32(32 - HASH_BITS)
+        for size in GRAMS:
+            # a gram belongs to the piece in which it starts
+            n = min(PIECE, len(part) - size + 1)
+            if n < 1:
+                continue
+            h = np.full(n, size, np.uint32)
+            for i in range(size):
+                h *= np.uint32(0x01000193)
+                h += part[i:n + i]
+            h *= np.uint32(2654435761)
+            yield h >> np.uint32(32 - HASH_BITS)
 
 
 class ToxicityModel:
@@ -89,20 +92,24 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, un
     in_p = np.bincount(np.concatenate([x for x, t in zip(present, trusted) if t]), minlength=width)
     in_u = np.bincount(np.concatenate([x for x, t in zip(present, trusted) if not t]), minlength=width)
     share = (in_p + in_u) / (n_p + n_u)
-    contrast = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) + 1e-9)
+    contrast = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) + 1e-9)
     contrast[in_p + in_u < LEAST_DOCUMENTS] = 0
     kept = np.argsort(-contrast, kind="stable")[:FEATURES]
     kept = kept[contrast[kept] > 0]
     number = np.full(width, -1, np.int32)
     number[kept] = np.arange(len(kept))
+    value = contrast[kept] / max(1e-9, contrast[kept].max(initial=0))
 
     def sparse(which: bool) -> pu.Rows:
         found = [f[f >= 0] for f in (number[x] for x, t in zip(present, trusted) if t == which)]
         size = np.array([len(f) for f in found])
-        return pu.Rows(np.concatenate(found), np.ones(size.sum()), size, max(1, len(kept)))
+        index = np.concatenate(found)
+        return pu.Rows(index, value[index], size, len(kept))
 
+    if not len(kept):
+        return ToxicityModel(number, np.zeros(1), start)
     weights, intercept, _ = pu.fit(sparse(True), sparse(False), prior, STEPS, RATE, DECAY)
-    return ToxicityModel(number, weights, intercept)
+    return ToxicityModel(number, weights * value, intercept)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
