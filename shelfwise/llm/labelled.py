@@ -28,10 +28,10 @@ def _share(rows: int, total: int, seed: int) -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, positives: int, unlabelled: int, seed: int = 11) -> tuple[DataFrame, float]:
-    """((text, is_positive) rows of a bounded sample, class prior).
+    """((text, is_positive) rows of a bounded sample, first guess of the class prior).
 
     Trusted positives are rows with ``label`` = 1 outside the held-out fold; unlabelled rows are
-    any documents outside it, whatever their label, which is not looked at. The prior is the
+    any documents outside it, whatever their label, which is not looked at. The first guess is the
     share of positives among the labelled rows outside the fold.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())

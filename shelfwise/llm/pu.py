@@ -35,6 +35,12 @@ class Rows:
     def __len__(self) -> int:
         return len(self.size)
 
+    def take(self, every: int, of: int) -> "Rows":
+        """Rows number ``every``, ``every + of``, and so on."""
+        mine = np.arange(len(self.size)) % of == every
+        held = mine[self.owner]
+        return Rows(self.index[held], self.value[held], self.size[mine], self.width)
+
 
 def from_dense(x: np.ndarray) -> Rows:
     n, width = x.shape
@@ -67,6 +73,40 @@ def fit(positive: Rows, unlabelled: Rows, prior: float, steps: int = 300, rate:
     return w, b, risks
 
 
+def estimate_prior(fp: np.ndarray, fu: np.ndarray, confidence: float = 0.1) -> float:
+    """Share of positives among unlabelled rows, from scores of rows that did not train the scorer.
+
+    Above any score, U holds at least the share ``prior`` of what P holds there, so U's share
+    above it divided by P's share bounds the prior; the bound is tightest at a score that negatives
+    hardly reach. The score is chosen with a margin for the sample sizes (best-bin estimate).
+    """
+    cuts = np.unique(fp)
+    above_p = 1 - np.searchsorted(np.sort(fp), cuts) / len(fp)
+    above_u = 1 - np.searchsorted(np.sort(fu), cuts) / len(fu)
+    margin = sum(np.sqrt(np.log(4 / confidence) / (2 * n)) for n in (len(fp), len(fu)))
+    best = int(np.argmin((above_u + margin) / above_p))
+    return float(above_u[best] / above_p[best])
+
+
+def fit_with_prior(positive: Rows, unlabelled: Rows, labelled_share: float, **options) -> tuple[np.ndarray, float, float]:
+    """Estimate the prior by training on either half and scoring the other, then train on all rows.
+
+    ``labelled_share`` starts the halves. The halves' estimate bounds the prior from above, so the
+    smaller of it and the labelled share is taken; with too few rows for halves the labelled share
+    stays. Returns weights, intercept and the prior.
+    """
+    prior = labelled_share
+    if min(len(positive), len(unlabelled)) >= 20:
+        found = []
+        for half in (0, 1):
+            w, b, _ = fit(positive.take(half, 2), unlabelled.take(half, 2), labelled_share, **options)
+            p, u = positive.take(1 - half, 2), unlabelled.take(1 - half, 2)
+            found.append(estimate_prior(p.dot(w) + b, u.dot(w) + b))
+        prior = max(min(float(np.mean(found)), labelled_share), 1 / (len(unlabelled) + 2))
+    w, b, _ = fit(positive, unlabelled, prior, **options)
+    return w, b, prior
+
+
 def clipped_prior(labelled: int, positive: int) -> float:
     """Share of positives among labelled rows, kept away from 0 and 1 by one row of each kind."""
     return (positive + 1) / (labelled + 2)

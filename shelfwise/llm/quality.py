@@ -1,7 +1,7 @@
 """Text quality by positive-unlabelled learning.
 
 Trusted positives are documents marked good; unlabelled web text holds good and bad documents
-in unknown rows; the class prior is estimated from the labelled rows' share of good ones. The
+in unknown rows; the class prior is estimated by cross-fitting (``pu``). The
 classifier minimises the non-negative unbiased risk (``pu``) over features of form: how kinds of
 characters follow one another, repeated neighbours, distinct words, line structure, lengths.
 
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, un
         return zero
     model = QualityModel(x[~trusted].mean(0), x[~trusted].std(0) + 1e-6, None, None)
     z = model.standardise(x)
-    model.weights, model.intercept, _ = pu.fit(pu.from_dense(z[trusted]), pu.from_dense(z[~trusted]), prior, STEPS, RATE, DECAY)
+    model.weights, model.intercept, _ = pu.fit_with_prior(pu.from_dense(z[trusted]), pu.from_dense(z[~trusted]), prior, steps=STEPS, rate=RATE, decay=DECAY)
     return model
 
 

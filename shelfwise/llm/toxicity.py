@@ -3,7 +3,8 @@
 Confirmed toxic documents are the positives, any documents the unlabelled rows. Features are
 the hashed byte grams (of 5 and of 8 bytes) of the lower-cased text with everything but letters read as a
 space, by presence. The ``FEATURES`` grams that are most over-represented among positives are kept, each valued by
-that contrast, and a linear classifier minimises the class-prior-corrected, non-negative risk (``pu``).
+that contrast, and a linear classifier minimises the class-prior-corrected, non-negative risk (``pu``); the class prior of the
+unlabelled rows is estimated by cross-fitting.
 
 Only a text decides its score. Defined cases: a null or empty text has no gram and scores as the
 intercept says; repeated rows get equal scores, one row each; without any confirmed example the
@@ -24,14 +25,16 @@ from shelfwise.llm.labelled import keep_rows, score_rows, training_texts
 
 THRESHOLD = 0.5
 TRAIN_POSITIVES = 2000
-TRAIN_UNLABELLED = 4000
+TRAIN_UNLABELLED = 6000
 GRAMS = (5, 8)
 HASH_BITS = 20
 FEATURES = 2000
 LEAST_DOCUMENTS = 4
-STEPS = 600
+LEAST_SHARE = 0.02
+SKETCH = 4
+STEPS = 300
 RATE = 0.05
-DECAY = 1e-5
+DECAY = 1e-4
 PIECE = 1 << 20
 
 
@@ -82,8 +85,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, un
             yield pa.record_batch([pa.array(x, pa.binary()), batch.column(1)], names=["x", "is_positive"])
 
     sample = sorted((bool(r[1]), bytes(r[0])) for r in rows.mapInArrow(run, "x binary, is_positive boolean").collect())
-    present = [np.frombuffer(r[1], "<u4") for r in sample]
-    trusted = np.array([r[0] for r in sample], bool)
+    # copies count once: rows of a kind with the same smallest hash numbers are the same or nearly the same text
+    distinct = {(t, x[:4 * SKETCH]): (t, x) for t, x in sample}.values()
+    present = [np.frombuffer(x, "<u4") for _, x in distinct]
+    trusted = np.array([t for t, _ in distinct], bool)
     width = 1 << HASH_BITS
     start = float(np.log(prior / (1 - prior)))
     if not trusted.any() or trusted.all():
@@ -93,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, un
     in_u = np.bincount(np.concatenate([x for x, t in zip(present, trusted) if not t]), minlength=width)
     share = (in_p + in_u) / (n_p + n_u)
     contrast = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) + 1e-9)
-    contrast[in_p + in_u < LEAST_DOCUMENTS] = 0
+    contrast[in_p < max(LEAST_DOCUMENTS, LEAST_SHARE * n_p)] = 0
     kept = np.argsort(-contrast, kind="stable")[:FEATURES]
     kept = kept[contrast[kept] > 0]
     number = np.full(width, -1, np.int32)
@@ -108,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, un
 
     if not len(kept):
         return ToxicityModel(number, np.zeros(1), start)
-    weights, intercept, _ = pu.fit(sparse(True), sparse(False), prior, STEPS, RATE, DECAY)
+    weights, intercept, _ = pu.fit_with_prior(sparse(True), sparse(False), prior, steps=STEPS, rate=RATE, decay=DECAY)
     return ToxicityModel(number, weights * value, intercept)
 
 
