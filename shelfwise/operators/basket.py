@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.operators.ranking import materialize
+
 # Category assigned to lines with no category, and the anchor category.
 NO_CATEGORY = "Not Bike"
 DEFAULT_ANCHOR = "Bikes"
@@ -51,38 +53,38 @@ def _weighted_items(rows: DataFrame) -> DataFrame:
     return rows.groupBy("transaction_id", "productkey", "category").agg(F.count(F.lit(1)).alias("m"))
 
 
-# Fixed value: companion items per salt bucket of a hot basket.
-BUCKET_ITEMS = 50_000
+# pairs of one basket that one task makes before the basket is split further
+PAIRS_PER_BUCKET = 1_000_000
 
 
-def pair_counts(rows: DataFrame, anchor: str, bucket_items: int = BUCKET_ITEMS) -> DataFrame:
+def pair_counts(rows: DataFrame, anchor: str, pairs_per_bucket: int = PAIRS_PER_BUCKET) -> DataFrame:
     """C4+C5: co-purchase line-pair counts per (bike_key, product_key, product_category).
 
     Equal to counting the rows of the line-level self join (anchor line x
     non-anchor line of the same basket), computed from per-basket multiplicities.
 
-    Hot baskets are split: a basket with n companion items above ``bucket_items``
-    gets ceil(n / bucket_items) salt buckets; its companions go to a bucket by a
-    hash of the item and its anchor items are replicated once per bucket, so its
-    pairs are produced by that many tasks. Ordinary baskets have one bucket (no
-    replication). Each (anchor, companion) pair meets exactly once, so counts are exact.
+    A basket's pairs form a grid, anchors by companions. It is cut on both sides into a x b buckets
+    of about ``pairs_per_bucket`` pairs: anchors pick a row and are copied along it, companions pick a
+    column. Every (anchor, companion) pair meets in exactly one bucket, so counts are exact,
+    and a basket that holds a third of all lines is spread over many tasks. The items table is
+    written once, and both sides and the basket sizes are read from it.
     """
-    items = _weighted_items(rows)
-    a = items.filter(F.col("category") == anchor).select(
-        "transaction_id", F.col("productkey").alias("bike_key"), F.col("m").alias("ma"))
-    b = items.filter(F.col("category") != anchor).select(
-        "transaction_id", F.col("productkey").alias("product_key"),
-        F.col("category").alias("product_category"), F.col("m").alias("mb"))
-    # basket sizes: a partial (map-side) aggregate, so a hot basket is one row here
-    hot = (b.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("__n"))
-           .filter(F.col("__n") > bucket_items)
-           .select("transaction_id", F.ceil(F.col("__n") / bucket_items).cast("int").alias("__b")))
-    nb = F.coalesce(F.col("__b"), F.lit(1))
-    a = a.join(hot, "transaction_id", "left") \
-         .withColumn("__s", F.explode(F.sequence(F.lit(0), nb - 1))).drop("__b")
-    b = b.join(hot, "transaction_id", "left") \
-         .withColumn("__s", F.pmod(F.xxhash64("product_key", "product_category"), nb).cast("int")).drop("__b")
-    pairs = a.join(b, ["transaction_id", "__s"])
+    items = materialize(_weighted_items(rows))
+    is_anchor = F.col("category") == anchor
+    sizes = items.groupBy("transaction_id").agg(F.count_if(is_anchor).alias("na"), F.count_if(~is_anchor).alias("nb"))
+    side = pairs_per_bucket ** 0.5  # items of either side in a full bucket
+    sizes = (sizes.where((F.col("na") > 0) & (F.col("nb") > 0))
+             .select("transaction_id", F.ceil(F.col("na") / side).cast("int").alias("__a"), F.ceil(F.col("nb") / side).cast("int").alias("__b")))
+    sized = items.join(sizes, "transaction_id")
+    anchors = sized.where(is_anchor).select(
+        "transaction_id", F.col("productkey").alias("bike_key"), F.col("m").alias("ma"),
+        F.pmod(F.xxhash64("productkey"), F.col("__a")).cast("int").alias("__row"),
+        F.explode(F.sequence(F.lit(0), F.col("__b") - 1)).alias("__col"))
+    companions = sized.where(~is_anchor).select(
+        "transaction_id", F.col("productkey").alias("product_key"), F.col("category").alias("product_category"),
+        F.col("m").alias("mb"), F.pmod(F.xxhash64("productkey", "category"), F.col("__b")).cast("int").alias("__col"),
+        F.explode(F.sequence(F.lit(0), F.col("__a") - 1)).alias("__row"))
+    pairs = anchors.join(companions, ["transaction_id", "__row", "__col"])
     return (pairs.groupBy("bike_key", "product_key", "product_category")
             .agg(F.sum(F.col("ma") * F.col("mb")).alias("count")))
 
@@ -111,11 +113,14 @@ def top_lists(top: DataFrame, n: int = 3) -> DataFrame:
 
 def upsell_table(lists: DataFrame, names: DataFrame, key_col: str = "ProductKey",
                  name_col: str = "EnglishProductName", n: int = 3) -> DataFrame:
-    """bike_name, upsell_1..n resolved through the product dimension (LEFT joins)."""
-    out = lists
-    targets = [("bike_key", "bike_name")] + [(f"Top_Product_{i}", f"upsell_{i}") for i in range(1, n + 1)]
-    for i, (src, alias) in enumerate(targets):
-        k = f"__k{i}"
-        side = names.select(F.col(key_col).alias(k), F.col(name_col).alias(alias))
-        out = out.join(side, out[src] == side[k], "left").drop(k)
-    return out.select("bike_name", *[f"upsell_{i}" for i in range(1, n + 1)])
+    """bike_name, upsell_1..n resolved through the product dimension (missing keys stay NULL).
+
+    The n + 1 key columns are turned into rows and resolved by one join; rows without a key are not joined at all.
+    """
+    targets = {"bike_key": "bike_name"} | {f"Top_Product_{i}": f"upsell_{i}" for i in range(1, n + 1)}
+    keyed = F.array(*[F.struct(F.lit(alias).alias("slot"), F.col(column).alias("key")) for column, alias in targets.items()])
+    rows = lists.select("bike_key", F.explode(keyed).alias("t")).select("bike_key", "t.slot", "t.key").where(F.col("key").isNotNull())
+    side = names.select(F.col(key_col).alias("key"), F.col(name_col).alias("name"))
+    return (rows.join(side, "key", "left").groupBy("bike_key")
+            .agg(*[F.max(F.when(F.col("slot") == alias, F.col("name"))).alias(alias) for alias in targets.values()])
+            .select(*targets.values()))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import badge
-from shelfwise.operators.ranking import with_percent_rank, with_percent_ranks
+from shelfwise.operators.ranking import with_percent_ranks
 
 CUSTOMER_ATTRS = ["FirstName", "LastName", "Gender", "HouseOwnerFlag", "NumberCarsOwned",
                   "CommuteDistance", "YearlyIncome"]
 
 
+# tasks that one product name's customers are dealt over
+NAME_SALT = 16
+
+
 def customer_revenue(sales: DataFrame, amount_col: str = "SalesAmount") -> DataFrame:
     """(customerkey, rev) = sum(SalesAmount) per customer (also accepts the order
     summary with ``amount_col="a"``: the same sum, one level up)."""
@@ -44,22 +50,6 @@ def _quartile(pr) -> F.Column:
     return F.when(pr <= q1, 1).when(pr <= q2, 2).when(pr <= q3, 3).otherwise(4)
 
 
-def add_quartiles(df: DataFrame, column: str, tiebreak: str) -> DataFrame:
-    """``<column>_rank`` = percent_rank over (column desc, tiebreak desc), nulls last;
-    ``<column>_quartile`` 1..4 at edges .25/.50/.75. Exact, distributed (see ranking)."""
-    rank_col, q_col = f"{column}_rank", f"{column}_quartile"
-    out = with_percent_rank(df, [(column, True), (tiebreak, True)], rank_col)
-    return out.withColumn(q_col, _quartile(F.col(rank_col)))
-
-
-def add_score_quartiles(df: DataFrame, tiebreak: str, column: str = "score") -> DataFrame:
-    """NULL score -> 0; percent_rank over the whole population; score 0 -> quartile 0."""
-    rank_col, q_col = f"{column}_rank", f"{column}_quartile"
-    df = df.withColumn(column, F.coalesce(F.col(column), F.lit(0).cast(df.schema[column].dataType)))
-    out = with_percent_rank(df, [(column, True), (tiebreak, True)], rank_col)
-    return out.withColumn(q_col, F.when(F.col(column) == 0, 0).otherwise(_quartile(F.col(rank_col))))
-
-
 def customer_ranks(scores: DataFrame) -> DataFrame:
     """C18+C19 together: score quartiles (NULL -> 0 -> quartile 0) and spend / purchase
     probability quartiles, all tie-broken by revenue. The scored input is materialised
@@ -78,9 +68,7 @@ def customer_ranks(scores: DataFrame) -> DataFrame:
 def order_summary(sales: DataFrame) -> DataFrame:
     """Per (customer, order): units, amounts, their non-null counts, order date range, lines.
 
-    The shared first aggregation level of every per-customer dataset: built once
-    per query, its shuffle is reused by all consumers (metrics, population
-    averages, revenue, recency-based inputs), so the fact is scanned once for them.
+    The first aggregation level of every per-customer dataset (``customer_summary`` is the second).
     """
     return sales.groupBy("CustomerKey", "SalesOrderNumber").agg(
         F.sum("OrderQuantity").alias("u"), F.count("OrderQuantity").alias("nu"),
@@ -88,42 +76,44 @@ def order_summary(sales: DataFrame) -> DataFrame:
         F.min("OrderDate").alias("d0"), F.max("OrderDate").alias("d1"), F.count(F.lit(1)).alias("lines"))
 
 
-def _per_customer(orders: DataFrame) -> DataFrame:
-    """Second level: per customer, from the order summary (combines map-side)."""
+def customer_summary(orders: DataFrame, spend_from: dt.date | None = None) -> DataFrame:
+    """Per customer, from the order summary: all that metrics, averages, revenue and score inputs need.
+
+    ``TotalOrders`` counts distinct orders, so a missing order number is none; ``spend`` sums the
+    orders after ``spend_from`` (all, without it).
+    """
+    recent = F.col("a") if spend_from is None else F.when(F.col("d1") > F.lit(spend_from), F.col("a"))
     return orders.groupBy("CustomerKey").agg(
-        F.count(F.lit(1)).alias("TotalOrders"),
+        F.count("SalesOrderNumber").alias("TotalOrders"),
         F.sum("u").alias("TotalUnitsOrdered"), F.sum("nu").alias("__nu"),
-        F.sum("a").alias("__amt"), F.sum("na").alias("__na"),
+        F.sum("a").alias("__amt"), F.sum("na").alias("__na"), F.sum(recent).alias("__recent"),
         F.max("d1").alias("LatestOrderDate"), F.min("d0").alias("EarliestOrderDate"))
 
 
-def population_averages(sales: DataFrame, orders: DataFrame | None = None) -> DataFrame:
-    """C20: one row: average per-customer order count, units and sales amount."""
-    per = _per_customer(orders if orders is not None else order_summary(sales))
-    n = F.count(F.lit(1))
-    return per.agg(
-        (F.sum("TotalOrders").cast("double") / n).alias("AvgTotalOrders"),
-        (F.sum("TotalUnitsOrdered").cast("double") / n).alias("AvgTotalUnitsOrdered"),
-        (F.sum("__amt").cast("double") / n).alias("AvgTotalSalesAmount"))
+def population_averages(summary: DataFrame) -> DataFrame:
+    """C20: one row: average per-customer order count, units and sales amount (customers without a value left out)."""
+    def average(column: str) -> F.Column:
+        return F.sum(column).cast("double") / F.count(column)
+
+    return summary.agg(average("TotalOrders").alias("AvgTotalOrders"),
+                       average("TotalUnitsOrdered").alias("AvgTotalUnitsOrdered"),
+                       average("__amt").alias("AvgTotalSalesAmount"))
 
 
-def customer_metrics(sales: DataFrame, customers: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+def customer_metrics(summary: DataFrame, customers: DataFrame) -> DataFrame:
     """Per-customer order metrics + population averages (rounded to 1 dp) + attributes.
 
-    Aggregates the fact first (two levels, via ``order_summary``) and joins the
-    customer attributes to the much smaller per-customer result; the one-row
-    population average is attached with a broadcast cross join after aggregation.
+    ``summary`` (``customer_summary``) is read twice, so pass a materialised one: the fact is then
+    scanned once. The customer attributes join the per-customer rows; the one-row
+    population average is attached with a broadcast cross join.
     """
-    orders = orders if orders is not None else order_summary(sales)
-    per = _per_customer(orders)
-    pop = population_averages(sales, orders)
     attrs = customers.select("CustomerKey", *CUSTOMER_ATTRS)
-    j = per.join(attrs, "CustomerKey", "left").crossJoin(F.broadcast(pop))
+    j = summary.join(attrs, "CustomerKey", "left").crossJoin(F.broadcast(population_averages(summary)))
     return j.select(
         "CustomerKey", "TotalOrders", "TotalUnitsOrdered",
-        (F.col("TotalUnitsOrdered").cast("double") / F.col("__nu")).alias("AvgUnitsOrdered"),
+        F.try_divide(F.col("TotalUnitsOrdered").cast("double"), F.col("__nu")).alias("AvgUnitsOrdered"),
         F.col("__amt").cast("double").alias("TotalSalesAmount"),
-        (F.col("__amt").cast("double") / F.col("__na")).alias("AvgSalesAmount"),
+        F.try_divide(F.col("__amt").cast("double"), F.col("__na")).alias("AvgSalesAmount"),
         F.round("AvgTotalOrders", 1).alias("POP_AvgTotalOrders"),
         F.round("AvgTotalUnitsOrdered", 1).alias("POP_AvgTotalUnitsOrdered"),
         F.round("AvgTotalSalesAmount", 1).alias("POP_AvgTotalSalesAmount"),
@@ -141,7 +131,10 @@ def customer_upsells(sales_view: DataFrame, upsells: DataFrame) -> DataFrame:
     u = upsells.select(F.col("bike_name").alias("EnglishProductName"), F.col("upsell_1").alias("upsell")) \
                .distinct()
     s = sales_view.select(F.col("CustomerKey").alias("customerkey"), "EnglishProductName").distinct()
-    j = s.join(u, "EnglishProductName", "inner").select("customerkey", "upsell").distinct()
+    # few names, many customers: a name's customers are dealt over ``NAME_SALT`` tasks and its upsells copied to each
+    s = s.withColumn("salt", F.pmod(F.xxhash64("customerkey"), F.lit(NAME_SALT)).cast("int"))
+    u = u.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(NAME_SALT - 1))))
+    j = s.join(u, ["EnglishProductName", "salt"], "inner").select("customerkey", "upsell").distinct()
     return j.groupBy("customerkey").agg(F.array_sort(F.collect_list("upsell")).alias("upsell_list"))
 
 

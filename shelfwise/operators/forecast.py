@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.operators.ranking import materialize
+
 # Forecast horizon (days) and the number of weekly buckets kept.
 HORIZON_DAYS = 28
 WEEKS = 4
@@ -77,10 +79,11 @@ def fit_params(sales: DataFrame, date_col: str = "OrderDate", qty_col: str = "Or
     d = _daynum(F.col(date_col))
     q = F.col(qty_col).cast("bigint")
     per = sales.groupBy("ProductKey").agg(
-        F.min(d).alias("d0"), F.sum(q).alias("Sy"), F.sum(q * d).alias("Syd"),
+        F.min(d).alias("d0"), F.max(d).alias("d1"), F.sum(q).alias("Sy"), F.sum(q * d).alias("Syd"),
         *[F.sum(F.when(F.pmod(d, F.lit(7)) == k, q).otherwise(F.lit(0))).alias(f"Sk{k}") for k in range(7)])
-    mx = F.broadcast(sales.agg(F.max(d).alias("dmax")))
-    p = per.crossJoin(mx)
+    # one row per product, written once: the global last day comes from it and the fact is scanned once
+    per = materialize(per)
+    p = per.crossJoin(F.broadcast(per.agg(F.max("d1").alias("dmax"))))
     n = (F.col("dmax") - F.col("d0") + 1).cast("bigint")
     p = p.select("ProductKey", "d0", "dmax", "Sy", n.alias("n"),
                  (F.col("Syd") - F.col("d0") * F.col("Sy")).alias("Sty"),
@@ -118,7 +121,7 @@ def forecast_demand(sales: DataFrame, horizon: int = HORIZON_DAYS, date_col: str
     eff = F.element_at("effects", (F.pmod(t, F.lit(7)) + 1).cast("int"))
     raw = F.col("a") + F.col("b") * t.cast("double") + eff
     ds = F.date_add(F.to_date(F.lit(_EPOCH)), (F.col("dmax") + F.col("h")).cast("int"))
-    return x.select("ProductKey", ds.alias("ds"), F.bround(F.greatest(raw, F.lit(0.0)), 0).alias("yhat"))
+    return x.select("ProductKey", ds.alias("ds"), F.bround(F.round(F.greatest(raw, F.lit(0.0)), 6), 0).alias("yhat"))
 
 
 def weekly_buckets(forecast: DataFrame, weeks: int = WEEKS) -> DataFrame:

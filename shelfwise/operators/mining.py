@@ -65,12 +65,21 @@ def assoc_orders(prep: DataFrame, fiscal_year: int) -> DataFrame:
             .select("OrderNumber", "CustomerKey", "Region", "IncomeGroup").distinct())
 
 
+# The 29 customer attributes of the target-mail view.
+TARGET_MAIL_ATTRIBUTES = [
+    "CustomerKey", "GeographyKey", "CustomerAlternateKey", "Title", "FirstName", "MiddleName", "LastName", "NameStyle",
+    "BirthDate", "MaritalStatus", "Suffix", "Gender", "EmailAddress", "YearlyIncome", "TotalChildren",
+    "NumberChildrenAtHome", "EnglishEducation", "SpanishEducation", "FrenchEducation", "EnglishOccupation",
+    "SpanishOccupation", "FrenchOccupation", "HouseOwnerFlag", "NumberCarsOwned", "AddressLine1", "AddressLine2",
+    "Phone", "DateFirstPurchase", "CommuteDistance"]
+
+
 def target_mail(prep: DataFrame, customers: DataFrame, anchor: str) -> DataFrame:
     """M5: customer attributes + Region, Age, BikeBuyer (1 if any anchor-category line)."""
     x = prep.groupBy("CustomerKey", "Region", "Age").agg(
         F.sum(F.when(F.col("EnglishProductCategoryName") == anchor, 1).otherwise(0)).alias("Bikes"))
     j = customers.join(x, "CustomerKey", "inner")
-    return j.select(*customers.columns, "Region", "Age",
+    return j.select(*TARGET_MAIL_ATTRIBUTES, "Region", "Age",
                     F.when(F.col("Bikes") == 0, 0).otherwise(1).alias("BikeBuyer"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import age_fraction_years
 
+# The model's customer attributes, by kind.
 ATTRS = ["CustomerKey", "BirthDate", "MaritalStatus", "Gender", "YearlyIncome", "TotalChildren",
          "NumberChildrenAtHome", "EnglishEducation", "EnglishOccupation", "HouseOwnerFlag",
          "NumberCarsOwned", "CommuteDistance"]
@@ -19,41 +20,62 @@ CATEGORICAL = ["MaritalStatus", "Gender", "EnglishEducation", "EnglishOccupation
 NUMERIC = ["YearlyIncome", "TotalChildren", "NumberChildrenAtHome", "NumberCarsOwned", "Age"]
 
 
-def buyers(sales_view: DataFrame, anchor: str, category_col: str = "EnglishProductCategoryName") -> DataFrame:
-    """DISTINCT customer attributes of customers with an anchor-category line."""
-    return sales_view.filter(F.col(category_col) == anchor).select(*ATTRS).distinct()
+def customer_labels(sales_view: DataFrame, customers: DataFrame, anchor: str,
+                    category_col: str = "EnglishProductCategoryName") -> DataFrame:
+    """One row per customer with sales: the attributes and ``BikeBuyer`` (1 with an anchor-category line, else 0).
 
+    The lines are reduced to customers before any attribute is joined.
+    """
+    bought = F.coalesce((F.col(category_col) == anchor).cast("int"), F.lit(0))
+    per = sales_view.groupBy("CustomerKey").agg(F.max(bought).alias("BikeBuyer"))
+    return per.join(customers.select(*ATTRS), "CustomerKey", "left").select(*ATTRS, "BikeBuyer")
 
-def non_buyers(sales_view: DataFrame, anchor: str,
-               category_col: str = "EnglishProductCategoryName") -> DataFrame:
-    """DISTINCT customer attributes where NOT EXISTS an anchor-category line (anti join)."""
-    anchored = sales_view.filter(F.col(category_col) == anchor).select("CustomerKey")
-    return sales_view.select(*ATTRS).join(anchored, "CustomerKey", "left_anti").distinct()
 
+def buyers(labels: DataFrame) -> DataFrame:
+    """Attributes of customers with an anchor-category line."""
+    return labels.where("BikeBuyer = 1").drop("BikeBuyer")
 
-def training_set(buy: DataFrame, non: DataFrame, as_of: str) -> DataFrame:
-    """C11+C12: label 1 / 0, union by name, fractional age in years (days / 365)."""
-    df = buy.withColumn("BikeBuyer", F.lit(1)).unionByName(non.withColumn("BikeBuyer", F.lit(0)))
-    return df.withColumn("Age", age_fraction_years("BirthDate", as_of))
+
+def non_buyers(labels: DataFrame) -> DataFrame:
+    """Attributes of customers without one."""
+    return labels.where("BikeBuyer = 0").drop("BikeBuyer")
+
+
+def training_set(labels: DataFrame, as_of: str) -> DataFrame:
+    """C11+C12: labelled customers with their fractional age in years (days / 365)."""
+    return labels.withColumn("Age", age_fraction_years("BirthDate", as_of))
 
 
 def pipeline(handle_invalid: str = "keep", max_iter: int = 100, reg_param: float = 0.0) -> Pipeline:
-    """C13+C14: one multi-column StringIndexer (one pass) + assembler + logistic regression."""
-    indexer = StringIndexer(inputCols=CATEGORICAL, outputCols=[c + "_indexed" for c in CATEGORICAL],
-                            handleInvalid=handle_invalid)
-    assembler = VectorAssembler(inputCols=[c + "_indexed" for c in CATEGORICAL] + NUMERIC,
-                                outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol="BikeBuyer",
-                            maxIter=max_iter, regParam=reg_param)
-    return Pipeline(stages=[indexer, assembler, lr])
+    """C13+C14: text attributes to codes (all in one pass), one feature vector, logistic regression.
+
+    ``handle_invalid="keep"`` gives missing and unseen values a code of their own instead of failing.
+    """
+    coded = {column: f"{column}_code" for column in CATEGORICAL}
+    stages = [
+        StringIndexer(inputCols=list(coded), outputCols=list(coded.values()), handleInvalid=handle_invalid),
+        VectorAssembler(inputCols=[*NUMERIC, *coded.values()], outputCol="features"),
+        LogisticRegression(featuresCol="features", labelCol="BikeBuyer", maxIter=max_iter, regParam=reg_param),
+    ]
+    return Pipeline(stages=stages)
 
 
 def fit(train: DataFrame, **kw) -> PipelineModel:
     return pipeline(**kw).fit(train)
 
 
+def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """The rows with ``p``, the fitted probability of label 1."""
+    return model.transform(rows).withColumn("p", vector_to_array("probability")[1])
+
+
 def score(model: PipelineModel, train: DataFrame) -> DataFrame:
-    """P(label=1) for the label-0 rows as float ``score`` (no Python UDF)."""
-    pred = model.transform(train.filter(F.col("BikeBuyer") == 0))
-    return pred.select(F.col("CustomerKey").alias("customerkey"),
-                       vector_to_array("probability")[1].cast("float").alias("score"))
+    """P(label=1) for the label-0 rows as float ``score``, best first."""
+    scored = probabilities(model, train.filter(F.col("BikeBuyer") == 0))
+    return (scored.select(F.col("CustomerKey").alias("customerkey"), F.col("p").cast("float").alias("score"))
+            .orderBy(F.desc("score"), F.asc("customerkey")))
+
+
+def save_scores(scores: DataFrame, path: str) -> None:
+    """The score table, range-partitioned and sorted best first, for the customer tables to read."""
+    scores.write.mode("overwrite").parquet(path)

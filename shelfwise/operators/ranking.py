@@ -18,16 +18,11 @@ distributed recipe:
 
 For ``row_number`` the caller supplies a unique tie-break key so every tuple
 has multiplicity 1.
-
-Size check: when the (materialised) input has at most ``LOCAL_RANK_MAX_ROWS``
-rows — proven with a bounded ``limit(N + 1).count()`` — the distinct-key table is
-ranked by one window over that bounded table instead, which saves the sampling
-and checkpoint jobs; beyond the bound the distributed recipe above is used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.session import checkpoint_dir
@@ -38,37 +33,17 @@ def _sort_cols(keys: list[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_first() for c, desc in keys]
 
 
-LOCAL_RANK_MAX_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, limit: int = LOCAL_RANK_MAX_ROWS) -> bool:
-    """Bounded size check: reads at most ``limit + 1`` rows."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def _num_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def global_rank_table(df: DataFrame, keys: list[tuple[str, bool]],
-                      num_partitions: int | None = None, small: bool = False) -> DataFrame:
+                      num_partitions: int | None = None) -> DataFrame:
     """Distinct key tuples with ``rank`` (1 + rows strictly before) and ``total`` rows.
 
     Exact, and equal to ``rank()`` over ``ORDER BY keys`` on the whole of ``df``.
-    ``small=True`` only after a size check has bounded ``df`` (see module doc).
+    Without ``num_partitions`` the number of ranges follows the session's shuffle setting.
     """
-    spark = df.sparkSession
     names = [c for c, _ in keys]
-    n = num_partitions or _num_parts(spark)
     distinct = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__m"))
-    if small:
-        before = Window.orderBy(*_sort_cols(keys)).rowsBetween(Window.unboundedPreceding, -1)
-        return distinct.select(*names, (F.coalesce(F.sum("__m").over(before), F.lit(0)) + 1).alias("rank"),
-                               F.col("__m").alias("mult"),
-                               F.sum("__m").over(Window.partitionBy()).alias("total"))
-    ranged = distinct.repartitionByRange(n, *_sort_cols(keys)) \
-                     .withColumn("__pid", F.spark_partition_id())
-    ranged = materialize(ranged)
+    ranges = ([num_partitions] if num_partitions else []) + _sort_cols(keys)
+    ranged = materialize(distinct.repartitionByRange(*ranges).withColumn("__pid", F.spark_partition_id()))
     local_w = (Window.partitionBy("__pid").orderBy(*_sort_cols(keys))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumn("__upto", F.sum("__m").over(local_w))
@@ -102,17 +77,16 @@ def with_percent_ranks(df: DataFrame, specs: list[tuple[list[tuple[str, bool]],
     tables are joined back to it — no pass re-executes another pass's lineage.
     """
     base = materialize(df) if checkpoint_input else df
-    small = num_partitions is None and is_small(base)
     out = base
     for keys, out_col in specs:
         names = [c for c, _ in keys]
-        table = global_rank_table(base, keys, num_partitions, small)
+        table = global_rank_table(base, keys, num_partitions)
         out = _join_on_keys(out, table.select(*names, _pr().alias(out_col)), names)
     return out
 
 
 def with_percent_rank(df: DataFrame, keys: list[tuple[str, bool]], out_col: str,
-                      num_partitions: int | None = None, checkpoint_input: bool = False) -> DataFrame:
+                      num_partitions: int | None = None, checkpoint_input: bool = True) -> DataFrame:
     """``df`` plus ``out_col`` = percent_rank() over ORDER BY keys (whole frame)."""
     return with_percent_ranks(df, [(keys, out_col)], num_partitions, checkpoint_input)
 
@@ -122,8 +96,7 @@ def with_row_number(df: DataFrame, keys: list[tuple[str, bool]], out_col: str,
                     checkpoint_input: bool = True) -> DataFrame:
     """``df`` plus ``out_col`` = row_number() over ORDER BY keys; keys must be unique."""
     base = materialize(df) if checkpoint_input else df
-    small = num_partitions is None and is_small(base)
-    table = global_rank_table(base, keys, num_partitions, small)
+    table = global_rank_table(base, keys, num_partitions)
     cols = [*[c for c, _ in keys], F.col("rank").alias(out_col)]
     if count_col:
         cols.append(F.col("total").alias(count_col))

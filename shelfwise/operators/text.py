@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import cosine
+from shelfwise.functions.columns import cosine, dot, norm
 
 # The keyword-extraction instruction placed before each description.
 KEYWORD_INSTRUCTION = ('Given the following product description, identify and list the key features and '
@@ -74,7 +74,7 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def keywords(docs: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
-    """Top-k TF-IDF terms per document as ``refined_description`` ("a, b, c").
+    """Top-k TF-IDF terms per document as ``refined_description`` ("a, b, c"); "" for a document without a usable token.
 
     tf = term count in the document, idf = ln((N + 1) / (df + 1)); ties by term.
     Term counts combine map-side; the (doc, term) x (term, df) join is a shuffle
@@ -88,13 +88,23 @@ def keywords(docs: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFr
     w = Window.partitionBy("id").orderBy(F.desc("score"), F.asc("term"))
     top = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
     g = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("t"))
-    return g.select(F.col("id").alias(id_col),
-                    F.array_join(F.transform("t", lambda x: x["term"]), ", ").alias("refined_description"))
+    listed = g.select("id", F.array_join(F.transform("t", lambda x: x["term"]), ", ").alias("refined_description"))
+    ids = docs.select(F.col(id_col).alias("__doc"))
+    return ids.join(listed, F.col("__doc").eqNullSafe(F.col("id")), "left").select(
+        F.col("__doc").alias(id_col), F.coalesce("refined_description", F.lit("")).alias("refined_description"))
+
+
+def _exactly_one(query: DataFrame) -> DataFrame:
+    """The frame itself if it holds one row, which bounds its broadcast; anything else is an error."""
+    n = query.limit(2).count()
+    if n != 1:
+        raise ValueError("no query vector" if n == 0 else "more than one query vector: use cosine_topk_many")
+    return query
 
 
 def query_vector(corpus: DataFrame, id_col: str, vec_col: str, query_id) -> DataFrame:
-    """One-row frame holding the query vector (``limit(1)`` bounds the broadcast)."""
-    return corpus.filter(F.col(id_col) == query_id).select(F.col(vec_col).alias("__q")).limit(1)
+    """One-row frame holding the vector of ``query_id``; an id that is missing or repeated is an error."""
+    return _exactly_one(corpus.filter(F.col(id_col) == query_id).select(F.col(vec_col).alias("__q")))
 
 
 def cosine_topk(corpus: DataFrame, id_col: str, vec_col: str, query: DataFrame, k: int = 10) -> DataFrame:
@@ -103,52 +113,38 @@ def cosine_topk(corpus: DataFrame, id_col: str, vec_col: str, query: DataFrame,
     The one-row query is broadcast; scoring is a projection; ``orderBy().limit(k)``
     plans as a distributed top-k (TakeOrderedAndProject). Ties by id.
     """
-    q = F.broadcast(query.select(F.col(query.columns[0]).alias("__q")).limit(1))
+    q = F.broadcast(_exactly_one(query.select(F.col(query.columns[0]).alias("__q"))))
     scored = corpus.select(id_col, vec_col).crossJoin(q) \
                    .select(F.col(id_col), cosine(vec_col, "__q").alias("score"))
     return scored.orderBy(F.desc_nulls_last("score"), F.asc(id_col)).limit(k)
 
 
 def cosine_topk_many(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame,
-                     query_id_col: str, query_vec_col: str, k: int = 3,
-                     max_broadcast_rows: int = 10000) -> DataFrame:
-    """Top-k neighbours for each query vector: (query_id, id, score, rank).
+                     query_id_col: str, query_vec_col: str, k: int = 3) -> DataFrame:
+    """Top-k neighbours for each query vector: (query_id, id, score, rank); a query with a null id counts as one more id.
 
-    Exact; the query set is broadcast only after its row count is checked. A
-    larger query set is processed in broadcast-sized batches (by query-id range
-    quantiles), each a distributed job; the union is exact.
+    Exact: every corpus vector meets every stated query. Both sides are normalised
+    once, so a pair costs one dot product; the planner broadcasts the query side when its size allows.
     """
-    qs = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("__q"))
-    nq = qs.count()
-    c = corpus.select(id_col, vec_col)
-    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), F.asc(id_col))
+    def unit(v: str) -> F.Column:
+        length = norm(v)
+        return F.when(length != 0, F.transform(v, lambda x: x.cast("double") / length))
 
-    def run(batch: DataFrame) -> DataFrame:
-        s = c.crossJoin(F.broadcast(batch)).select("query_id", id_col, cosine(vec_col, "__q").alias("score"))
-        return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-    if nq <= max_broadcast_rows:
-        return run(qs)
-    nb = -(-nq // max_broadcast_rows)
-    bounds = qs.approxQuantile("query_id", [i / nb for i in range(1, nb)], 0.0)
-    edges = [None, *bounds, None]
-    out = None
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("query_id") > lo)
-        if hi is not None:
-            cond = cond & (F.col("query_id") <= hi)
-        part = run(qs.filter(cond))
-        out = part if out is None else out.unionByName(part)
-    return out
+    qs = queries.select(F.col(query_id_col).alias("query_id"), unit(query_vec_col).alias("__q"))
+    c = corpus.select(id_col, unit(vec_col).alias("__v"))
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), F.asc(id_col))
+    s = c.crossJoin(qs).select("query_id", id_col, dot("__v", "__q").alias("score"))
+    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def _enrich(hits: DataFrame, products: DataFrame, status: DataFrame, product_cols: list[str],
             status_cols: list[str]) -> DataFrame:
+    """Hits with product and status columns. The hits (a top-k result) are broadcast to cut both
+    tables down to the hit keys before the left joins."""
     h = hits.select(F.col("productkey").alias("__hk"), "score")
-    p = products.select(F.col("ProductKey").alias("__pk"), *product_cols)
-    s = status.select(F.col("ProductKey").alias("__sk"), *status_cols)
+    keys = F.broadcast(h.select(F.col("__hk").alias("ProductKey")).distinct())
+    p = products.join(keys, "ProductKey", "left_semi").select(F.col("ProductKey").alias("__pk"), *product_cols)
+    s = status.join(keys, "ProductKey", "left_semi").select(F.col("ProductKey").alias("__sk"), *status_cols)
     return (h.join(p, F.col("__hk") == F.col("__pk"), "left")
              .join(s, F.col("__hk") == F.col("__sk"), "left"))
 
@@ -169,6 +165,7 @@ def search_described(hits: DataFrame, products: DataFrame, status: DataFrame) ->
                     "WeeksUntilStockAvailable", "Margin_Pct")
 
 
+# Fields of the recap payload.
 RECAP_FIELDS = ["CustomerKey", "FirstName", "LastName", "TotalOrders", "TotalUnitsOrdered", "TotalSalesAmount",
                 "POP_AvgTotalOrders", "POP_AvgTotalUnitsOrdered", "POP_AvgTotalSalesAmount", "LatestOrderDate",
                 "EarliestOrderDate", "Gender", "HouseOwnerFlag", "NumberCarsOwned", "CommuteDistance",
@@ -183,6 +180,7 @@ def recap_json(details: DataFrame, instruction: str = RECAP_INSTRUCTION) -> Data
                           F.concat(F.lit(instruction), js).alias("prompt"))
 
 
+# Fields of the return e-mail payload.
 EMAIL_FIELDS = ["EmailAddress", "FirstName", "LastName", "SalesOrderNumber", "SalesOrderLineNumber",
                 "EnglishProductName", "OrderQuantity", "UnitPrice"]
 
@@ -206,7 +204,10 @@ def return_email_json(sales_view: DataFrame, returns: DataFrame, **consts) -> Da
 
 def order_json(line_json: DataFrame) -> DataFrame:
     """Per order, the line JSON strings in line order joined with a space.
-    The gathered group is one order's lines."""
+
+    The result is one string per order, so an order's lines must meet in one task: its size is that of
+    the output row, which an order (a basket a person has filled and which one e-mail lists) keeps small.
+    """
     g = line_json.groupBy("CustomerKey", "SalesOrderNumber").agg(
         F.array_sort(F.collect_list(F.struct("SalesOrderLineNumber", "json_string"))).alias("l"))
     return g.select("CustomerKey", "SalesOrderNumber",

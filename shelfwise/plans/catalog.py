@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import basket, customer, forecast, inventory, mining, propensity, serving, star, text
 from shelfwise.sources import ingest
+from shelfwise.operators.ranking import materialize
 from shelfwise.session import checkpoint_dir
 from shelfwise.sources.binding import ANCHOR_CATEGORY, Warehouse, bind
 from shelfwise.sources.raw import read_table
@@ -58,12 +59,12 @@ def _upsells(w: Warehouse) -> DataFrame:
 
 
 def _scores(w: Warehouse) -> DataFrame:
-    # spend, purchase probability and revenue come out of one aggregate of the order summary
+    # spend, purchase probability and revenue come out of the materialised customer summary
     return customer.model_scores(w.customer_inputs, None, None, w.bike_score_input)
 
 
 def _metrics(w: Warehouse) -> DataFrame:
-    return customer.customer_metrics(w.fact_internet_sales, w.dim_customer, orders=w.order_summary)
+    return customer.customer_metrics(w.customer_summary, w.dim_customer)
 
 
 def _customer_360(w: Warehouse) -> DataFrame:
@@ -110,8 +111,7 @@ def q_customer_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_population_averages(spark, sf):
-    w = bind(spark, sf)
-    return customer.population_averages(w.fact_internet_sales, w.order_summary)
+    return customer.population_averages(bind(spark, sf).customer_summary)
 
 
 def q_star_internet_sales(spark, sf):
@@ -212,24 +212,56 @@ def q_upsell_table(spark, sf):
     return _upsells(bind(spark, sf))
 
 
+def _labels(w: Warehouse) -> DataFrame:
+    """One row per customer of the sales: attributes and whether they bought the anchor category."""
+    return propensity.customer_labels(sales_view(w, need={"EnglishProductCategoryName"}), w.dim_customer, ANCHOR_CATEGORY)
+
+
+def _training(w: Warehouse) -> DataFrame:
+    return materialize(propensity.training_set(_labels(w), AS_OF))
+
+
 def q_buyers(spark, sf):
-    return propensity.buyers(sales_view(bind(spark, sf)), ANCHOR_CATEGORY)
+    return propensity.buyers(_labels(bind(spark, sf)))
 
 
 def q_non_buyers(spark, sf):
-    return propensity.non_buyers(sales_view(bind(spark, sf)), ANCHOR_CATEGORY)
+    return propensity.non_buyers(_labels(bind(spark, sf)))
 
 
 def q_training_set(spark, sf):
-    v = sales_view(bind(spark, sf))
-    return propensity.training_set(propensity.buyers(v, ANCHOR_CATEGORY),
-                                   propensity.non_buyers(v, ANCHOR_CATEGORY), AS_OF)
+    return propensity.training_set(_labels(bind(spark, sf)), AS_OF)
 
 
 def q_propensity_scores(spark, sf):
-    train = q_training_set(spark, sf)
+    """Scores of the non-buyers, best first, saved as a table and read back."""
+    train = _training(bind(spark, sf))
+    path = _scratch(spark, "bike_scores")
+    propensity.save_scores(propensity.score(propensity.fit(train), train), path)
+    return spark.read.parquet(path).orderBy(F.desc("score"), F.asc("customerkey"))
+
+
+def q_propensity_facts(spark, sf):
+    """What must hold for the fitted model whatever the solver's noise: who is scored, the range, the calibration."""
+    train = _training(bind(spark, sf))
     model = propensity.fit(train)
-    return propensity.score(model, train)
+    scores = propensity.score(model, train)
+    scored = scores.agg(F.count(F.lit(1)).alias("scored"), F.countDistinct("customerkey").alias("customers"),
+                        F.sum("customerkey").alias("key_sum"),
+                        F.count_if((F.col("score") >= 0) & (F.col("score") <= 1)).alias("in_range"))
+    fitted = propensity.probabilities(model, train).agg(F.sum("p").alias("expected"), F.sum("BikeBuyer").alias("buyers"))
+    near = F.abs(F.col("expected") - F.col("buyers")) <= 0.001 * F.col("buyers")
+    return scored.crossJoin(F.broadcast(fitted)).select("scored", "customers", "key_sum", "in_range", "buyers", near.alias("calibrated"))
+
+
+def q_model_chain(spark, sf):
+    """C15 -> C17 -> C18/C19 with the fitted model's saved scores in place of the stand-in: who gets which kind of quartile."""
+    w = bind(spark, sf)
+    train = _training(w)
+    path = _scratch(spark, "bike_scores")
+    propensity.save_scores(propensity.score(propensity.fit(train), train), path)
+    ranks = customer.customer_ranks(customer.model_scores(w.customer_inputs, None, None, spark.read.parquet(path)))
+    return ranks.select("customerkey", (F.col("score_quartile") > 0).alias("scored"))
 
 
 def q_customer_revenue(spark, sf):
@@ -387,6 +419,8 @@ def q_freshness(spark, sf):
     w = bind(spark, sf)
     return ingest.freshness([
         ("DimCustomer", "DateFirstPurchase", w.dim_customer),
+        ("DimDate", "FiscalYear", w.dim_date),
+        ("DimPromotion", "EndDate", w.dim_promotion),
         ("DimEmployee", "StartDate", w.dim_employee),
         ("DimProduct", "EndDate", w.dim_product),
         ("FactCallCenter", "Date", w.fact_call_center),
@@ -416,6 +450,16 @@ def q_shift_dates(spark, sf):
     return ingest.shift_dates(o, ["o_orderdate"], months=132, cutoff="2010-04-30", cutoff_col="o_orderdate")
 
 
+def q_shift_employees(spark, sf):
+    """S7 with several cutoffs: start before the cutoff and end before it or open."""
+    return ingest.shift_table(bind(spark, sf).dim_employee, "DimEmployee", cutoff="2007-06-01")
+
+
+def q_shift_calendar(spark, sf):
+    """S7 with year columns: dates move by months, years by whole years."""
+    return ingest.shift_table(bind(spark, sf).dim_date, "DimDate")
+
+
 # ------------------------------------------------- sinks (write, read back)
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -425,11 +469,14 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 # Fixed values of the round-trip catalog over the driver tables: table -> cluster keys.
 DRIVER_CATALOG = {"lineitem": "l_orderkey,l_linenumber", "orders": "o_orderkey", "customer": "c_custkey",
-                  "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
+                  "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey",
+                  "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
+                  "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id,turn"}
 
 
 def q_ingest_roundtrip(spark, sf):
-    """Catalog-driven clustered ingest, then source vs written row counts."""
+    """Catalog-driven clustered ingest of all tables, then each source and its written copy compared
+    by row count and by an order-independent sum of row hashes."""
     root = _scratch(spark, "warehouse")
     read = lambda t: read_table(spark, sf, t)
     ingest.ingest(spark, read, root, catalog=DRIVER_CATALOG)
@@ -443,6 +490,18 @@ def q_clustered_write(spark, sf):
     return spark.read.parquet(path)
 
 
+def q_replace_append_table(spark, sf):
+    """A catalog table replaced twice (the second schema wins), then appended to, read back and dropped."""
+    orders = bind(spark, sf).raw("orders")
+    name = f"shelfwise_orders_{uuid.uuid4().hex}"
+    ingest.replace_table(orders.select("o_orderkey"), name)
+    ingest.replace_table(orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus"), name, ["o_orderkey"])
+    ingest.append_table(orders.where("o_orderkey % 2 <> 0").select("o_orderstatus", "o_orderkey"), name)
+    out = materialize(spark.table(name))
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def q_append_returns(spark, sf):
     """Validated returned lines appended to a returns table, read back."""
     w = bind(spark, sf)
@@ -466,9 +525,9 @@ def q_returns_stream(spark, sf):
     landing, ret_path, pay_path = (_scratch(spark, n) for n in ("returns-landing", "fact_returns", "payloads"))
     _returns(w).write.parquet(landing)
     v = sales_view(w, need={"EmailAddress", "FirstName", "LastName", "EnglishProductName", "CustomerKey"})
-    q = returns_stream.start_returns_stream(spark, landing, v, ret_path, pay_path)
+    q = returns_stream.start_returns_stream(spark, landing, v, ret_path, pay_path, _scratch(spark, "returns-checkpoint"))
     q.awaitTermination()
-    return spark.read.parquet(pay_path).drop("batch_id")
+    return spark.read.parquet(pay_path).drop("stream", "batch_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,49 +2,57 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def session_settings(master: str | None = None, shuffle_partitions: int | None = None,
+                     driver_memory: str | None = None) -> dict[str, str]:
+    """Settings that ``get_session`` puts on top of what the cluster configures."""
+    settings = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+    asked = {"spark.master": master, "spark.sql.shuffle.partitions": shuffle_partitions and str(shuffle_partitions),
+             "spark.driver.memory": driver_memory}
+    return settings | {key: value for key, value in asked.items() if value}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "shelfwise") -> SparkSession:
-    """Build (or reuse) a session tuned for the operators in this package.
+                app_name: str = "shelfwise", driver_memory: str | None = None) -> SparkSession:
+    """Build (or reuse) a session with the settings the operators rely on.
 
-    On a cluster the master and resources come from spark-submit; locally we
-    size shuffle partitions to the core count instead of the default 200.
+    The master, the memory and the number of shuffle partitions come from the
+    cluster (spark-submit, its defaults file) unless the caller passes them, as
+    tests and the benchmark do.
     """
-    cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
     builder = SparkSession.builder.appName(app_name)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or f"local[{cpus}]")
-    parts = shuffle_partitions or int(cpus)
-    builder = (
-        builder
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("SHELFWISE_DRIVER_MEMORY", "16g"))
-    )
+    for key, value in session_settings(master, shuffle_partitions, driver_memory).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local-cluster`` is not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local runs and tests) do we point it at a fresh
-    scratch folder; on a cluster the configured shared folder is always used.
+    Only a local run without the setting gets a fresh scratch folder; on a cluster
+    a folder that executors do not share would lose data, so there the setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,7 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # unset: local run or test — a fresh scratch folder, never reused
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="shelfwise-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

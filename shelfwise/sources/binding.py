@@ -278,8 +278,23 @@ class Warehouse:
             F.concat(F.lit("555-"), F.lpad((k % 10000).cast("string"), 4, "0")).alias("Phone"),
             F.date_add(F.lit(dt.date(1995, 1, 1)), (k % 365).cast("int")).alias("DateFirstPurchase"),
             _pick(k, COMMUTE).alias("CommuteDistance"),
+            F.when(k % 9 == 0, "Dr.").alias("Title"),
+            F.substring(F.lit("ABCDEFGHIJ"), (k % 10 + 1).cast("int"), F.lit(1)).alias("MiddleName"),
+            F.lit("0").alias("NameStyle"),
+            F.when(k % 50 == 0, "Jr.").alias("Suffix"),
+            F.concat(F.lit("es:"), _pick(k, EDUCATION)).alias("SpanishEducation"),
+            F.concat(F.lit("fr:"), _pick(k, EDUCATION)).alias("FrenchEducation"),
+            F.concat(F.lit("es:"), F.col("c_mktsegment")).alias("SpanishOccupation"),
+            F.concat(F.lit("fr:"), F.col("c_mktsegment")).alias("FrenchOccupation"),
+            F.when(k % 8 == 0, F.concat(F.lit("Unit "), (k % 40).cast("string"))).alias("AddressLine2"),
         )
 
+    @cached_property
+    def dim_promotion(self) -> DataFrame:
+        """One promotion per order priority, over the days of its orders."""
+        o = self.raw("orders").groupBy(F.substring("o_orderpriority", 1, 1).cast("int").alias("PromotionKey"))
+        return o.agg(F.to_date(F.min("o_orderdate")).alias("StartDate"), F.to_date(F.max("o_orderdate")).alias("EndDate"))
+
     @cached_property
     def dim_geography(self) -> DataFrame:
         return self.raw("nation").select(
@@ -360,25 +375,25 @@ class Warehouse:
 
     # ----------------------------------------------- inputs with no builder
     @cached_property
-    def order_summary(self) -> DataFrame:
-        """Per (customer, order) aggregate of internet sales, shared by the customer datasets."""
-        from shelfwise.operators.customer import order_summary
-        return order_summary(self.fact_internet_sales)
+    def customer_summary(self) -> DataFrame:
+        """Per-customer aggregate of internet sales, written once to the shared scratch folder and read by
+        metrics, averages, revenue and score inputs: one scan of the fact for all of them."""
+        from shelfwise.operators.customer import customer_summary, order_summary
+        from shelfwise.operators.ranking import materialize
+        year_ago = SCORE_AS_OF - dt.timedelta(days=365)
+        return materialize(customer_summary(order_summary(self.fact_internet_sales), year_ago))
 
     @cached_property
     def customer_inputs(self) -> DataFrame:
         """Stand-ins for the unowned spend-prediction and purchase-probability tables, plus
-        revenue, from ONE aggregate of the order summary (relative to ``SCORE_AS_OF``):
-        spend = sales in the 365 days up to the as-of date; purchase_prob =
-        orders / (orders + days from the last order to the as-of date); rev = all sales."""
-        o = self.order_summary
-        asof = F.lit(SCORE_AS_OF)
-        recent = F.when(F.col("d1") > F.date_sub(asof, 365), F.col("a"))
-        g = o.groupBy(F.col("CustomerKey").alias("customerkey")).agg(
-            F.sum(recent).cast("double").alias("spend"), F.count(F.lit(1)).alias("n"),
-            F.max("d1").alias("latest"), F.sum("a").cast("double").alias("rev"))
-        prob = F.col("n") / (F.col("n") + F.datediff(asof, F.col("latest")))
-        return g.select("customerkey", "spend", prob.alias("purchase_prob"), "rev")
+        revenue (relative to ``SCORE_AS_OF``): spend = sales in the 365 days up to the as-of
+        date; purchase_prob = orders / (orders + days from the last order to the as-of date);
+        rev = all sales."""
+        n = F.col("TotalOrders")
+        prob = n / (n + F.datediff(F.lit(SCORE_AS_OF), F.col("LatestOrderDate")))
+        return self.customer_summary.select(
+            F.col("CustomerKey").alias("customerkey"), F.col("__recent").cast("double").alias("spend"),
+            prob.alias("purchase_prob"), F.col("__amt").cast("double").alias("rev"))
 
     @cached_property
     def customer_spend(self) -> DataFrame:

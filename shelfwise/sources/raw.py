@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 RAW_TABLES = (
@@ -17,50 +15,17 @@ RAW_KEYS = {
     "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id",
     "labels": "doc_id", "conversations": "conv_id",
 }
-# a scan with fewer splits than cores is re-spread only when the table is at least this large
-SPREAD_MIN_BYTES = 4 << 20
-
-
-def table_path(sf_dir: str, name: str) -> str:
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    return path if os.path.exists(path) else os.path.join(sf_dir, name)
-
-
-def _local_bytes(path: str) -> int | None:
-    if os.path.isfile(path):
-        return os.path.getsize(path)
-    if os.path.isdir(path):
-        return sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(path) for f in fs)
-    return None  # remote storage: large inputs are split into many scan tasks anyway
-
-
-_SCANS: dict[tuple, DataFrame] = {}
+# session setting (unset by default, used by the benchmark on one machine): scan partitions to spread a table over
+SPREAD_SETTING = "spark.shelfwise.scan.partitions"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
 
-    A file written as a single row group scans as a single task. When such a
-    table is big enough to matter and has fewer scan splits than the session's
-    parallelism, it is hash-partitioned on its natural key right after the scan
-    (only the pruned columns are shuffled), so downstream broadcast-join pipelines
-    and partial aggregates use every core. On large, well-split inputs this never fires.
-
-    The scan DataFrame (a plan, not data) is reused per session while the files
-    are unchanged, so repeated queries skip file listing and footer reads.
+    Any path Spark can read works: the folder is not looked at from the driver. A file
+    written as one row group scans as one task; where that matters (a benchmark on one machine)
+    ``SPREAD_SETTING`` hash-partitions every table on its natural key right after the scan.
     """
-    path = table_path(sf_dir, name)
-    size = _local_bytes(path)
-    stamp = os.path.getmtime(path) if os.path.exists(path) else None
-    key = (spark.sparkContext.applicationId, id(spark), path, size, stamp)
-    hit = _SCANS.get(key)
-    if hit is not None:
-        return hit
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if size is not None and size >= SPREAD_MIN_BYTES and name in RAW_KEYS:
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, RAW_KEYS[name])
-    if size is not None:  # remote inputs are not memoised: their listing may change
-        _SCANS[key] = df
-    return df
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    spread = spark.conf.get(SPREAD_SETTING, None)
+    return df.repartition(int(spread), RAW_KEYS[name]) if spread and name in RAW_KEYS else df

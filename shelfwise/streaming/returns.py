@@ -1,59 +1,75 @@
 """Returned order lines as a stream (S11 + T9 incrementally).
 
-Source: files landing in a folder (``readStream`` with an explicit schema).
-Each micro-batch is de-duplicated within the batch, validated against the sales
-keys with a left-semi join, appended to the returns table, and the matching
-return-email JSON payloads are appended to a payload table. ``foreachBatch``
-gives exactly-once table appends by skipping batch ids already committed (the
-batch id is written into each appended row); the query checkpoint lives under
-the shared ``spark.checkpoint.dir`` so a restarted driver resumes where it stopped.
+Source: files landing in a folder (``readStream`` with an explicit schema). Each
+micro-batch is de-duplicated, validated against the sales keys with a left-semi
+join, freed of lines that an earlier batch already returned, and written with
+its return-email payloads.
+
+Exactly once: a batch owns one folder per sink, ``stream=<id>/batch_id=<n>``, and overwrites
+it. The stream id comes from the query's checkpoint, so a replay after a crash at any point
+rewrites the same folders, and a second query into the same tables has folders of its own. The caller names
+the checkpoint: without a lasting one a restart could not know what it has read.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfwise.operators import text
-from shelfwise.session import checkpoint_dir
+from shelfwise.operators.ranking import materialize
 
 RETURN_SCHEMA = "OrderNumber long, LineNumber int"
 
 
-def _already_committed(spark: SparkSession, path: str, batch_id: int) -> bool:
+STORED_SCHEMA = RETURN_SCHEMA + ", stream string, batch_id long"
+
+
+def stream_id(checkpoint: str) -> str:
+    """Name of a stream's folders, the same for every run over the same checkpoint."""
+    return "s" + uuid.uuid5(uuid.NAMESPACE_URL, checkpoint.rstrip("/")).hex
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """Returns that are already stored; None before the first write. Other read errors are raised."""
     try:
-        return spark.read.parquet(path).filter(F.col("batch_id") == batch_id).limit(1).count() > 0
-    except Exception:  # noqa: BLE001 - table not created yet
-        return False
+        return spark.read.schema(STORED_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in (error.getCondition() or ""):
+            return None
+        raise
 
 
-def process_batch(batch: DataFrame, batch_id: int, sales_keys: DataFrame, sales_view: DataFrame,
+def process_batch(batch: DataFrame, batch_id: int, stream: str, sales_keys: DataFrame, sales_view: DataFrame,
                   returns_path: str, payload_path: str) -> None:
-    """Validate one micro-batch of returns, append it and its e-mail payloads."""
-    spark = batch.sparkSession
-    if _already_committed(spark, returns_path, batch_id):
-        return
+    """Validate one micro-batch of returns and write it and its e-mail payloads to the batch's own folders."""
     valid = batch.select("OrderNumber", "LineNumber").distinct() \
                  .join(sales_keys, ["OrderNumber", "LineNumber"], "left_semi")
-    valid.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(returns_path)
-    payload = text.return_email_json(sales_view, valid)
-    payload.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(payload_path)
+    stored = _stored(batch.sparkSession, returns_path)
+    if stored is not None:
+        other = stored.where((F.col("stream") != stream) | (F.col("batch_id") != batch_id))
+        valid = valid.join(other, ["OrderNumber", "LineNumber"], "left_anti")
+    valid = materialize(valid)
+    folder = f"stream={stream}/batch_id={batch_id}"
+    # payloads first: while the returns are missing, a replay finds the lines new and writes both again
+    text.return_email_json(sales_view, valid).write.mode("overwrite").parquet(f"{payload_path}/{folder}")
+    valid.write.mode("overwrite").parquet(f"{returns_path}/{folder}")
 
 
 def start_returns_stream(spark: SparkSession, landing_dir: str, sales_view: DataFrame,
-                         returns_path: str, payload_path: str, checkpoint: str | None = None,
+                         returns_path: str, payload_path: str, checkpoint: str,
                          trigger_seconds: int | None = None) -> StreamingQuery:
     """Start the returns stream over parquet files arriving in ``landing_dir``."""
+    stream = stream_id(checkpoint)
     keys = sales_view.select(F.col("SalesOrderNumber").alias("OrderNumber"),
                              F.col("SalesOrderLineNumber").alias("LineNumber"))
     src = spark.readStream.schema(RETURN_SCHEMA).parquet(landing_dir)
-    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), f"returns-stream-{uuid.uuid4().hex}")
     w = (src.writeStream
-         .foreachBatch(lambda b, i: process_batch(b, i, keys, sales_view, returns_path, payload_path))
-         .option("checkpointLocation", ckpt))
+         .foreachBatch(lambda b, i: process_batch(b, i, stream, keys, sales_view, returns_path, payload_path))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(processingTime=f"{trigger_seconds} seconds") if trigger_seconds else w.trigger(availableNow=True)
     return w.start()

@@ -12,7 +12,7 @@ SF_SMOKE = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session(master="local[4]", shuffle_partitions=8)
+    s = get_session(master="local[4]", shuffle_partitions=8, driver_memory="8g")
     yield s
     s.stop()
 

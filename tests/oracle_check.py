@@ -21,13 +21,13 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from shelfwise.session import get_session  # noqa: E402
-from shelfwise.sources.raw import RAW_TABLES, table_path  # noqa: E402
+from shelfwise.sources.raw import RAW_TABLES  # noqa: E402
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in RAW_TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(sf_dir, t)}')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con
 
 
@@ -60,12 +60,12 @@ def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = set(sys.argv[2:])
     import __spark_entry__ as E
-    spark = get_session()
+    spark = get_session(master="local[4]", shuffle_partitions=8, driver_memory="8g")
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     report = {}
     for name, fn in qs.items():
-        if only and name not in only:
+        if name not in (only or sqls):
             continue
         rec = {}
         t0 = time.time()

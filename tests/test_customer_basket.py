@@ -4,6 +4,7 @@ from collections import Counter
 from conftest import rows
 from shelfwise.operators import basket, customer
 from shelfwise.functions.columns import badge
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -13,7 +14,7 @@ def test_quartiles_edges_ties_nulls(spark):
             (6, 60.0, 5.0), (7, 50.0, 4.0), (8, 40.0, 3.0), (9, None, 2.0)]
     df = spark.createDataFrame(data, "customerkey int, spend double, rev double")
     out = {r["customerkey"]: (r["spend_rank"], r["spend_quartile"])
-           for r in rows(customer.add_quartiles(df, "spend", "rev"))}
+           for r in rows(customer.customer_ranks(df.selectExpr("*", "1.0D AS purchase_prob", "0.5D AS score")))}
     # percent_rank = (rank-1)/(n-1) with n = 9: exact .25/.5/.75 at ranks 3, 5, 7
     assert out[1] == (0.0, 1) and out[3] == (0.25, 1) and out[4] == (0.375, 2)
     assert out[5] == (0.5, 2) and out[7] == (0.75, 3) and out[8] == (0.875, 4)
@@ -23,24 +24,27 @@ def test_quartiles_edges_ties_nulls(spark):
 def test_score_quartiles_zero_and_null_get_quartile_zero(spark):
     data = [(1, 0.9, 5.0), (2, None, 4.0), (3, 0.0, 3.0), (4, 0.5, 2.0), (5, 0.1, 1.0)]
     df = spark.createDataFrame(data, "customerkey int, score double, rev double")
-    got = {r["customerkey"]: r["score_quartile"] for r in rows(customer.add_score_quartiles(df, "rev"))}
+    got = {r["customerkey"]: r["score_quartile"] for r in rows(customer.customer_ranks(df.selectExpr("*", "1.0D AS spend", "1.0D AS purchase_prob")))}
     assert got[2] == 0 and got[3] == 0
     # ranks over all 5 rows: 0, .25, .5 for the non-zero scores
     assert got[1] == 1 and got[4] == 1 and got[5] == 2
 
 
-def test_customer_ranks_matches_separate_passes(spark):
+def test_customer_ranks_equal_global_windows(spark):
     data = [(i, float(i % 7), (i * 3) % 5 / 10.0 if i % 4 else None, float(i % 3), (i % 5) / 10.0 or None)
             for i in range(40)]
     df = spark.createDataFrame(data, "customerkey int, spend double, purchase_prob double, rev double, score double")
     together = {r["customerkey"]: r for r in rows(customer.customer_ranks(df))}
-    step = customer.add_score_quartiles(df, "rev")
-    step = customer.add_quartiles(step, "spend", "rev")
-    step = customer.add_quartiles(step, "purchase_prob", "rev")
+    step = df.fillna(0.0, ["score"])
+    for c in ("score", "spend", "purchase_prob"):
+        over = Window.orderBy(F.col(c).desc_nulls_last(), F.col("rev").desc_nulls_last())
+        step = step.withColumn(f"{c}_rank", F.percent_rank().over(over))
     for r in rows(step):
         t = together[r["customerkey"]]
-        for c in ("score_quartile", "spend_quartile", "purchase_prob_quartile", "spend_rank"):
-            assert t[c] == r[c]
+        for c in ("score", "spend", "purchase_prob"):
+            assert t[f"{c}_rank"] == r[f"{c}_rank"]
+            quartile = 1 + sum(r[f"{c}_rank"] > edge for edge in (0.25, 0.5, 0.75))
+            assert t[f"{c}_quartile"] == (0 if c == "score" and r[c] == 0 else quartile)
 
 
 def test_customer_metrics_repeated_order_lines_and_population(spark):
@@ -54,7 +58,7 @@ def test_customer_metrics_repeated_order_lines_and_population(spark):
                                  "CustomerKey long, FirstName string, LastName string, Gender string, "
                                  "HouseOwnerFlag string, NumberCarsOwned int, CommuteDistance string, "
                                  "YearlyIncome double")
-    got = {r["CustomerKey"]: r for r in rows(customer.customer_metrics(sales, cust))}
+    got = {r["CustomerKey"]: r for r in rows(customer.customer_metrics(customer.customer_summary(customer.order_summary(sales)), cust))}
     a = got[1]
     assert a["TotalOrders"] == 2 and a["TotalUnitsOrdered"] == 6 and a["AvgUnitsOrdered"] == 2.0
     assert a["TotalSalesAmount"] == 35.0 and abs(a["AvgSalesAmount"] - 35.0 / 3) < 1e-12
@@ -90,10 +94,10 @@ def test_pair_counts_equal_line_level_self_join(spark):
     df = spark.createDataFrame(lines, "t long, p long, c string")
     br = basket.basket_rows(df, "t", "p", "c")
     want = _brute_pairs([(t, p, c if c is not None else basket.NO_CATEGORY) for t, p, c in lines], "Bikes")
-    for bucket_items in (1, 2, 50_000):  # every basket hot (1, 2) or none (default)
+    for bucket in (1, 2, 1_000_000):  # every basket cut on both sides (1, 2) or none (default)
         got = {(r["bike_key"], r["product_key"], r["product_category"]): r["count"]
-               for r in rows(basket.pair_counts(br, "Bikes", bucket_items=bucket_items))}
-        assert got == dict(want), bucket_items
+               for r in rows(basket.pair_counts(br, "Bikes", pairs_per_bucket=bucket))}
+        assert got == dict(want), bucket
         assert got[(10, 20, "Helmets")] == 2 and got[(11, 20, "Helmets")] == 2
 
 
@@ -103,7 +107,7 @@ def test_pair_counts_hot_basket_salted(spark):
     lines += [(t, 10, "Bikes") for t in range(2, 6)] + [(t, 100, "Parts") for t in range(2, 6)]
     df = spark.createDataFrame(lines, "t long, p long, c string")
     got = {(r["bike_key"], r["product_key"]): r["count"]
-           for r in rows(basket.pair_counts(basket.basket_rows(df, "t", "p", "c"), "Bikes", bucket_items=20))}
+           for r in rows(basket.pair_counts(basket.basket_rows(df, "t", "p", "c"), "Bikes", pairs_per_bucket=20))}
     assert len(got) == 600 and got[(10, 100)] == 5 and sum(got.values()) == 600 + 4
 
 

@@ -48,7 +48,7 @@ def test_customer_filter_reaches_the_scan(spark):
 
 def test_distributed_rank_has_no_single_partition_over_rows(spark):
     df = spark.range(5000).select(F.col("id"), (F.col("id") % 97).cast("double").alias("v"))
-    table = ranking.global_rank_table(df, [("v", True)], num_partitions=4, small=False)
+    table = ranking.global_rank_table(df, [("v", True)], num_partitions=4)
     plan = _plan(table)
     # the only single-partition exchange allowed is the per-partition offset table (n rows)
     assert plan.count("SinglePartition") <= 1

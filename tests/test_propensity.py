@@ -31,16 +31,22 @@ def _view(spark, n=300, seed=3):
     return spark.createDataFrame(data, schema)
 
 
+def _labels(view):
+    return propensity.customer_labels(view, view.select(*ATTRS).distinct(), "Bikes")
+
+
 def test_buyers_and_non_buyers_partition_customers(spark):
     v = _view(spark)
-    b = {r["CustomerKey"] for r in rows(propensity.buyers(v, "Bikes"))}
-    nb = {r["CustomerKey"] for r in rows(propensity.non_buyers(v, "Bikes"))}
+    labels = _labels(v)
+    b = {r["CustomerKey"] for r in rows(propensity.buyers(labels))}
+    nb = {r["CustomerKey"] for r in rows(propensity.non_buyers(labels))}
+    assert b == {r["CustomerKey"] for r in rows(v.where("EnglishProductCategoryName = 'Bikes'").select("CustomerKey"))}
     assert not (b & nb) and (b | nb) == {r["CustomerKey"] for r in rows(v.select("CustomerKey").distinct())}
 
 
 def test_model_learns_planted_signal(spark):
     v = _view(spark)
-    train = propensity.training_set(propensity.buyers(v, "Bikes"), propensity.non_buyers(v, "Bikes"), "2002-01-01")
+    train = propensity.training_set(_labels(v), "2002-01-01")
     model = propensity.fit(train)
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     auc = BinaryClassificationEvaluator(labelCol="BikeBuyer", rawPredictionCol="p").evaluate(
@@ -48,4 +54,5 @@ def test_model_learns_planted_signal(spark):
     assert auc > 0.75
     sc = rows(propensity.score(model, train))
     assert sc and all(0.0 <= r["score"] <= 1.0 for r in sc)
-    assert {r["customerkey"] for r in sc} == {r["CustomerKey"] for r in rows(propensity.non_buyers(v, "Bikes"))}
+    assert [r["score"] for r in sc] == sorted((r["score"] for r in sc), reverse=True)
+    assert {r["customerkey"] for r in sc} == {r["CustomerKey"] for r in rows(propensity.non_buyers(_labels(v)))}

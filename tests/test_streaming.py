@@ -22,14 +22,40 @@ def test_batch_replay_is_idempotent_and_validates(spark):
     keys = view.select(F.col("SalesOrderNumber").alias("OrderNumber"),
                        F.col("SalesOrderLineNumber").alias("LineNumber"))
     batch = spark.createDataFrame([(10, 2), (10, 2), (99, 1)], returns.RETURN_SCHEMA)  # dup + unknown line
-    returns.process_batch(batch, 0, keys, view, ret_path, pay_path)
-    returns.process_batch(batch, 0, keys, view, ret_path, pay_path)  # replay after a failure: skipped
+    returns.process_batch(batch, 0, "s1", keys, view, ret_path, pay_path)
+    returns.process_batch(batch, 0, "s1", keys, view, ret_path, pay_path)  # replay: the same folders again
     got = rows(spark.read.parquet(ret_path))
-    assert got == [{"OrderNumber": 10, "LineNumber": 2, "batch_id": 0}]
+    assert got == [{"OrderNumber": 10, "LineNumber": 2, "stream": "s1", "batch_id": 0}]
     pay = rows(spark.read.parquet(pay_path))
     assert len(pay) == 1 and '"EnglishProductName":"Helmet"' in pay[0]["json_string"]
 
 
+def test_second_stream_resent_lines_and_crash_between_the_writes(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="shelfwise-stream-", dir="/tmp")
+    ret_path, pay_path = os.path.join(root, "returns"), os.path.join(root, "payloads")
+    view = _view(spark)
+    lines = {"a": [(10, 1)], "b": [(11, 1), (10, 1)]}
+    for name, data in lines.items():  # two queries, each starting at batch 0, into the same tables
+        landing = os.path.join(root, f"landing-{name}")
+        spark.createDataFrame(data, returns.RETURN_SCHEMA).write.parquet(landing)
+        returns.start_returns_stream(spark, landing, view, ret_path, pay_path, os.path.join(root, f"ckpt-{name}")).awaitTermination()
+    stored = sorted((r["OrderNumber"], r["LineNumber"]) for r in rows(spark.read.parquet(ret_path)))
+    assert stored == [(10, 1), (11, 1)]  # nothing skipped, the resent line neither stored nor mailed again
+    assert spark.read.parquet(pay_path).count() == 2
+    keys = view.select(F.col("SalesOrderNumber").alias("OrderNumber"), F.col("SalesOrderLineNumber").alias("LineNumber"))
+    batch = spark.createDataFrame([(10, 2)], returns.RETURN_SCHEMA)
+    whole = returns.text.return_email_json
+    monkeypatch.setattr(returns.text, "return_email_json", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    try:
+        returns.process_batch(batch, 7, "s9", keys, view, ret_path, pay_path)
+        raise AssertionError("the write should have failed")
+    except OSError:
+        monkeypatch.setattr(returns.text, "return_email_json", whole)
+    returns.process_batch(batch, 7, "s9", keys, view, ret_path, pay_path)
+    assert spark.read.parquet(ret_path).where("stream = 's9'").count() == 1
+    assert spark.read.parquet(pay_path).where("stream = 's9'").count() == 1
+
+
 def test_stream_end_to_end_available_now(spark):
     root = tempfile.mkdtemp(prefix="shelfwise-stream-", dir="/tmp")
     landing = os.path.join(root, "landing")

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import math
 import os
@@ -21,14 +22,51 @@ def test_cosine_topk_edges(spark):
     assert got[3]["score"] is None and got[4]["score"] is None  # zero and NULL vectors
 
 
-def test_cosine_topk_many_batches_equal_single_broadcast(spark):
-    corpus = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(30)],
-                                   "id long, v array<float>")
-    queries = corpus.filter("id < 12").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-    one = rows(text.cosine_topk_many(corpus, "id", "v", queries, "qid", "qv", k=3), "query_id", "rank")
-    batched = rows(text.cosine_topk_many(corpus, "id", "v", queries, "qid", "qv", k=3, max_broadcast_rows=4),
-                   "query_id", "rank")
-    assert one == batched and len(one) == 36
+def test_cosine_topk_many_null_and_text_ids(spark):
+    corpus = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(30)], "id int, v array<double>")
+    queries = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), (None, [0.0, 1.0, 1.0]), ("c", [0.0, 0.0, 0.0])], "qid string, qv array<double>")
+    got = rows(text.cosine_topk_many(corpus, "id", "v", queries, "qid", "qv", k=3))
+    assert len(got) == 9 and {r["query_id"] for r in got} == {"a", None, "c"}
+    vectors = {i: (float(i % 5), float(i % 3), 1.0) for i in range(30)}
+    for q, x in (("a", (1.0, 0.0, 0.0)), (None, (0.0, 1.0, 1.0))):
+        cos = {i: sum(p * r for p, r in zip(v, x)) / math.sqrt(sum(p * p for p in v) * sum(p * p for p in x)) for i, v in vectors.items()}
+        best = sorted(cos.values(), reverse=True)[:3]
+        mine = sorted((r["score"] for r in got if r["query_id"] == q), reverse=True)
+        assert all(abs(m - e) < 1e-9 for m, e in zip(mine, best))
+
+
+def test_search_wants_exactly_one_query(spark):
+    corpus = spark.createDataFrame([(1, [1.0]), (1, [2.0]), (2, [3.0])], "id int, v array<double>")
+    for frame in (lambda: text.query_vector(corpus, "id", "v", 1), lambda: text.query_vector(corpus, "id", "v", 9),
+                  lambda: text.cosine_topk(corpus, "id", "v", corpus.select("v"))):
+        with pytest.raises(ValueError):
+            frame()
+    assert text.cosine_topk(corpus, "id", "v", text.query_vector(corpus, "id", "v", 2)).count() == 3
+
+
+def test_jdbc_options_split_each_table_by_itself():
+    split = ingest.Split("OrderKey", 1, 1000, 8)
+    assert ingest.jdbc_options("jdbc:x", "T", {"user": "u"}) == {"url": "jdbc:x", "dbtable": "T", "user": "u"}
+    got = ingest.jdbc_options("jdbc:x", "T", {}, split)
+    assert (got["partitionColumn"], got["lowerBound"], got["upperBound"], got["numPartitions"]) == ("OrderKey", "1", "1000", "8")
+
+
+def test_shift_table_cutoffs_years_and_nulls(spark):
+    d = dt.date
+    people = spark.createDataFrame([(1, d(2010, 1, 1), None), (2, d(2010, 1, 1), d(2012, 1, 1)), (3, d(2010, 1, 1), d(2014, 1, 1)), (4, d(2014, 1, 1), None)],
+                                   "k int, StartDate date, EndDate date")
+    got = rows(ingest.shift_table(people, "DimEmployee"), "k")
+    assert [(r["k"], r["StartDate"], r["EndDate"]) for r in got] == [(1, d(2021, 1, 1), None), (2, d(2021, 1, 1), d(2023, 1, 1))]
+    years = spark.createDataFrame([(2000, 1999)], "YearOpened int, LastOrderYear int")
+    assert rows(ingest.shift_table(years, "DimReseller")) == [{"YearOpened": 2011, "LastOrderYear": 2010}]
+    assert rows(ingest.shift_table(years, "Unlisted")) == rows(years)
+
+
+def test_session_settings_leave_the_cluster_alone():
+    from shelfwise.session import is_local, session_settings
+    assert not {"spark.master", "spark.sql.shuffle.partitions", "spark.driver.memory"} & set(session_settings())
+    assert session_settings("yarn", 400)["spark.sql.shuffle.partitions"] == "400"
+    assert is_local("local[4]") and is_local("local") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
 
 
 def test_keywords_tfidf(spark):
