@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.session import checkpoint_dir
 
 HASH_BUCKETS = 1 << 40
+SLICE_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +40,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give a finished task's memory back: workers are reused, and what one stage leaves would pile up on the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that Python objects exist for few texts at a time; memory is given back at the end."""
+    try:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                yield batch.slice(start, rows)
+    finally:
+        release_memory()
+
+
 def fold(column: str, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod`` (null id: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import sliced
+
 MIN_MATCH = 5
 COVERAGE = 0.6
 CHUNK_BYTES = 16 << 20
@@ -181,16 +183,14 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     def pass_over(items: list[tuple]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = SeedTable(items, min_match)
-            for batch in batches:
-                for start in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(start, SLICE)
-                    found = list(table.contaminations(part.column(1).to_pylist(), coverage))
-                    if found:
-                        doc_ids = part.column(0).to_pylist()
-                        cols = list(zip(*[(doc_ids[f[0]], *f[1:]) for f in found]))
-                        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-                        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[
-                            "doc_id", "item_id", "coverage", "covered_words", "item_words", "tiles", "longest_tile"])
+            for part in sliced(batches, SLICE):
+                found = list(table.contaminations(part.column(1).to_pylist(), coverage))
+                if found:
+                    doc_ids = part.column(0).to_pylist()
+                    cols = list(zip(*[(doc_ids[f[0]], *f[1:]) for f in found]))
+                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[
+                        "doc_id", "item_id", "coverage", "covered_words", "item_words", "tiles", "longest_tile"])
 
         return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, PAIR_SCHEMA)
 
@@ -209,12 +209,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     def pass_over(rows: DataFrame, items: list[tuple]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = SeedTable(items, min_match)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for start in range(0, batch.num_rows, SLICE):
-                    for found in table.contaminations(batch.column(at).slice(start, SLICE).to_pylist(), coverage):
-                        keep[start + found[0]] = False
-                yield batch.filter(pa.array(keep))
+            for part in sliced(batches, SLICE):
+                keep = np.ones(part.num_rows, bool)
+                keep[[found[0] for found in table.contaminations(part.column(at).to_pylist(), coverage)]] = False
+                yield part.filter(pa.array(keep))
 
         return rows.mapInArrow(run, schema)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import HASH_BUCKETS, fold
+from shelfwise.llm.common import HASH_BUCKETS, fold, sliced
 from shelfwise.llm.pu import clipped_prior
 
 HELD_OUT_MOD = 5
@@ -48,12 +48,10 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, positives: in
 def score_rows(docs: DataFrame, score_texts: Callable[[list[str | None]], np.ndarray], threshold: float) -> DataFrame:
     """Per row: doc_id, held_out, score and predicted (1 if the score reaches ``threshold``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                score = score_texts(part.column(2).to_pylist())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))],
-                                      names=["doc_id", "held_out", "score", "predicted"])
+        for part in sliced(batches):
+            score = score_texts(part.column(2).to_pylist())
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))],
+                                  names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, SCORE_SCHEMA)
 
@@ -63,9 +61,7 @@ def keep_rows(docs: DataFrame, score_texts: Callable[[list[str | None]], np.ndar
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [bool(s >= threshold) for start in range(0, batch.num_rows, 1024)
-                    for s in score_texts(batch.column(at).slice(start, 1024).to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for part in sliced(batches):
+            yield part.filter(pa.array(score_texts(part.column(at).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

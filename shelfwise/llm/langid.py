@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import fold, hash_sample
+from shelfwise.llm.common import fold, hash_sample, sliced
 
 UNKNOWN = "und"
 HELD_OUT_MOD, HELD_OUT_FOLD = 4, 2
@@ -267,12 +267,10 @@ PREDICT_SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score doubl
 def predict(docs: DataFrame, model: ByteGRU) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred (``und`` without a letter) and score (0 to 1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                names, scores = predict_texts(model, part.column(2).to_pylist())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                      names=["doc_id", "held_out", "lang_pred", "score"])
+        for part in sliced(batches):
+            names, scores = predict_texts(model, part.column(2).to_pylist())
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                                  names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, PREDICT_SCHEMA)
 
@@ -282,11 +280,8 @@ def keep_identified(docs: DataFrame, model: ByteGRU, reject_below: float = REJEC
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep: list[bool] = []
-            for start in range(0, batch.num_rows, 1024):
-                names, scores = predict_texts(model, batch.column(at).slice(start, 1024).to_pylist())
-                keep += [n != UNKNOWN and s >= reject_below for n, s in zip(names, scores)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for part in sliced(batches):
+            names, scores = predict_texts(model, part.column(at).to_pylist())
+            yield part.filter(pa.array([n != UNKNOWN and s >= reject_below for n, s in zip(names, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

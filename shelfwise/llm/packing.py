@@ -32,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.tokens import BYTE_BPE, MEMO_PIECES, PieceEncoder, per_worker, tokenizer_path
+from shelfwise.llm.common import sliced
+from shelfwise.llm.tokens import BYTE_BPE, MEMO_PIECES, PieceEncoder, tokenizer_path
 
 MAX_TOKENS = 1024
 MAX_SEGMENTS = 32
@@ -114,7 +115,7 @@ def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: str
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(PieceEncoder, tokenizer_path(tokenizer), memo_pieces)
+        encoder = PieceEncoder(tokenizer_path(tokenizer), memo_pieces)
         sequence = TaskContext.get().partitionId() << 36
         block: list[tuple] = []  # doc_id, ids of the rest, their start, ids of the document, where its loss begins
         rows: list[tuple] = []
@@ -146,7 +147,7 @@ def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: str
             return batch
 
         full = limits.tokens * 4
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text, begins in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = encoder.ids(text) + end
                 total, begins = len(raw) // 4, max(0, begins or 0)

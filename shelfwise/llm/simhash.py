@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import materialize
+from shelfwise.llm.common import materialize, release_memory, sliced
 from shelfwise.llm.components import LINK_SCHEMA, components, spanning_stars
 
 SHINGLE_WORDS = 4
@@ -100,11 +100,9 @@ def _vote(out: np.ndarray, hashes: list[np.ndarray], owners: list[int], counts:
 def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, text_hash, fp) of every row; ``fp`` is the fingerprint as a signed 64-bit integer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                fp = fingerprints_of(part.column(1).to_pylist(), words_per_shingle, seed)
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+        for part in sliced(batches):
+            fp = fingerprints_of(part.column(1).to_pylist(), words_per_shingle, seed)
+            yield pa.record_batch([part.column(0), part.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                        F.xxhash64("text").alias("text_hash"))
@@ -236,6 +234,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
         fps = np.concatenate([fps, *[h.column(1).to_numpy().view(np.uint64) for h in held]])
         if len(keys):
             yield from found(keys, fps)
+        release_memory()
 
     filed = distinct.select("fp").mapInArrow(file, "key bigint, fp bigint")
     return filed.repartition("key").sortWithinPartitions("key").mapInArrow(search, LINK_SCHEMA)

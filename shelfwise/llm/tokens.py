@@ -2,9 +2,9 @@
 
 Method (whole-token shortcut). A vocabulary string that the tokenizer, given the
 string alone, returns as exactly one token is *whole*. ``whole_tokens`` proves this
-string by string with the tokenizer itself, once per worker. A pre-token that is
+string by string with the tokenizer itself, once per task. A pre-token that is
 whole counts as one token without any merging; only the other pre-tokens are merged,
-each distinct one once per worker memo.
+each distinct one once while the task's memo holds it.
 
 Texts are first cut at every single space that stands between two non-space
 characters. The pre-token pattern lets a space only lead a pre-token, and no
@@ -31,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import sliced
+
 BYTE_BPE = "byte_bpe_50k.json"
 CONTEXT_TOKENS = 512
-MEMO_PIECES = 300_000
+MEMO_PIECES = 200_000
 #: Fixed values of the tokenizer: the pattern that makes its pre-tokens.
 PRETOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -222,17 +224,6 @@ class PieceEncoder:
         return self._encode(first) + b"".join(found)
 
 
-_PER_WORKER: dict[tuple, object] = {}
-
-
-def per_worker(kind, path: str, memo_pieces: int):
-    """One encoder per Python worker: later tasks of the worker find the memo warm."""
-    key = (kind, path, memo_pieces)
-    if key not in _PER_WORKER:
-        _PER_WORKER[key] = kind(path, memo_pieces)
-    return _PER_WORKER[key]
-
-
 COUNT_SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
 
@@ -245,8 +236,8 @@ def token_counts(docs: DataFrame, tokenizer: str = BYTE_BPE, context_tokens: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_worker(PieceCounter, tokenizer_path(tokenizer), memo_pieces)
-        for batch in batches:
+        encoder = PieceCounter(tokenizer_path(tokenizer), memo_pieces)
+        for batch in sliced(batches):
             counts = [encoder.count(t) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts, pa.int64()),
                                    pa.array([c > context_tokens for c in counts], pa.bool_())],

@@ -19,8 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfwise.llm import pu
+from shelfwise.llm.common import materialize, sliced
 from shelfwise.llm.labelled import keep_rows, score_rows, training_texts
 
 THRESHOLD = 0.5
@@ -75,6 +77,71 @@ class ToxicityModel:
         return pu.sigmoid(np.array([self.weights[self.features(t)].sum() + self.intercept for t in texts], float))
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, is_positive) to the text's distinct hash numbers and their sketch, the smallest ``SKETCH`` of them."""
+    for part in sliced(batches):
+        x = [np.unique(np.concatenate([*grams(t), np.zeros(0, np.uint32)])).astype("<u4") for t in part.column(0).to_pylist()]
+        yield pa.record_batch([pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v[:SKETCH].tobytes() for v in x], pa.binary()),
+                               part.column(1)], names=["x", "sketch", "is_positive"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, sketch, is_positive) to (gram, texts of either kind that hold it) of the task's rows."""
+    held = np.zeros((2, 1 << HASH_BITS), np.int64)
+    for part in sliced(batches):
+        for x, positive in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+            held[int(positive)][np.frombuffer(x, "<u4")] += 1
+    found = np.flatnonzero(held.any(axis=0))
+    yield pa.record_batch([pa.array(found, pa.int64()), pa.array(held[1][found]), pa.array(held[0][found])], names=["gram", "in_p", "in_u"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, unlabelled: int = TRAIN_UNLABELLED) -> ToxicityModel:
+    """Learn ``labels.toxic`` from about ``positives`` confirmed and ``unlabelled`` unlabelled documents.
+
+    Grams are counted by Spark; the driver gets the counts of grams that enough positives hold, and
+    then each sampled text's kept grams.
+    """
+    rows, prior = training_texts(docs, labels, "toxic", positives, unlabelled)
+    # copies count once: rows of a kind with the same sketch are the same or nearly the same text
+    sample = materialize(rows.mapInArrow(_hashed, "x binary, sketch binary, is_positive boolean")
+                         .dropDuplicates(["is_positive", "sketch"]), "toxicity-sample")
+    n_p, n_u = sample.agg(F.count_if("is_positive"), F.count_if(~F.col("is_positive"))).first()
+    start = float(np.log(prior / (1 - prior)))
+    untaught = ToxicityModel(np.full(1 << HASH_BITS, -1, np.int32), np.zeros(1), start)
+    if not n_p or not n_u:
+        return untaught
+    counts = sample.mapInArrow(_counted, "gram bigint, in_p bigint, in_u bigint").groupBy("gram").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    share = (F.col("in_p") + F.col("in_u")) / F.lit(n_p + n_u)
+    contrast = (F.col("in_p") / n_p - F.col("in_u") / n_u) / F.sqrt(share * (1 - share) + 1e-9)
+    best = (counts.where(F.col("in_p") >= max(LEAST_DOCUMENTS, LEAST_SHARE * n_p)).select("gram", contrast.alias("contrast"))
+            .where(F.col("contrast") > 0).orderBy(F.desc("contrast"), F.asc("gram")).limit(FEATURES).collect())
+    if not best:
+        return untaught
+    number = untaught.number.copy()
+    number[[r[0] for r in best]] = np.arange(len(best))
+    value = np.array([r[1] for r in best]) / best[0][1]
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            found = [number[np.frombuffer(x, "<u4")] for x in part.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([f[f >= 0].astype("<u4").tobytes() for f in found], pa.binary()), part.column(2)], names=["x", "is_positive"])
+
+    texts = sorted((bool(r[1]), bytes(r[0])) for r in sample.mapInArrow(kept, "x binary, is_positive boolean").collect())
+
+    def sparse(which: bool) -> pu.Rows:
+        found = [np.frombuffer(x, "<u4") for t, x in texts if t == which]
+        size = np.array([len(f) for f in found])
+        index = np.concatenate(found).astype(np.int64)
+        return pu.Rows(index, value[index], size, len(best))
+
+    weights, intercept, _ = pu.fit_with_prior(sparse(True), sparse(False), prior, steps=STEPS, rate=RATE, decay=DECAY)
+    return ToxicityModel(number, weights * value, intercept)
+
+
+def score(self, texts: list[str | None]) -> np.ndarray:
+        return pu.sigmoid(np.array([self.weights[self.features(t)].sum() + self.intercept for t in texts], float))
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, unlabelled: int = TRAIN_UNLABELLED) -> ToxicityModel:
     """Learn ``labels.toxic`` from about ``positives`` confirmed and ``unlabelled`` unlabelled documents (hash numbers leave the tasks, not texts)."""
     rows, prior = training_texts(docs, labels, "toxic", positives, unlabelled)
