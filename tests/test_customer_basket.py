@@ -129,3 +129,39 @@ def test_category_diversity_and_anchor_baskets(spark):
     br = basket.basket_rows(spark.createDataFrame(lines, "t long, p long, c string"), "t", "p", "c")
     assert {r["cats"]: r["count"] for r in rows(basket.category_diversity(br))} == {2: 1, 1: 2}
     assert sorted(r["productkey"] for r in rows(basket.anchor_baskets(br, "Bikes"))) == [10, 20]
+
+
+def test_metrics_ignore_missing_order_numbers_and_amounts(spark):
+    sales = spark.createDataFrame(
+        [(1, None, 2, 10.0, "2001-01-01"), (1, 5, None, None, "2001-01-02"), (2, None, None, None, "2001-01-03"), (3, 7, 4, 6.0, None)],
+        "CustomerKey long, SalesOrderNumber long, OrderQuantity int, SalesAmount double, OrderDate string"
+    ).withColumn("SalesAmount", F.col("SalesAmount").cast("decimal(18,4)")).withColumn("OrderDate", F.to_date("OrderDate"))
+    summary = customer.customer_summary(customer.order_summary(sales))
+    assert {r["CustomerKey"]: r["TotalOrders"] for r in rows(summary)} == {1: 1, 2: 0, 3: 1}
+    pop = rows(customer.population_averages(summary))[0]
+    # customer 2 has no quantity and no amount: left out of those averages, but not of the order count
+    assert abs(pop["AvgTotalOrders"] - 2 / 3) < 1e-12
+    assert pop["AvgTotalUnitsOrdered"] == 3.0 and pop["AvgTotalSalesAmount"] == 8.0
+
+
+def test_one_basket_with_a_third_of_the_rows_is_cut_on_both_sides(spark):
+    data = [(1, f"a{i}", "Bikes") for i in range(60)] + [(1, f"c{i}", "Other") for i in range(90)]
+    data += [(2 + i % 100, f"a{i % 7}", "Bikes") for i in range(150)] + [(2 + i % 100, f"c{i % 11}", "Other") for i in range(150)]
+    df = spark.createDataFrame(data, "transaction_id int, productkey string, category string")
+    want = Counter()
+    baskets = {}
+    for t, p, c in data:
+        baskets.setdefault(t, []).append((p, c))
+    for lines in baskets.values():
+        for (p, c), (q, d) in itertools.product(lines, lines):
+            if c == "Bikes" and d != "Bikes":
+                want[p, q, d] += 1
+    got = {(r["bike_key"], r["product_key"], r["product_category"]): r["count"] for r in rows(basket.pair_counts(df, "Bikes", pairs_per_bucket=100))}
+    assert got == dict(want)
+
+
+def test_one_name_with_a_third_of_the_rows_keeps_all_upsells(spark):
+    sales = spark.createDataFrame([(i, "Hot" if i % 3 else f"N{i}") for i in range(300)], "CustomerKey long, EnglishProductName string")
+    ups = spark.createDataFrame([("Hot", "u1"), ("Hot", "u2"), ("N3", "u3")], "bike_name string, upsell_1 string")
+    got = {r["customerkey"]: r["upsell_list"] for r in rows(customer.customer_upsells(sales, ups))}
+    assert got == {i: ["u1", "u2"] for i in range(300) if i % 3} | {3: ["u3"]}
