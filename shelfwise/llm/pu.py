@@ -19,32 +19,54 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * z)
 
 
-class Rows:
-    """Sparse rows: feature numbers and values of all rows one after another, and the rows' lengths."""
+class Present:
+    """Sparse rows by presence: feature numbers of all rows one after another, the rows' lengths, one value per feature."""
 
-    def __init__(self, index: np.ndarray, value: np.ndarray, size: np.ndarray, width: int):
-        self.index, self.value, self.size, self.width = index, value, size, width
-        self.owner = np.repeat(np.arange(len(size)), size)
+    def __init__(self, index: np.ndarray, size: np.ndarray, value: np.ndarray):
+        self.index, self.size, self.value = index.astype(np.int32), size, value
+        self.owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
 
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, self.value * w[self.index], minlength=len(self.size))
-
-    def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, self.value * g[self.owner], minlength=self.width)
+    @property
+    def width(self) -> int:
+        return len(self.value)
 
     def __len__(self) -> int:
         return len(self.size)
 
-    def take(self, every: int, of: int) -> "Rows":
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, (w * self.value).astype(np.float32)[self.index], minlength=len(self.size))
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.index, g.astype(np.float32)[self.owner], minlength=self.width) * self.value
+
+    def take(self, every: int, of: int) -> "Present":
         """Rows number ``every``, ``every + of``, and so on."""
         mine = np.arange(len(self.size)) % of == every
-        held = mine[self.owner]
-        return Rows(self.index[held], self.value[held], self.size[mine], self.width)
+        return Present(self.index[mine[self.owner]], self.size[mine], self.value)
+
+
+class Dense:
+    """Rows of a matrix."""
 
+    def __init__(self, x: np.ndarray):
+        self.x = x
 
-def from_dense(x: np.ndarray) -> Rows:
-    n, width = x.shape
-    return Rows(np.tile(np.arange(width), n), x.ravel().astype(float), np.full(n, width), width)
+    @property
+    def width(self) -> int:
+        return self.x.shape[1]
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return self.x @ w
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return self.x.T @ g
+
+    def take(self, every: int, of: int) -> "Dense":
+        """Rows number ``every``, ``every + of``, and so on."""
+        return Dense(self.x[every::of])
 
 
 def nn_risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
@@ -53,7 +75,7 @@ def nn_risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]
     return prior * soft(-fp).mean(), soft(fu).mean() - prior * soft(fp).mean()
 
 
-def fit(positive: Rows, unlabelled: Rows, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float, list[float]]:
+def fit(positive: Present | Dense, unlabelled: Present | Dense, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float, list[float]]:
     """Weights, intercept and risks of the minimiser of the non-negative risk (Adam over all rows)."""
     width = positive.width
     w, b = np.zeros(width), float(np.log(prior / (1 - prior)))
@@ -88,7 +110,7 @@ def estimate_prior(fp: np.ndarray, fu: np.ndarray, confidence: float = 0.1) -> f
     return float(above_u[best] / above_p[best])
 
 
-def fit_with_prior(positive: Rows, unlabelled: Rows, labelled_share: float, **options) -> tuple[np.ndarray, float, float]:
+def fit_with_prior(positive: Present | Dense, unlabelled: Present | Dense, labelled_share: float, **options) -> tuple[np.ndarray, float, float]:
     """Estimate the prior by training on either half and scoring the other, then train on all rows.
 
     ``labelled_share`` starts the halves. The halves' estimate bounds the prior from above, so the

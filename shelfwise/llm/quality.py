@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, un
         return zero
     model = QualityModel(x[~trusted].mean(0), x[~trusted].std(0) + 1e-6, None, None)
     z = model.standardise(x)
-    model.weights, model.intercept, _ = pu.fit_with_prior(pu.from_dense(z[trusted]), pu.from_dense(z[~trusted]), prior, steps=STEPS, rate=RATE, decay=DECAY)
+    model.weights, model.intercept, _ = pu.fit_with_prior(pu.Dense(z[trusted]), pu.Dense(z[~trusted]), prior, steps=STEPS, rate=RATE, decay=DECAY)
     return model
 
 

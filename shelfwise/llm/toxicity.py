@@ -27,7 +27,7 @@ from shelfwise.llm.labelled import keep_rows, score_rows, training_texts
 
 THRESHOLD = 0.5
 TRAIN_POSITIVES = 2000
-TRAIN_UNLABELLED = 6000
+TRAIN_UNLABELLED = 5000
 GRAMS = (5, 8)
 HASH_BITS = 20
 FEATURES = 2000
@@ -128,62 +128,14 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, un
 
     texts = sorted((bool(r[1]), bytes(r[0])) for r in sample.mapInArrow(kept, "x binary, is_positive boolean").collect())
 
-    def sparse(which: bool) -> pu.Rows:
+    def sparse(which: bool) -> pu.Present:
         found = [np.frombuffer(x, "<u4") for t, x in texts if t == which]
-        size = np.array([len(f) for f in found])
-        index = np.concatenate(found).astype(np.int64)
-        return pu.Rows(index, value[index], size, len(best))
+        return pu.Present(np.concatenate(found), np.array([len(f) for f in found]), value)
 
     weights, intercept, _ = pu.fit_with_prior(sparse(True), sparse(False), prior, steps=STEPS, rate=RATE, decay=DECAY)
     return ToxicityModel(number, weights * value, intercept)
 
 
-def score(self, texts: list[str | None]) -> np.ndarray:
-        return pu.sigmoid(np.array([self.weights[self.features(t)].sum() + self.intercept for t in texts], float))
-
-
-def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, unlabelled: int = TRAIN_UNLABELLED) -> ToxicityModel:
-    """Learn ``labels.toxic`` from about ``positives`` confirmed and ``unlabelled`` unlabelled documents (hash numbers leave the tasks, not texts)."""
-    rows, prior = training_texts(docs, labels, "toxic", positives, unlabelled)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [np.unique(np.concatenate([*grams(t), np.zeros(0, np.uint32)])).astype("<u4").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(x, pa.binary()), batch.column(1)], names=["x", "is_positive"])
-
-    sample = sorted((bool(r[1]), bytes(r[0])) for r in rows.mapInArrow(run, "x binary, is_positive boolean").collect())
-    # copies count once: rows of a kind with the same smallest hash numbers are the same or nearly the same text
-    distinct = {(t, x[:4 * SKETCH]): (t, x) for t, x in sample}.values()
-    present = [np.frombuffer(x, "<u4") for _, x in distinct]
-    trusted = np.array([t for t, _ in distinct], bool)
-    width = 1 << HASH_BITS
-    start = float(np.log(prior / (1 - prior)))
-    if not trusted.any() or trusted.all():
-        return ToxicityModel(np.full(width, -1, np.int32), np.zeros(1), start)
-    n_p, n_u = int(trusted.sum()), int((~trusted).sum())
-    in_p = np.bincount(np.concatenate([x for x, t in zip(present, trusted) if t]), minlength=width)
-    in_u = np.bincount(np.concatenate([x for x, t in zip(present, trusted) if not t]), minlength=width)
-    share = (in_p + in_u) / (n_p + n_u)
-    contrast = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) + 1e-9)
-    contrast[in_p < max(LEAST_DOCUMENTS, LEAST_SHARE * n_p)] = 0
-    kept = np.argsort(-contrast, kind="stable")[:FEATURES]
-    kept = kept[contrast[kept] > 0]
-    number = np.full(width, -1, np.int32)
-    number[kept] = np.arange(len(kept))
-    value = contrast[kept] / max(1e-9, contrast[kept].max(initial=0))
-
-    def sparse(which: bool) -> pu.Rows:
-        found = [f[f >= 0] for f in (number[x] for x, t in zip(present, trusted) if t == which)]
-        size = np.array([len(f) for f in found])
-        index = np.concatenate(found)
-        return pu.Rows(index, value[index], size, len(kept))
-
-    if not len(kept):
-        return ToxicityModel(number, np.zeros(1), start)
-    weights, intercept, _ = pu.fit_with_prior(sparse(True), sparse(False), prior, steps=STEPS, rate=RATE, decay=DECAY)
-    return ToxicityModel(number, weights * value, intercept)
-
-
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1, higher: more likely toxic), predicted (1 at or above ``threshold``)."""
     return score_rows(docs, model.score, threshold)

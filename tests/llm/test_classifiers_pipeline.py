@@ -113,7 +113,7 @@ def test_non_negative_risk_separates_planted_classes():
     rng = np.random.default_rng(7)
     positives = rng.normal(1.5, 1, (300, 2))
     unlabelled = np.concatenate([rng.normal(1.5, 1, (300, 2)), rng.normal(-1.5, 1, (700, 2))])
-    w, b, risks = pu.fit(pu.from_dense(positives), pu.from_dense(unlabelled), 0.3)
+    w, b, risks = pu.fit(pu.Dense(positives), pu.Dense(unlabelled), 0.3)
     f = lambda x: x @ w + b
     assert risks[-1] < risks[0]
     assert (f(rng.normal(1.5, 1, (500, 2))) > 0).mean() > 0.9 and (f(rng.normal(-1.5, 1, (500, 2))) < 0).mean() > 0.9
