@@ -3,13 +3,11 @@
 Scale notes:
 * Lines are first collapsed to distinct (basket, item, category) with a
   multiplicity, so repeated lines never multiply the pair join.
-* The anchor x companion join is a shuffle join on the basket id; a hot basket
-  (more than ``BUCKET_ITEMS`` companion items) is instead joined on (basket id,
-  salt bucket) with ceil(n / BUCKET_ITEMS) buckets — companions spread by a hash
-  of the item, anchor items replicated per bucket — so even a basket holding a
-  third of all lines is split over proportionally many tasks, independently of
-  AQE's skew handling. Pair counts are m_anchor * m_item per basket, summed with
-  a partial (map-side) aggregate.
+* The anchor x companion join is a shuffle join on (basket, bucket): a basket's
+  pairs form a grid that is cut on both sides into buckets of bounded size, so
+  even a basket holding a third of all lines is spread over proportionally many
+  tasks. Pair counts are m_anchor * m_item per basket, summed with a partial
+  (map-side) aggregate.
 * Top-k per group uses rank/row_number filters that Spark plans as
   ``WindowGroupLimit`` both before and after the shuffle, so a hot group ships
   at most k rows (plus ties) per map task.
