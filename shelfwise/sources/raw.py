@@ -15,8 +15,9 @@ RAW_KEYS = {
     "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id",
     "labels": "doc_id", "conversations": "conv_id",
 }
-# session setting (unset by default, used by the benchmark on one machine): scan partitions to spread a table over
-SPREAD_SETTING = "spark.shelfwise.scan.partitions"
+# session setting (unset by default, used by the benchmark on one machine): tables to spread and over how many
+# partitions, as "lineitem=8,orders=8"
+SPREAD_SETTING = "spark.shelfwise.scan.spread"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +25,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     Any path Spark can read works: the folder is not looked at from the driver. A file
     written as one row group scans as one task; where that matters (a benchmark on one machine)
-    ``SPREAD_SETTING`` hash-partitions every table on its natural key right after the scan.
+    ``SPREAD_SETTING`` hash-partitions the tables it names on their natural keys right after the scan.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    spread = spark.conf.get(SPREAD_SETTING, None)
-    return df.repartition(int(spread), RAW_KEYS[name]) if spread and name in RAW_KEYS else df
+    spread = dict(part.split("=") for part in spark.conf.get(SPREAD_SETTING, "").split(",") if part)
+    return df.repartition(int(spread[name]), RAW_KEYS[name]) if name in spread else df
