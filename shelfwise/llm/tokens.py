@@ -2,9 +2,9 @@
 
 Method (whole-token shortcut). A vocabulary string that the tokenizer, given the
 string alone, returns as exactly one token is *whole*. ``whole_tokens`` proves this
-string by string with the tokenizer itself, once per task. A pre-token that is
+string by string with the tokenizer itself, once per worker. A pre-token that is
 whole counts as one token without any merging; only the other pre-tokens are merged,
-each distinct one once while the task's memo holds it.
+each distinct one once while the worker's memo holds it.
 
 Texts are first cut at every single space that stands between two non-space
 characters. The pre-token pattern lets a space only lead a pre-token, and no
@@ -145,7 +145,7 @@ class PieceCounter:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pretokens = regex.compile(PRETOKEN_PATTERN)
         self.written = {b: c for c, b in _unicode_of_bytes().items()}
-        self.pieces, self.merged = _Memo(memo_pieces), _Memo(memo_pieces)
+        self.memos = self.pieces, self.merged = _Memo(memo_pieces), _Memo(memo_pieces)
 
     def _merge(self, pretoken: str) -> int:
         n = self.merged.get(pretoken)
@@ -190,6 +190,7 @@ class PieceEncoder:
         for token, size in sizes.items():
             self.token_bytes[token] = size
         self.pieces = _Memo(memo_pieces)
+        self.memos = (self.pieces,)
 
     def _encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -224,6 +225,20 @@ class PieceEncoder:
         return self._encode(first) + b"".join(found)
 
 
+_PER_WORKER: dict[tuple, object] = {}
+
+
+def per_worker(kind, path: str, memo_pieces: int):
+    """One encoder per Python worker, so that later tasks find the memo warm; of the memos only the young generation stays."""
+    key = (kind, path, memo_pieces)
+    if key not in _PER_WORKER:
+        _PER_WORKER[key] = kind(path, memo_pieces)
+    encoder = _PER_WORKER[key]
+    for memo in encoder.memos:
+        memo.old = {}
+    return encoder
+
+
 COUNT_SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
 
@@ -236,7 +251,7 @@ def token_counts(docs: DataFrame, tokenizer: str = BYTE_BPE, context_tokens: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceCounter(tokenizer_path(tokenizer), memo_pieces)
+        encoder = per_worker(PieceCounter, tokenizer_path(tokenizer), memo_pieces)
         for batch in sliced(batches):
             counts = [encoder.count(t) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts, pa.int64()),
