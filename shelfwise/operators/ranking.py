@@ -22,6 +22,8 @@ has multiplicity 1.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,10 +79,12 @@ def with_percent_ranks(df: DataFrame, specs: list[tuple[list[tuple[str, bool]],
     tables are joined back to it — no pass re-executes another pass's lineage.
     """
     base = materialize(df) if checkpoint_input else df
+    # the passes are independent jobs over the same input: let them share the cluster
+    with ThreadPoolExecutor(len(specs)) as pool:
+        tables = list(pool.map(lambda spec: global_rank_table(base, spec[0], num_partitions), specs))
     out = base
-    for keys, out_col in specs:
+    for (keys, out_col), table in zip(specs, tables):
         names = [c for c, _ in keys]
-        table = global_rank_table(base, keys, num_partitions)
         out = _join_on_keys(out, table.select(*names, _pr().alias(out_col)), names)
     return out
 

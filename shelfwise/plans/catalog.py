@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +69,12 @@ def _metrics(w: Warehouse) -> DataFrame:
 
 
 def _customer_360(w: Warehouse) -> DataFrame:
-    ranks = customer.customer_ranks(_scores(w))
-    ups = customer.customer_upsells(sales_view(w, need={"CustomerKey", "EnglishProductName"}), _upsells(w))
-    return customer.customer_360(_metrics(w), ranks, ups)
+    metrics = _metrics(w)  # writes the customer summary that the ranks read
+    with ThreadPoolExecutor(2) as pool:  # ranks and baskets are independent jobs
+        ranks = pool.submit(lambda: customer.customer_ranks(_scores(w)))
+        view = sales_view(w, need={"CustomerKey", "EnglishProductName"})
+        upsells = pool.submit(lambda: customer.customer_upsells(view, _upsells(w)))
+        return customer.customer_360(metrics, ranks.result(), upsells.result())
 
 
 def _weekly(w: Warehouse) -> DataFrame:
@@ -101,7 +105,7 @@ def _email(w: Warehouse) -> DataFrame:
 
 
 def _arr(c: str) -> F.Column:
-    return F.concat_ws("|", F.col(c)).alias(c)
+    return F.when(F.col(c).isNotNull(), F.concat_ws("|", F.col(c))).alias(c)
 
 
 # ------------------------------------------------------------------ queries
