@@ -2,8 +2,10 @@
 
 Confirmed toxic documents are the positives, any documents the unlabelled rows. Features are
 the hashed byte grams (of 5 and of 8 bytes) of the lower-cased text with everything but letters read as a
-space, by presence. The ``FEATURES`` grams that are most over-represented among positives are kept, each valued by
-that contrast, and a linear classifier minimises the class-prior-corrected, non-negative risk (``pu``); the class prior of the
+space, by presence and by density: whether the gram is there, and whether it is at least the shares ``DENSITIES`` of the
+text's grams (a long text holds by chance once what a toxic one repeats). Features that at least ``LEAST_DOCUMENTS`` positives hold and whose excess over
+the unlabelled rows that are not among them is significant (``LEAST_Z`` standard errors) are kept, however small their share of all positives, so
+the wording of a small language counts; ``FEATURES`` bounds their number. Each is valued by its contrast, and a linear classifier minimises the class-prior-corrected, non-negative risk (``pu``); the class prior of the
 unlabelled rows is estimated by cross-fitting.
 
 Only a text decides its score. Defined cases: a null or empty text has no gram and scores as the
@@ -30,9 +32,11 @@ TRAIN_POSITIVES = 2000
 TRAIN_UNLABELLED = 5000
 GRAMS = (5, 8)
 HASH_BITS = 20
-FEATURES = 2000
+DENSITIES = (0.0004, 0.001)
+MARKS = (1 + len(DENSITIES)) << HASH_BITS
+FEATURES = 20000
 LEAST_DOCUMENTS = 4
-LEAST_SHARE = 0.02
+LEAST_Z = 4.0
 SKETCH = 4
 STEPS = 300
 RATE = 0.05
@@ -63,43 +67,54 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
             yield h >> np.uint32(32 - HASH_BITS)
 
 
+def marks(text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Distinct marks of a text, ascending: its grams, then per density those that reach it; with ``wanted`` (per gram) of these grams only."""
+    total, found = 0, [np.zeros(0, np.uint32)]
+    for h in grams(text):
+        total += len(h)
+        found.append(h if wanted is None else h[wanted[h]])
+    held, times = np.unique(np.concatenate(found), return_counts=True)
+    return np.concatenate([held, *(held[times >= least * total] + np.uint32(k << HASH_BITS) for k, least in enumerate(DENSITIES, 1))])
+
+
 class ToxicityModel:
-    """Feature number per hash (-1: none), weights and intercept."""
+    """Feature number per mark (-1: none), weights and intercept."""
 
     def __init__(self, number: np.ndarray, weights: np.ndarray, intercept: float):
         self.number, self.weights, self.intercept = number, weights, intercept
+        self.wanted = (number.reshape(-1, 1 << HASH_BITS) >= 0).any(axis=0)
 
     def features(self, text: str | None) -> np.ndarray:
-        found = [f[f >= 0] for f in (self.number[h] for h in grams(text))]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+        found = self.number[marks(text, self.wanted)]
+        return found[found >= 0]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return pu.sigmoid(np.array([self.weights[self.features(t)].sum() + self.intercept for t in texts], float))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, is_positive) to the text's distinct hash numbers and their sketch, the smallest ``SKETCH`` of them."""
+    """(text, is_positive) to the text's marks and their sketch, the smallest ``SKETCH`` of them."""
     for part in sliced(batches):
-        x = [np.unique(np.concatenate([*grams(t), np.zeros(0, np.uint32)])).astype("<u4") for t in part.column(0).to_pylist()]
+        x = [marks(t).astype("<u4") for t in part.column(0).to_pylist()]
         yield pa.record_batch([pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v[:SKETCH].tobytes() for v in x], pa.binary()),
                                part.column(1)], names=["x", "sketch", "is_positive"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, sketch, is_positive) to (gram, texts of either kind that hold it) of the task's rows."""
-    held = np.zeros((2, 1 << HASH_BITS), np.int64)
+    """(x, sketch, is_positive) to (mark, texts of either kind that hold it) of the task's rows."""
+    held = np.zeros((2, MARKS), np.int32)
     for part in sliced(batches):
         for x, positive in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
             held[int(positive)][np.frombuffer(x, "<u4")] += 1
     found = np.flatnonzero(held.any(axis=0))
-    yield pa.record_batch([pa.array(found, pa.int64()), pa.array(held[1][found]), pa.array(held[0][found])], names=["gram", "in_p", "in_u"])
+    yield pa.record_batch([pa.array(found, pa.int64()), pa.array(held[1][found], pa.int64()), pa.array(held[0][found], pa.int64())],
+                          names=["mark", "in_p", "in_u"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, unlabelled: int = TRAIN_UNLABELLED) -> ToxicityModel:
     """Learn ``labels.toxic`` from about ``positives`` confirmed and ``unlabelled`` unlabelled documents.
 
-    Grams are counted by Spark; the driver gets the counts of grams that enough positives hold, and
-    then each sampled text's kept grams.
+    Marks are counted by Spark; the driver gets the significant ones, and then each sampled text's kept marks.
     """
     rows, prior = training_texts(docs, labels, "toxic", positives, unlabelled)
     # copies count once: rows of a kind with the same sketch are the same or nearly the same text
@@ -107,14 +122,22 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, un
                          .dropDuplicates(["is_positive", "sketch"]), "toxicity-sample")
     n_p, n_u = sample.agg(F.count_if("is_positive"), F.count_if(~F.col("is_positive"))).first()
     start = float(np.log(prior / (1 - prior)))
-    untaught = ToxicityModel(np.full(1 << HASH_BITS, -1, np.int32), np.zeros(1), start)
+    untaught = ToxicityModel(np.full(MARKS, -1, np.int32), np.zeros(1), start)
     if not n_p or not n_u:
         return untaught
-    counts = sample.mapInArrow(_counted, "gram bigint, in_p bigint, in_u bigint").groupBy("gram").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    # an unlabelled row that is itself a confirmed text says nothing about what else holds a gram
+    confirmed = sample.where("is_positive").select("sketch")
+    counted = sample.where("is_positive").unionByName(sample.where(~F.col("is_positive")).join(F.broadcast(confirmed), "sketch", "left_anti").select(sample.columns))
+    n_u = counted.where(~F.col("is_positive")).count()
+    if not n_u:
+        return untaught
+    counts = counted.mapInArrow(_counted, "mark bigint, in_p bigint, in_u bigint").groupBy("mark").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
     share = (F.col("in_p") + F.col("in_u")) / F.lit(n_p + n_u)
     contrast = (F.col("in_p") / n_p - F.col("in_u") / n_u) / F.sqrt(share * (1 - share) + 1e-9)
-    best = (counts.where(F.col("in_p") >= max(LEAST_DOCUMENTS, LEAST_SHARE * n_p)).select("gram", contrast.alias("contrast"))
-            .where(F.col("contrast") > 0).orderBy(F.desc("contrast"), F.asc("gram")).limit(FEATURES).collect())
+    # the contrast is the excess in standard errors of a gram that both kinds hold alike, over this scale
+    least = LEAST_Z / float(np.sqrt(n_p * n_u / (n_p + n_u)))
+    best = (counts.where(F.col("in_p") >= LEAST_DOCUMENTS).select("mark", contrast.alias("contrast"))
+            .where(F.col("contrast") >= least).orderBy(F.desc("contrast"), F.asc("mark")).limit(FEATURES).collect())
     if not best:
         return untaught
     number = untaught.number.copy()

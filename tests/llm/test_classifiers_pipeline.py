@@ -84,8 +84,8 @@ def test_batching_does_not_change_predictions():
 
 @pytest.mark.parametrize("query,column,sf,least", [
     ("op7_pu_quality", "quality", SF, 0.95),
-    # a few hundred confirmed examples are needed; one toxic label in twenty stands on a text without a toxic word
-    ("op8_pu_toxicity", "toxic", "/root/testdata/sf0.1", 0.96)])
+    # a few hundred confirmed examples are needed to see every language's toxic words
+    ("op8_pu_toxicity", "toxic", "/root/testdata/sf0.1", 0.975)])
 def test_held_out_labels(spark, query, column, sf, least):
     truth = labels_of(spark, column, sf)
     rows = QUERIES[query](spark, sf).collect()
@@ -94,6 +94,25 @@ def test_held_out_labels(spark, query, column, sf, least):
     assert len(held) > 40 and np.mean([r.predicted == truth[r.doc_id] for r in held]) >= least
 
 
+def test_toxic_wording_of_a_small_language_counts(spark):
+    """Seven of 407 confirmed documents are of a language with an insult of its own."""
+    rng = np.random.default_rng(12)
+    large, small = (["".join(rng.choice(list(letters), 6)) for _ in range(300)] for letters in ("abcdefghijklm", "nopqrstuvwxyz"))
+
+    def text(words, insult=""):
+        return " ".join([*rng.choice(words, 120), *[insult] * (3 if insult else 0)])
+
+    kinds = [(large, "blockhead", 1, 400), (large, "", 0, 1200), (small, "zorniquop", 1, 7), (small, "", 0, 60)]
+    texts = [(text(words, insult), toxic) for words, insult, toxic, n in kinds for _ in range(n)]
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5][:len(texts)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, (t, _) in zip(ids, texts)], DOCS)
+    labels = spark.createDataFrame([(i, toxic) for i, (_, toxic) in zip(ids, texts)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    found = model.score([text(small, "zorniquop") for _ in range(20)] + [text(large, "blockhead") for _ in range(20)]) >= 0.5
+    clean = model.score([text(small) for _ in range(20)] + [text(large) for _ in range(20)]) >= 0.5
+    assert found[:20].mean() >= 0.9 and found[20:].all() and not clean.any()
+
+
 @pytest.mark.parametrize("module,column", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifier_edge_cases(spark, module, column):
     docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
