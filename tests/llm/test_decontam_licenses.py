@@ -1,6 +1,7 @@
 """Greedy string tiling and license scans against brute force and planted cases."""
 
 import random
+import textwrap
 
 import numpy as np
 
@@ -116,6 +117,29 @@ def test_license_families_unknowns_and_edge_cases(spark):
     assert licenses.scan(docs.where("false"), model).count() == 0
 
 
+def test_wrapped_license_notices(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = licenses.fit(docs)
+    prose = docs.select("text").first().text.replace("\n", " ")[:200]
+    texts = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    rows, expected = [], {}
+    for i, (family, t) in enumerate(texts):
+        for k, (width, lead, mark) in enumerate([(72, "", ""), (72, "", "# "), (40, "", " * "), (72, "Copyright 2020 by the authors of this small library, all. ", "")]):
+            lines = textwrap.wrap(lead + t, width, break_long_words=False, break_on_hyphens=False)
+            if len(lines) > 1:
+                rows.append((10 * i + k, "\n".join(["some heading", "", *(mark + x for x in lines), "", prose]), 1, ""))
+                expected[10 * i + k] = family
+    assert len(expected) > 30
+    got = [r for r in licenses.scan(spark.createDataFrame(rows, DOCS), model).collect() if r.confirmed]
+    by_doc = {d: {(r.family, r.paragraph_no) for r in got if r.doc_id == d} for d in expected}
+    missed = [d for d in expected if expected[d] not in {f for f, _ in by_doc[d]}]
+    assert not missed, missed
+    assert all(n in (2, 3) for places in by_doc.values() for _, n in places)
+    # a blank line ends a paragraph
+    cut = "Permission is hereby granted, free of charge, to any person\n\nobtaining a copy of this software and associated documentation files"
+    assert not [r for r in licenses.scan(spark.createDataFrame([(1, cut, 1, "")], DOCS), model).collect() if r.confirmed]
+
+
 def test_license_scan_runs_no_python(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     plan = licenses.scan(docs, licenses.fit(docs))._jdf.queryExecution().toString()
