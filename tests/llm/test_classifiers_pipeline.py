@@ -74,6 +74,13 @@ def test_language_edge_cases(spark):
     assert langid.predict(df.where("false"), model).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the of and that {i}", "en", "", 1) for i in range(3000)] + [(10_000 + i, f"ok ja ni {i}", "xx", "", 1) for i in range(3)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert any(r[2] == "xx" for r in rows)
+    assert langid.fit(spark.createDataFrame(rows, DOCS), train_docs=20, steps=1).languages == ["en", "xx"]
+
+
 def test_batching_does_not_change_predictions():
     model = langid.ByteGRU(["a", "b", "c"], seed=5)
     texts = ["abc " * k for k in range(1, 60)]
