@@ -40,6 +40,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_scratch(df: DataFrame, name: str) -> str:
+    """Write ``df`` to a fresh folder of the shared scratch folder; returns its path, for a later ``delete_path``."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+def read_written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table written by ``write_scratch``, of the given schema even where no row was written."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder through the store that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release_memory() -> None:
     """Give a finished task's memory back: workers are reused, and what one stage leaves would pile up on the next."""
     gc.collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ann, decontam, hilbert, langid, licenses, packing, quality, simhash, tokens, toxicity
+from shelfwise.llm import ann, bpe, clustering, decontam, hilbert, langid, licenses, negatives, oracle, packing, quality, simhash, tokens, toxicity
 from shelfwise.llm.common import table
 
 
@@ -55,7 +55,21 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_ns_bounds_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_block_matrix_knn, op2_whole_token_counts, op3_greedy_tiling_decontamination, op4_license_paragraphs, op5_byte_gru_language, op6_pigeonring_simhash, op7_pu_quality,
-    op8_pu_toxicity, op9_hilbert_shards, op10_vector_packing)}
-ORACLE_SQL: dict[str, str] = {}
+    op8_pu_toxicity, op9_hilbert_shards, op10_vector_packing, op11_ns_bounds_clusters, op12_cover_tree_negatives, op13_chunk_reuse_bpe)}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
