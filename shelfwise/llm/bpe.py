@@ -2,23 +2,24 @@
 
 Encoding. A rolling hash over the last 32 bytes cuts a text wherever its low bits are
 zero, so equal passages of different documents are cut alike whatever stands around them.
-A chunk is encoded alone, once while the worker's memo holds it, and its ids are reused for
-every later occurrence. Chunk ends fall anywhere, so ids next to a joint are doubtful and
-every joint is repaired: a window around it is encoded again, growing until both its ends are
-*settled* places. A place is settled if white space (a space or a line feed) follows a printable
-ASCII character: the pre-token pattern has no alternative that crosses such a place and looks at
-nothing before it, and special strings hold no white space, so the ids on both sides do not depend on each
-other. There the window agrees with the chunks' own ids exactly, and ids are joined. A window that reaches over
-a whole chunk swallows it; a text without a settled place is one window, so the result is exact for any text.
-The windows of a document are encoded in one call, since their ends are settled places too.
-
-The agreement is checked, not assumed: the ids' bytes must be the document's bytes, window by window and in sum;
+Cuts fall anywhere, so ids next to a joint of two chunks are doubtful. Each chunk has a
+*core* between its first and its last *settled* place; a place is settled if white space (a
+space or a line feed) follows a printable ASCII character: the pre-token pattern has no
+alternative that crosses such a place and looks at nothing before it, and special strings hold
+no white space, so the ids on both sides do not depend on each other. A core's ids are made once while the
+worker's memo holds its chunk and reused for every later occurrence. Every joint is repaired: the window from the
+last settled place before it to the first one after it is encoded again, growing over whole chunks until
+both its ends are settled; there it agrees with the cores exactly, and ids are joined. A text without a settled place is one window,
+so the result is exact for any text. All that a document needs encoded (its windows and new cores) goes in one call, since all those
+pieces end at settled places.
+
+The agreement is checked, not assumed: every piece must end where an id ends, and the ids' bytes must add up to the pieces';
 a text that fails is encoded whole by the tokenizer.
 
 Decoding maps ids back to bytes; bytes that are no UTF-8 become U+FFFD as the library does it.
 
 Ids are made with the ranks of the tokenizer's own file (proven equal in ``tokens.rank_encoding``);
-chunks and windows that hold a special string go to the tokenizer itself.
+what holds a special string goes to the tokenizer itself.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text. Repeated rows give a row each.
 A null ``doc_id`` stays null. Ids that the vocabulary lacks decode to nothing; null ids to the empty text. Texts of any length are cut and joined; a
@@ -28,10 +29,12 @@ shuffle, and a task that runs again gives the same rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,29 +99,20 @@ def settled(raw: bytes) -> np.ndarray:
     return np.flatnonzero(((at == 0x20) | (at == 0x0A)) & (before > 0x20) & (before < 0x7F)) + 1
 
 
-class Chunk:
-    """A chunk's own ids between its first and its last settled place (places in bytes); none: ``first`` is -1."""
-
-    __slots__ = ("ids", "first", "last")
-
-    def __init__(self, ids: np.ndarray, first: int, last: int):
-        self.ids, self.first, self.last = ids, first, last
-
-
 class ChunkEncoder:
     """Token ids of texts by chunk reuse."""
 
     def __init__(self, path: str, memo_chunks: int = MEMO_CHUNKS):
         self.tokenizer = load_tokenizer(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = list(added.values())
         self.ranks, sizes = rank_encoding(path)
-        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.token_bytes = np.zeros(max([*sizes, *added]) + 1, np.int64)
-        for token, size in (sizes | added).items():
-            self.token_bytes[token] = size
+        sizes = sizes | {i: len(raw) for i, raw in added.items()}
+        self.token_bytes = np.zeros(max(sizes) + 1, np.int64)
+        self.token_bytes[list(sizes)] = list(sizes.values())
         self.gear = gear_table()
-        self.chunks = _Memo(memo_chunks)
-        self.memos = (self.chunks,)
+        self.cores = _Memo(memo_chunks)
+        self.memos = (self.cores,)
         self.encoded = self.reused = self.whole = 0
 
     def direct(self, raw: bytes) -> np.ndarray:
@@ -128,60 +122,55 @@ class ChunkEncoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
         return np.array(self.ranks.encode_ordinary(text), np.int32)
 
-    def _chunk(self, raw: bytes) -> Chunk:
-        chunk = self.chunks.get(raw)
-        if chunk is not None:
-            self.reused += 1
-            return chunk
-        self.encoded += 1
-        places = settled(raw)
-        if len(places) < 2:
-            chunk = Chunk(np.empty(0, np.int32), -1, -1)
-        else:
-            first, last = int(places[0]), int(places[-1])
-            ids = self.direct(raw)
-            ends = np.cumsum(self.token_bytes[ids])
-            # token numbers at the two places, which the chunk's own ids must respect
-            low, high = np.searchsorted(ends, [first, last]).tolist()
-            sound = ends[-1] == len(raw) and ends[low] == first and ends[high] == last
-            chunk = Chunk(ids[low + 1:high + 1], first, last) if sound else Chunk(np.empty(0, np.int32), -1, -1)
-        self.chunks.put(raw, chunk)
-        return chunk
-
-    def _windows(self, windows: list[bytes]) -> list[np.ndarray] | None:
-        """Ids of the windows, encoded in one call and cut where they end; None if an end is no border of ids."""
-        ids = self.direct(b"".join(windows))
+    def _apart(self, pieces: list[bytes]) -> list[np.ndarray] | None:
+        """Ids of the pieces, encoded in one call and cut where the pieces end; None if an end is no border of ids."""
+        ids = self.direct(b"".join(pieces))
         ends = np.cumsum(self.token_bytes[ids])
-        asked = np.cumsum([len(w) for w in windows])
+        asked = np.cumsum([len(p) for p in pieces])
         at = np.searchsorted(ends, asked)
         if len(ids) == 0 or ends[-1] != asked[-1] or not np.array_equal(ends[at], asked):
             return None
-        return np.split(ids, at[:-1] + 1)
+        at = (at + 1).tolist()
+        return [ids[low:high] for low, high in zip([0, *at], at)]
 
     def ids(self, text: str | None) -> np.ndarray:
         """Token ids of a whole text."""
         if not text:
             return np.empty(0, np.int32)
         raw = text.encode()
-        kept: list[Chunk] = []
-        windows: list[bytes] = []
-        start = done = 0
+        places = settled(raw).tolist()
+        pieces: list[bytes] = []  # windows and new cores, in their order
+        parts: list = []  # known ids, or the number of a piece
+        made: dict[bytes, int] = {}  # chunk of a new core -> its piece
+        start = done = at = 0
         for end in cuts(np.frombuffer(raw, np.uint8), self.gear):
-            chunk = self._chunk(raw[start:end])
-            if chunk.first >= 0:
-                windows.append(raw[done:start + chunk.first])
-                done = start + chunk.last
-                kept.append(chunk)
+            low = bisect_right(places, start, at)
+            at = bisect_left(places, end, low)
+            if at - low >= 2:  # the chunk has a core: what lies between its first and its last settled place
+                chunk, first, last = raw[start:end], places[low], places[at - 1]
+                parts.append(len(pieces))
+                pieces.append(raw[done:first])
+                core = self.cores.get(chunk)
+                if core is None:
+                    core = made.get(chunk)
+                if core is None:
+                    core = made[chunk] = len(pieces)
+                    pieces.append(raw[first:last])
+                    self.encoded += 1
+                else:
+                    self.reused += 1
+                parts.append(core)
+                done = last
             start = end
-        windows.append(raw[done:])
-        repaired = self._windows(windows)
-        if repaired is None:
+        parts.append(len(pieces))
+        pieces.append(raw[done:])
+        new = self._apart(pieces)
+        if new is None:
             self.whole += 1
             return self.direct(raw)
-        parts = [repaired[0]]
-        for chunk, window in zip(kept, repaired[1:]):
-            parts += [chunk.ids, window]
-        return np.concatenate(parts)
+        for chunk, piece in made.items():
+            self.cores.put(chunk, new[piece].copy())
+        return np.concatenate([new[p] if isinstance(p, int) else p for p in parts])
 
 
 class Decoder:
@@ -194,9 +183,12 @@ class Decoder:
         self.bytes_of = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in written.items()}
         self.memos = ()
 
-    def text(self, ids: list[int] | None) -> str:
-        get = self.bytes_of.get
-        return b"".join([get(i, b"") for i in ids or ()]).decode("utf-8", "replace")
+    def text(self, ids: list[int | None]) -> str:
+        try:
+            raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        except KeyError:
+            raw = b"".join([self.bytes_of.get(i, b"") for i in ids])
+        return raw.decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, tokenizer: str = BYTE_BPE, memo_chunks: int = MEMO_CHUNKS) -> DataFrame:
@@ -217,7 +209,10 @@ def decode(encoded: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = per_worker(Decoder, tokenizer_path(tokenizer), 0)
         for batch in sliced(batches, SLICE_ROWS):
-            texts = [decoder.text(ids) for ids in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).tolist() if lists.values.null_count == 0 else lists.flatten().to_pylist()
+            ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy()).tolist()
+            texts = [decoder.text(flat[low:high]) for low, high in zip([0, *ends], ends)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, DECODED_SCHEMA)
