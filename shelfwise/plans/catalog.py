@@ -12,15 +12,14 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.operators import basket, customer, forecast, inventory, mining, propensity, serving, star, text
-from shelfwise.sources import ingest
+from shelfwise.sources import ingest, publish
 from shelfwise.operators.ranking import materialize
-from shelfwise.session import checkpoint_dir
+from shelfwise.session import checkpoint_dir, side_by_side
 from shelfwise.sources.binding import ANCHOR_CATEGORY, Warehouse, bind
 from shelfwise.sources.raw import read_table
 from shelfwise.streaming import returns as returns_stream
@@ -70,11 +69,11 @@ def _metrics(w: Warehouse) -> DataFrame:
 
 def _customer_360(w: Warehouse) -> DataFrame:
     metrics = _metrics(w)  # writes the customer summary that the ranks read
-    with ThreadPoolExecutor(2) as pool:  # ranks and baskets are independent jobs
-        ranks = pool.submit(lambda: customer.customer_ranks(_scores(w)))
-        view = sales_view(w, need={"CustomerKey", "EnglishProductName"})
-        upsells = pool.submit(lambda: customer.customer_upsells(view, _upsells(w)))
-        return customer.customer_360(metrics, ranks.result(), upsells.result())
+    view = sales_view(w, need={"CustomerKey", "EnglishProductName"})
+    # ranks and baskets are independent jobs
+    ranks, upsells = side_by_side(lambda build: build(), [
+        lambda: customer.customer_ranks(_scores(w)), lambda: customer.customer_upsells(view, _upsells(w))], 2)
+    return customer.customer_360(metrics, ranks, upsells)
 
 
 def _weekly(w: Warehouse) -> DataFrame:
@@ -483,15 +482,16 @@ def q_ingest_roundtrip(spark, sf):
     by row count and by an order-independent sum of row hashes."""
     root = _scratch(spark, "warehouse")
     read = lambda t: read_table(spark, sf, t)
-    ingest.ingest(spark, read, root, catalog=DRIVER_CATALOG)
-    return ingest.verify_roundtrip(spark, read, root, DRIVER_CATALOG)
+    ingest.ingest(spark, read, root, catalog=DRIVER_CATALOG, versioned=True)
+    return ingest.verify_roundtrip(spark, read, root, DRIVER_CATALOG, versioned=True)
 
 
 def q_clustered_write(spark, sf):
-    """The internet-sales fact written range-clustered by (order, line), read back."""
-    path = _scratch(spark, "fact_internet_sales")
-    ingest.write_clustered(bind(spark, sf).fact_internet_sales, ["SalesOrderNumber", "SalesOrderLineNumber"], path)
-    return spark.read.parquet(path)
+    """The internet-sales fact published range-clustered by (order, line), replaced by a version made from itself, read back."""
+    root, keys = _scratch(spark, "fact_internet_sales"), ["SalesOrderNumber", "SalesOrderLineNumber"]
+    ingest.publish_clustered(bind(spark, sf).fact_internet_sales, keys, root)
+    ingest.publish_clustered(publish.read_published(spark, root), keys, root)
+    return publish.read_published(spark, root)
 
 
 def q_replace_append_table(spark, sf):
@@ -502,7 +502,7 @@ def q_replace_append_table(spark, sf):
     ingest.replace_table(orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus"), name, ["o_orderkey"])
     ingest.append_table(orders.where("o_orderkey % 2 <> 0").select("o_orderstatus", "o_orderkey"), name)
     out = materialize(spark.table(name))
-    spark.sql(f"DROP TABLE {name}")
+    publish.drop(spark, name)
     return out
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 
@@ -65,3 +68,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="shelfwise-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def side_by_side(work: Callable, items: Iterable, at_a_time: int) -> list:
+    """``work(item)`` of every item, a few at a time, so that independent jobs share the cluster; results in order.
+
+    The threads inherit the caller's local properties (job group, scheduler pool).
+    """
+    spark, items = SparkSession.getActiveSession(), list(items)
+    with ThreadPoolExecutor(max(1, min(at_a_time, len(items)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(work), item) for item in items]]

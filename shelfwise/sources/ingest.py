@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import NamedTuple
 
@@ -18,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from shelfwise.session import side_by_side
+from shelfwise.sources import files, publish
+
 # The source catalog — table -> cluster keys (29 tables).
 SOURCE_CATALOG = {
     "DimAccount": "AccountKey,ParentAccountKey",
@@ -100,24 +102,31 @@ def cluster(df: DataFrame, cols: list[str], num_partitions: int | None = None) -
 
 def write_clustered(df: DataFrame, cols: list[str], path: str, mode: str = "overwrite",
                     num_partitions: int | None = None) -> None:
-    """Clustered overwrite; schema replacement is implicit for parquet overwrite
-    (the new files carry the new schema), and the swap is one job with no drop gap."""
-    cluster(df, cols, num_partitions).write.mode(mode).parquet(path)
+    """Clustered write to a plain folder. Overwriting a folder that exists writes aside first, so a failing job leaves
+    the old rows; the new files carry the new schema. Tables with readers are replaced by ``publish_clustered``."""
+    out = cluster(df, cols, num_partitions)
+    if mode == "overwrite" and files.exists(df.sparkSession, path):
+        publish.swap_folder(out, path)
+    else:
+        out.write.mode(mode).parquet(path)
+
+
+def publish_clustered(df: DataFrame, cols: list[str], root: str, num_partitions: int | None = None,
+                      keep: int = publish.KEEP) -> str:
+    """Clustered write of a new version of the table under ``root``, made current in one step (``publish``)."""
+    return publish.publish(cluster(df, cols, num_partitions), root, keep)
 
 
 def replace_table(df: DataFrame, table: str, cluster_cols: list[str] | None = None,
                   num_partitions: int | None = None) -> None:
-    """Replace a catalog table with the result of a query in one job
-    (the drop + CTAS pair without a window where the table is missing); the new
-    table takes the query's schema. Optionally range-clustered on ``cluster_cols``."""
-    out = cluster(df, cluster_cols, num_partitions) if cluster_cols else df
-    out.write.mode("overwrite").format("parquet").saveAsTable(table)
+    """Replace a catalog table with the result of a query (the drop + CTAS pair without a window where the
+    table is missing or half written); the new version takes the query's schema. Optionally range-clustered on ``cluster_cols``."""
+    publish.replace(cluster(df, cluster_cols, num_partitions) if cluster_cols else df, table)
 
 
 def append_table(df: DataFrame, table: str) -> None:
     """Append rows to an existing catalog table by column name (INSERT INTO t (cols) ...)."""
-    target = df.sparkSession.table(table).columns
-    df.select(*target).write.mode("append").format("parquet").saveAsTable(table)
+    publish.append(df, table)
 
 
 def reconcile(items: Iterable[tuple[str, DataFrame, Column]]) -> DataFrame:
@@ -217,25 +226,28 @@ def freshness(items: Iterable[tuple[str, str, DataFrame]]) -> DataFrame:
 def ingest(spark: SparkSession, read: Callable[[str], DataFrame], root: str,
            catalog: dict[str, str] = SOURCE_CATALOG,
            transform: Callable[[str, DataFrame], DataFrame] | None = None,
-           pred: Callable[[str], Column | None] | None = None) -> DataFrame:
+           pred: Callable[[str], Column | None] | None = None, versioned: bool = False) -> DataFrame:
     """S2 (+S4, S5): read every catalog table, optionally transform it, write it clustered
-    under ``root/<snake_name>``; returns the reconciliation rows (table, pre, post)."""
+    under ``root/<snake_name>``; returns the reconciliation rows (table, pre, post).
+
+    ``versioned`` publishes each table as a new version (read it with ``publish.read_published``): ingesting again
+    replaces the tables one by one, each in one step; else the folders are plain.
+    """
     def one(item: tuple[str, str]) -> tuple[str, DataFrame, Column]:
         table, keys = item
         src = read(table)
         out = transform(table, src) if transform else src
-        write_clustered(out, keys.split(","), f"{root}/{snake_name(table)}")
+        (publish_clustered if versioned else write_clustered)(out, keys.split(","), f"{root}/{snake_name(table)}")
         p = pred(table) if pred else None
         return snake_name(table), src, p if p is not None else F.lit(True)
 
     # every write is a distributed job; a few run at a time so that small tables do not wait for large ones
-    with ThreadPoolExecutor(WRITES_AT_A_TIME) as pool:
-        return reconcile(list(pool.map(one, catalog.items())))
+    return reconcile(side_by_side(one, catalog.items(), WRITES_AT_A_TIME))
 
 
 def verify_roundtrip(spark: SparkSession, read: Callable[[str], DataFrame], root: str,
-                     catalog: dict[str, str]) -> DataFrame:
-    """(table, source_rows, written_rows, same_content): each source against its written copy.
+                     catalog: dict[str, str], versioned: bool = False) -> DataFrame:
+    """(table, source_rows, written_rows, same_content): each source against its written copy (``versioned``: the current version).
 
     ``same_content`` compares order-independent sums of row hashes, so a row lost, repeated or changed shows.
     """
@@ -246,7 +258,8 @@ def verify_roundtrip(spark: SparkSession, read: Callable[[str], DataFrame], root
     parts = []
     for table in catalog:
         src = sums(read(table), "source_rows", "source_content")
-        dst = sums(spark.read.parquet(f"{root}/{snake_name(table)}"), "written_rows", "written_content")
+        at = f"{root}/{snake_name(table)}"
+        dst = sums(publish.read_published(spark, at) if versioned else spark.read.parquet(at), "written_rows", "written_content")
         parts.append(src.crossJoin(dst).select(F.lit(snake_name(table)).alias("table"), "source_rows", "written_rows",
                                                (F.col("source_content") == F.col("written_content")).alias("same_content")))
     return reduce(DataFrame.unionByName, parts)
