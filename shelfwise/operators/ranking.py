@@ -1,28 +1,24 @@
 """Exact global percent_rank / row_number without a single-partition window.
 
-``Window.orderBy(...)`` with no partitioning moves every row into one task. The
-distributed recipe:
-
-1. Collapse rows to their *distinct sort-key tuples* with a multiplicity
-   (partial + final hash aggregate). A key tuple shared by a third of all rows
-   becomes one row here, so ties can never pile into a single task.
-2. Range-partition the distinct tuples by the sort order (``repartitionByRange``
-   samples the keys to pick balanced boundaries) and persist them with a
-   reliable ``checkpoint()`` so partition ids are stable on re-execution, even
-   after executor loss.
-3. Per partition: a local window gives each tuple the number of rows before it
-   *inside* its partition; a tiny per-partition total table (one row per
-   partition) gives the exclusive prefix offset, broadcast back.
-4. rank = 1 + rows strictly before the tuple; join the ranks back to the rows
-   on the sort key (equi-join; AQE skew handling splits hot keys).
-
-For ``row_number`` the caller supplies a unique tie-break key so every tuple
-has multiplicity 1.
+``Window.orderBy(...)`` with no partitioning moves every row into one task. ``global_ranks`` ranks
+the rows by several orders in one pass instead:
+
+1. The input is written once to the shared folder, each row with a number. Every row is
+   stacked once per order, as (order, sort keys, row number) and nothing else.
+2. One range exchange by (order, sort keys, row number). The row number makes the key unique,
+   so ranges are balanced even where a third of all rows tie.
+3. A window ranks the rows of each order inside their range. The result is written, so range
+   numbers are the same on every later read.
+4. One table with a row per (range, order) carries the rows before the range and, where a
+   group of ties runs on from the range before, the rank it has. It is as small as the number of ranges and broadcast.
+5. One pivot by row number turns the ranks into columns, joined to the rows by that number.
+
+``global_rank_table`` is the other form: distinct sort keys with their rank and multiplicity.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,51 +62,94 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _pr(rank_col: str = "rank", total_col: str = "total") -> Column:
-    return F.when(F.col(total_col) <= 1, F.lit(0.0)).otherwise(
-        (F.col(rank_col) - 1).cast("double") / (F.col(total_col) - 1).cast("double"))
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared scratch folder and read back: later reads prune columns and repeat nothing."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_percent_ranks(df: DataFrame, specs: list[tuple[list[tuple[str, bool]], str]],
-                       num_partitions: int | None = None, checkpoint_input: bool = True) -> DataFrame:
-    """``df`` plus one percent_rank column per (keys, out_col) spec, each over the whole frame.
+Order = list[tuple[str, bool]]
+ROW, SPEC = "__row", "__spec"
+#: types whose values keep their order in a wider one, so that they share a key column
+WIDER = {"float": "double", "tinyint": "bigint", "smallint": "bigint", "int": "bigint"}
 
-    The input is materialised once, every rank table is derived from it, and the
-    tables are joined back to it — no pass re-executes another pass's lineage.
+
+def _stacked(rows: DataFrame, orders: list[Order]) -> tuple[DataFrame, list[str], list[Column]]:
+    """(stacked rows, key columns, sort expressions). A key column holds one (place in the order, type, direction); other orders
+    leave it null, so one sort over all key columns sorts every order by its own."""
+    kind = {f.name: WIDER.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in rows.schema.fields}
+    slots: dict[tuple[int, str, bool], str] = {}
+    for order in orders:
+        for place, (column, descending) in enumerate(order):
+            slots.setdefault((place, kind[column], descending), f"__k{len(slots)}")
+    slots = dict(sorted(slots.items(), key=lambda item: item[0][0]))
+
+    def one(number: int, order: Order) -> Column:
+        own = {slots[place, kind[c], d]: F.col(c) for place, (c, d) in enumerate(order)}
+        keys = [own.get(name, F.lit(None)).cast(k).alias(name) for (_, k, _), name in slots.items()]
+        return F.struct(F.lit(number).alias(SPEC), *keys)
+
+    stacked = rows.select(ROW, F.explode(F.array(*[one(n, o) for n, o in enumerate(orders)])).alias("s")).select(ROW, "s.*")
+    sort = [F.col(SPEC)] + [F.col(name).desc_nulls_last() if d else F.col(name).asc_nulls_first() for (_, _, d), name in slots.items()]
+    return stacked, list(slots.values()), [*sort, F.col(ROW)]
+
+
+def global_ranks(rows: DataFrame, orders: list[Order], num_partitions: int | None = None) -> DataFrame:
+    """(row number, ``__rank0``, ``__rank1``, ...): for every order 1 + the rows strictly before, over all of ``rows``; ``__total`` rows.
+
+    ``rows`` holds unique row numbers in ``__row`` and should be a written table.
     """
-    base = materialize(df) if checkpoint_input else df
-    # the passes are independent jobs over the same input: let them share the cluster
-    with ThreadPoolExecutor(len(specs)) as pool:
-        tables = list(pool.map(lambda spec: global_rank_table(base, spec[0], num_partitions), specs))
-    out = base
-    for (keys, out_col), table in zip(specs, tables):
-        names = [c for c, _ in keys]
-        out = _join_on_keys(out, table.select(*names, _pr().alias(out_col)), names)
-    return out
-
-
-def with_percent_rank(df: DataFrame, keys: list[tuple[str, bool]], out_col: str,
-                      num_partitions: int | None = None, checkpoint_input: bool = True) -> DataFrame:
+    stacked, keys, sort = _stacked(rows, orders)
+    ranged = stacked.repartitionByRange(*([num_partitions] if num_partitions else []), *sort).withColumn("__pid", F.spark_partition_id())
+    inside = F.rank().over(Window.partitionBy("__pid", SPEC).orderBy(*sort[1:-1])).cast("bigint")
+    local = written(ranged.withColumn("__at", inside), "ranks")
+    key = F.struct(*keys)
+    ends = local.groupBy("__pid", SPEC).agg(F.count(F.lit(1)).alias("__n"), F.min_by(key, "__at").alias("__first"),
+                                            F.max_by(key, "__at").alias("__last"), F.max("__at").alias("__begin"))
+    # one row per range and order: these windows run over as many rows as there are ranges
+    by_pid = Window.partitionBy(SPEC).orderBy("__pid")
+    ahead = by_pid.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.withColumn("__off", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
+    # equal first and last keys of neighbours: a group of ties runs on
+    runs_on = (F.col("__off") > 0) & F.col("__first").eqNullSafe(F.lag("__last").over(by_pid))
+    offsets = offsets.withColumn("__on", F.coalesce(runs_on, F.lit(False)))
+    # the rank of a range's last ties, unless they began in a range before
+    begun = F.when((F.col("__begin") > 1) | ~F.col("__on"), F.col("__off") + F.col("__begin"))
+    head = F.when(F.col("__on"), F.last(begun, ignorenulls=True).over(ahead))
+    total = F.sum("__n").over(Window.partitionBy(SPEC)).alias("__pm")
+    offsets = offsets.select("__pid", SPEC, "__off", head.alias("__head"), total)
+    ranked = local.select(ROW, SPEC, "__pid", "__at").join(F.broadcast(offsets), ["__pid", SPEC])
+    rank = F.when((F.col("__at") == 1) & F.col("__head").isNotNull(), F.col("__head")).otherwise(F.col("__off") + F.col("__at"))
+    return ranked.groupBy(ROW).agg(*[F.max(F.when(F.col(SPEC) == n, rank)).alias(f"__rank{n}") for n in range(len(orders))],
+                                   F.max("__pm").alias("__total"))
+
+
+def _pr(rank: Column, total: Column) -> Column:
+    return F.when(total <= 1, F.lit(0.0)).otherwise((rank - 1).cast("double") / (total - 1).cast("double"))
+
+
+def with_row(df: DataFrame) -> DataFrame:
+    """``df`` written once, each row with a number that stays."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def with_percent_ranks(df: DataFrame, specs: list[tuple[Order, str]], num_partitions: int | None = None) -> DataFrame:
+    """``df`` plus one percent_rank column per (keys, out_col) spec, each over the whole frame; all in one pass."""
+    rows = with_row(df)
+    ranks = global_ranks(rows, [keys for keys, _ in specs], num_partitions)
+    cols = [_pr(F.col(f"__rank{n}"), F.col("__total")).alias(out_col) for n, (_, out_col) in enumerate(specs)]
+    return rows.join(ranks, ROW).select(*df.columns, *cols)
+
+
+def with_percent_rank(df: DataFrame, keys: Order, out_col: str, num_partitions: int | None = None) -> DataFrame:
     """``df`` plus ``out_col`` = percent_rank() over ORDER BY keys (whole frame)."""
-    return with_percent_ranks(df, [(keys, out_col)], num_partitions, checkpoint_input)
+    return with_percent_ranks(df, [(keys, out_col)], num_partitions)
 
 
-def with_row_number(df: DataFrame, keys: list[tuple[str, bool]], out_col: str,
-                    count_col: str | None = None, num_partitions: int | None = None,
-                    checkpoint_input: bool = True) -> DataFrame:
+def with_row_number(df: DataFrame, keys: Order, out_col: str, count_col: str | None = None,
+                    num_partitions: int | None = None) -> DataFrame:
     """``df`` plus ``out_col`` = row_number() over ORDER BY keys; keys must be unique."""
-    base = materialize(df) if checkpoint_input else df
-    table = global_rank_table(base, keys, num_partitions)
-    cols = [*[c for c, _ in keys], F.col("rank").alias(out_col)]
-    if count_col:
-        cols.append(F.col("total").alias(count_col))
-    return _join_on_keys(base, table.select(*cols), [c for c, _ in keys])
-
-
-def _join_on_keys(df: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
-    """Null-safe equi-join back on the sort key tuple."""
-    t = table
-    for c in names:
-        t = t.withColumnRenamed(c, f"__r_{c}")
-    cond = [df[c].eqNullSafe(t[f"__r_{c}"]) for c in names]
-    return df.join(t, cond, "inner").drop(*[f"__r_{c}" for c in names])
+    rows = with_row(df)
+    cols = [F.col("__rank0").alias(out_col)] + ([F.col("__total").alias(count_col)] if count_col else [])
+    return rows.join(global_ranks(rows, [keys], num_partitions), ROW).select(*df.columns, *cols)

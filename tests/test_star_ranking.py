@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows
-from shelfwise.operators.ranking import global_rank_table, with_percent_rank, with_row_number
+from shelfwise.operators import ranking
+from shelfwise.operators.ranking import global_rank_table, with_percent_rank, with_percent_ranks, with_row_number
 from shelfwise.operators.star import DimSpec, star_join, stock_position
 
 
@@ -110,3 +111,37 @@ def test_property_distributed_rank_equals_window(spark, data, parts):
     w = Window.orderBy(F.col("a").desc_nulls_last(), F.col("b").asc_nulls_first())
     want = df.withColumn("pr", F.percent_rank().over(w))
     assert {r["id"]: r["pr"] for r in rows(got)} == {r["id"]: r["pr"] for r in rows(want)}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_several_orders_in_one_pass_equal_global_windows(spark, parts):
+    """Orders of different columns, types and directions; a third of all rows tie over several ranges; NULL, NaN and -0.0."""
+    rnd = random.Random(3)
+    nan = float("nan")
+    data = [(i, rnd.choice([0.0, 0.0, -0.0, None, nan, rnd.random()]), rnd.choice(["x", "y", None, "z" * rnd.randint(0, 3)]), rnd.choice([None, 1, 2]))
+            for i in range(500)]
+    df = spark.createDataFrame(data, "id int, a double, s string, b int").repartition(5)
+    orders = [[("a", True)], [("s", False), ("a", True)], [("b", False)], [("a", False), ("b", True), ("s", True)]]
+    got = df.join(with_percent_ranks(df, [(o, f"r{n}") for n, o in enumerate(orders)], parts).drop("a", "s", "b"), "id")
+    want = df
+    for n, order in enumerate(orders):
+        sort = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first() for c, d in order]
+        want = want.withColumn(f"r{n}", F.percent_rank().over(Window.orderBy(*sort)))
+    ranks = lambda d: {r["id"]: tuple(r[f"r{n}"] for n in range(len(orders))) for r in rows(d)}
+    assert ranks(got) == ranks(want)
+
+
+def test_ranks_of_ties_running_over_all_ranges(spark):
+    """One value over all ranges: everyone ranks first; and two values whose border lies inside a range."""
+    df = spark.range(200).withColumn("v", (F.col("id") >= 130).cast("int"))
+    table = with_row_number(df, [("id", False)], "n", "total", num_partitions=9)
+    assert {r["id"]: (r["n"], r["total"]) for r in rows(table)} == {i: (i + 1, 200) for i in range(200)}
+    got = {r["id"]: r["pr"] for r in rows(with_percent_rank(df, [("v", False)], "pr", num_partitions=9))}
+    assert {got[i] for i in range(130)} == {0.0} and {got[i] for i in range(130, 200)} == {130 / 199}
+    assert rows(with_percent_rank(df.where("id < 0"), [("v", False)], "pr")) == []
+
+
+def test_ranks_use_one_range_exchange(spark):
+    stacked, _, sort = ranking._stacked(ranking.with_row(spark.range(10).withColumn("v", F.lit(1))), [[("id", True)], [("v", True)], [("v", False)]])
+    plan = stacked.repartitionByRange(4, *sort)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and plan.count("Scan parquet") == 1
