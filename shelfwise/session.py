@@ -23,6 +23,8 @@ def session_settings(master: str | None = None, shuffle_partitions: int | None =
         "spark.ui.showConsoleProgress": "false",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # streams keep one entry per order line: on local disk with bounded memory, not in the heap
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     asked = {"spark.master": master, "spark.sql.shuffle.partitions": shuffle_partitions and str(shuffle_partitions),
              "spark.driver.memory": driver_memory}

@@ -265,16 +265,34 @@ def verify_roundtrip(spark: SparkSession, read: Callable[[str], DataFrame], root
     return reduce(DataFrame.unionByName, parts)
 
 
-def append_returns(returns: DataFrame, sales: DataFrame, path: str, validate: bool = True) -> DataFrame:
-    """Append (OrderNumber, LineNumber) rows to the returns table as one job.
-    With ``validate`` only lines that exist in ``sales`` are appended (left-semi join)."""
+def append_returns(returns: DataFrame, sales: DataFrame, path: str, validate: bool = True, batch: str | None = None) -> DataFrame:
+    """Append (OrderNumber, LineNumber) rows to the returns table as one job; returns the rows as they are stored.
+
+    With ``validate`` only lines that exist in ``sales`` are appended (left-semi join). With a ``batch`` key the rows get a folder
+    of their own, ``batch=<key>``, that a second run with this key replaces: running again repeats nothing, lines of other batches are
+    left out, and the table has a column ``batch``. Without a key every run appends.
+    """
+    spark = returns.sparkSession
     r = returns.select(F.col("OrderNumber"), F.col("LineNumber"))
     if validate:
         keys = sales.select(F.col("SalesOrderNumber").alias("OrderNumber"),
                             F.col("SalesOrderLineNumber").alias("LineNumber"))
         r = r.join(keys, ["OrderNumber", "LineNumber"], "left_semi")
-    r.write.mode("append").parquet(path)
-    return r
+    if batch is None:
+        r.write.mode("append").parquet(path)
+        return r
+    if not re.fullmatch(r"[\w.-]+", batch):
+        raise ValueError("a batch key is made of letters, digits, '_', '.' and '-'")
+    folder = f"{path.rstrip('/')}/batch={batch}"
+    if files.names(spark, path):
+        other = spark.read.schema("OrderNumber long, LineNumber int, batch string").parquet(path).where(F.col("batch") != batch)
+        r = r.join(other, ["OrderNumber", "LineNumber"], "left_anti")
+    r = r.distinct()
+    if files.exists(spark, folder):
+        publish.swap_folder(r, folder)
+    else:
+        r.write.parquet(folder)
+    return spark.read.schema(r.schema).parquet(folder)
 
 
 def json_export(df: DataFrame, path: str | None = None) -> DataFrame:
