@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.ranking import with_row_number
+from shelfwise.sources.ingest import publish_clustered
+from shelfwise.sources.publish import read_published
 
 # Reorder policy parameters (top 20% by demand get 15% safety stock,
 # the rest demand + 1 unit).
@@ -63,6 +65,12 @@ def inventory_status(policy: DataFrame, margins: DataFrame) -> DataFrame:
                     "Margin_Pct")
 
 
+def publish_status(status: DataFrame, root: str) -> DataFrame:
+    """I12 as a stored table: publish a new version clustered by product (one atomic step, ``sources.publish``) and read it."""
+    publish_clustered(status, ["ProductKey"], root)
+    return read_published(status.sparkSession, root)
+
+
 def distinct_descriptions(products: DataFrame) -> DataFrame:
     """Distinct product descriptions."""
     return products.select("EnglishDescription").distinct()

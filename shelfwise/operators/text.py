@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import cosine, dot, norm
+from shelfwise.functions.columns import cosine
+from shelfwise.operators import similarity
 
 # The keyword-extraction instruction placed before each description.
 KEYWORD_INSTRUCTION = ('Given the following product description, identify and list the key features and '
@@ -95,11 +96,11 @@ def keywords(docs: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFr
 
 
 def _exactly_one(query: DataFrame) -> DataFrame:
-    """The frame itself if it holds one row, which bounds its broadcast; anything else is an error."""
-    n = query.limit(2).count()
-    if n != 1:
-        raise ValueError("no query vector" if n == 0 else "more than one query vector: use cosine_topk_many")
-    return query
+    """The query as a local one-row frame, which bounds its broadcast and is read once; anything but one row is an error."""
+    found = query.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("no query vector" if not found else "more than one query vector: use cosine_topk_many")
+    return query.sparkSession.createDataFrame(found, query.schema)
 
 
 def query_vector(corpus: DataFrame, id_col: str, vec_col: str, query_id) -> DataFrame:
@@ -119,38 +120,47 @@ def cosine_topk(corpus: DataFrame, id_col: str, vec_col: str, query: DataFrame,
     return scored.orderBy(F.desc_nulls_last("score"), F.asc(id_col)).limit(k)
 
 
-def cosine_topk_many(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame,
-                     query_id_col: str, query_vec_col: str, k: int = 3) -> DataFrame:
-    """Top-k neighbours for each query vector: (query_id, id, score, rank); a query with a null id counts as one more id.
+def cosine_topk_many(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id_col: str,
+                     query_vec_col: str, k: int = 3, approximate: bool = False) -> DataFrame:
+    """Top-k neighbours for each query vector: (query_id, id, score, rank).
 
-    Exact: every corpus vector meets every stated query. Both sides are normalised
-    once, so a pair costs one dot product; the planner broadcasts the query side when its size allows.
+    Exact by default: blocked matrix products (``similarity.exact_topk``). ``approximate`` looks up a
+    locality-sensitive index instead (``similarity.lsh_topk``).
     """
-    def unit(v: str) -> F.Column:
-        length = norm(v)
-        return F.when(length != 0, F.transform(v, lambda x: x.cast("double") / length))
+    search = similarity.lsh_topk if approximate else similarity.exact_topk
+    return search(corpus, id_col, vec_col, queries, query_id_col, query_vec_col, k)
 
-    qs = queries.select(F.col(query_id_col).alias("query_id"), unit(query_vec_col).alias("__q"))
-    c = corpus.select(id_col, unit(vec_col).alias("__v"))
-    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), F.asc(id_col))
-    s = c.crossJoin(qs).select("query_id", id_col, dot("__v", "__q").alias("score"))
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+def similarity_search(hits: DataFrame, described: DataFrame) -> DataFrame:
+    """T4: the hits (productkey, score) with the keywords of the product's description, best first.
+
+    ``described`` is the keyword table (productkey, refined_description); a hit without keywords has null.
+    """
+    d = described.select(F.col("productkey").alias("__dk"), "refined_description")
+    j = hits.join(d, F.col("productkey") == F.col("__dk"), "left")
+    return j.select("productkey", "refined_description", "score").orderBy(F.desc_nulls_last("score"), "productkey")
+
+
+def _known(hits: DataFrame) -> tuple[DataFrame, list]:
+    """The hits as a local frame, and their keys. Hits are a top-k report: k rows, read once whatever joins them."""
+    found = hits.select(F.col("productkey").alias("__hk"), "score").collect()
+    return hits.sparkSession.createDataFrame(found, hits.select(F.col("productkey").alias("__hk"), "score").schema), sorted({r[0] for r in found if r[0] is not None})
 
 
 def _enrich(hits: DataFrame, products: DataFrame, status: DataFrame, product_cols: list[str],
             status_cols: list[str]) -> DataFrame:
-    """Hits with product and status columns. The hits (a top-k result) are broadcast to cut both
-    tables down to the hit keys before the left joins."""
-    h = hits.select(F.col("productkey").alias("__hk"), "score")
-    keys = F.broadcast(h.select(F.col("__hk").alias("ProductKey")).distinct())
-    p = products.join(keys, "ProductKey", "left_semi").select(F.col("ProductKey").alias("__pk"), *product_cols)
-    s = status.join(keys, "ProductKey", "left_semi").select(F.col("ProductKey").alias("__sk"), *status_cols)
+    """Hits with product and status columns. The k hits are fetched first; their keys become a filter that reaches the
+    scans of both tables (row groups of a clustered table are skipped), and the left joins see k rows."""
+    h, keys = _known(hits)
+    of_hits = F.col("ProductKey").isin(keys)
+    p = products.where(of_hits).select(F.col("ProductKey").alias("__pk"), *product_cols)
+    s = status.where(of_hits).select(F.col("ProductKey").alias("__sk"), *status_cols)
     return (h.join(p, F.col("__hk") == F.col("__pk"), "left")
              .join(s, F.col("__hk") == F.col("__sk"), "left"))
 
 
 def search_enriched(hits: DataFrame, products: DataFrame, status: DataFrame) -> DataFrame:
-    """Hits LEFT JOIN product LEFT JOIN inventory status, best score first."""
+    """Hits LEFT JOIN product LEFT JOIN inventory status (the published table), best score first."""
     j = _enrich(hits, products, status, ["EnglishProductName", "Weight", "Size"], ["HasStock", "Margin_Pct"])
     return j.select(F.col("EnglishProductName").alias("Bike Name"), "Weight", "Size",
                     F.col("HasStock").alias("Has Stock"), F.col("Margin_Pct").alias("Margin"),

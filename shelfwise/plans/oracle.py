@@ -651,6 +651,9 @@ KEYWORD_BODIES = {
                          """SELECT d.ProductKey AS productkey, d.EnglishDescription AS description,
                                    coalesce(kw.refined_description, '') AS refined_description
                             FROM describable d LEFT JOIN kw ON d.ProductKey = kw.id"""),
+    "similarity_search": ("describable", "ProductKey", "EnglishDescription",
+                          """SELECT h.productkey, CASE WHEN d.ProductKey IS NOT NULL THEN coalesce(kw.refined_description, '') END AS refined_description, h.score
+                             FROM hits h LEFT JOIN describable d ON h.productkey = d.ProductKey LEFT JOIN kw ON d.ProductKey = kw.id"""),
 }
 
 
