@@ -1,6 +1,7 @@
 """Greedy string tiling and license scans against brute force and planted cases."""
 
 import random
+import re
 import textwrap
 
 import numpy as np
@@ -140,6 +141,63 @@ def test_wrapped_license_notices(spark):
     assert not [r for r in licenses.scan(spark.createDataFrame([(1, cut, 1, "")], DOCS), model).collect() if r.confirmed]
 
 
+def brute_windows(text, containment=licenses.CONTAINMENT):
+    """Every window of every template, and of those that overlap the largest: (first line, last line, template)."""
+    tokens = [(w, n) for n, line in enumerate(text.split("\n")) for w in ([""] if not line.strip(" \t\r") else re.findall(licenses.WORD, line.lower()))]
+    held = []
+    for w in licenses.wordings(containment):
+        for s in range(len(tokens)):
+            run = tokens[s:s + w.window]
+            run = run[:next((i for i, t in enumerate(run) if t[0] == ""), len(run))]
+            at = [i for i in range(len(run) - 1) if f"{run[i][0]} {run[i + 1][0]}" in w.pairs]
+            matched = len({f"{run[i][0]} {run[i + 1][0]}" for i in at})
+            if at and at[0] == 0 and matched / len(w.pairs) >= containment:
+                end = s + at[-1] + 1
+                held.append(((matched, matched / len(w.pairs), s - end, -s, -w.number), s, end, run[0][1], tokens[end][1], w.template))
+    return sorted((first, last, template) for o, s, e, first, last, template in held if not any(a <= e and b >= s and p > o for p, a, b, *_ in held))
+
+
+def test_windows_equal_brute_force(spark):
+    rng = random.Random(9)
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    rows = []
+    for i in range(200):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            notice = rng.choice(texts).split()
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):  # words lost, put in or changed
+                k = rng.randrange(len(notice) + 1)
+                notice[k:k + rng.randint(0, 1)] = rng.choice([[], ["extra"], [rng.choice(rng.choice(texts).split())]])
+            words += rng.choice([[], ["Copyright", "2020", "-", "*"], notice[: len(notice) // 2]]) + notice
+        rows.append((i, "".join(w + rng.choice([" ", " ", " ", "\n", "\n# ", "\r\n"] + ["\n\n"] * (rng.random() < 0.1)) for w in words), 1, ""))
+    found = licenses.windows(spark.createDataFrame(rows, DOCS)).collect()
+    got = {i: sorted((r.paragraph_no, r.last_no, r.template) for r in found if r.doc_id == i) for i in range(200)}
+    want = {i: brute_windows(text) for i, text, *_ in rows}
+    assert got == want and sum(map(len, want.values())) > 200
+
+
+def test_wrapped_notices_have_one_family_each(spark):
+    """The family is the largest template's and the probability its own; line breaks may stand anywhere."""
+    model = licenses.fit(table(spark, SF, "documents"))
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    nc = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International\nLicense."
+    long = "word " * 5000
+    cases = {1: ("This work is licensed under a Creative Commons Attribution 4.0\nInternational License.", {"CC-BY"}),
+             2: ("This work is licensed under a Creative Commons Attribution 4.0 International\nLicense.", {"CC-BY"}),
+             3: (nc + "\nThis work is licensed under the GNU General Public License, version 3.", {"CC-BY-NC", "GPL"}),
+             4: ("\n".join(bsd.split()), {"BSD"}), 5: (long + bsd.replace(" and ", "\nand ") + " " + long, {"BSD"}),
+             6: ("Permission is\ngranted to enter the general\npublic library", set())}
+    docs = spark.createDataFrame([(i, t, 1, "") for i, (t, _) in cases.items()] + [(4, cases[4][0], 1, ""), (None, cases[1][0], None, None)], DOCS)
+    clash = docs.selectExpr("*", "'x' as family", "0.5 as probability", "'y' as __grams", "text as paragraph")
+    got = [r for r in licenses.scan(clash, model).collect() if r.confirmed]
+    for i, (_, families) in cases.items():
+        mine = [r for r in got if r.doc_id == i]
+        assert {r.family for r in mine} == families and len(mine) == len(families) * (2 if i == 4 else 1), (i, mine)
+    assert [r.family for r in got if r.doc_id is None] == ["CC-BY"]
+    assert all(r.probability >= model.threshold for r in got)
+    assert licenses.scan(docs, licenses.fit(docs.where("false"))).where("confirmed").count() >= 6
+
+
 def test_license_scan_runs_no_python(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     plan = licenses.scan(docs, licenses.fit(docs))._jdf.queryExecution().toString()
