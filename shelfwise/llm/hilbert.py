@@ -79,7 +79,8 @@ def _metadata(docs: DataFrame, bits: int) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     low, high = docs.agg(F.min("doc_id").cast("bigint"), F.max("doc_id").cast("bigint")).first()
     width = max(1, (high or 0) - (low or 0) + 1)
-    id_cell = F.least(F.floor((F.col("doc_id") - F.lit(low or 0)) * (float(cells - 1) / width)), F.lit(cells - 2)) + 1
+    # in double: the distance of two ids may not fit a long
+    id_cell = F.least(F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) * (float(cells - 1) / width)), F.lit(cells - 2)) + 1
     size_cell = F.least(F.floor(F.log2(F.octet_length(raw) + 1) * (cells / 40.0)), F.lit(cells - 1))
     null_lang, null_source = F.col("lang").isNull(), F.col("source").isNull()
     return docs.select(

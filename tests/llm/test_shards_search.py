@@ -114,3 +114,12 @@ def test_bounds_hold():
     low, high = ann.tile_bounds(ann.quantise(a), ann.quantise(b))
     true = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
     assert (low <= true).all() and (true <= high).all()
+
+
+def test_shards_of_ids_at_both_ends_of_a_long(spark):
+    ends = [-(1 << 63), -(1 << 63) + 5, -1, 0, 7, (1 << 63) - 5, (1 << 63) - 1]
+    docs = spark.createDataFrame([(i, "t", "en", "web") for i in ends] + [(None, "t", "en", "web")], "doc_id bigint, text string, lang string, source string")
+    got = hilbert.hilbert_shards(docs, shards=3).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted([*ends, None], key=str)
+    for shard in range(3):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
