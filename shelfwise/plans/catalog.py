@@ -249,13 +249,19 @@ def q_training_set(spark, sf):
 
 
 def q_propensity_scores(spark, sf):
-    """Scores of the non-buyers, best first, saved as a table and read back."""
-    train = _training(bind(spark, sf))
+    """Scores of the non-buyers, best first, saved as a table and read back; the fit repeats to a stated tolerance."""
+    rows = materialize(propensity.coded(propensity.training_set(_labels(bind(spark, sf)), AS_OF)))
     path = _scratch(spark, "bike_scores")
-    propensity.save_scores(propensity.score(propensity.fit(train), train), path)
+    propensity.save_scores(propensity.newton_scores(propensity.newton_fit(rows), rows), path)
     return spark.read.parquet(path).orderBy(F.desc("score"), F.asc("customerkey"))
 
 
+def q_propensity_equations(spark, sf):
+    """The score equations of the model behind ``propensity_scores``, which only the maximum of the likelihood solves."""
+    rows = materialize(propensity.coded(propensity.training_set(_labels(bind(spark, sf)), AS_OF)))
+    return propensity.score_equations(propensity.newton_fit(rows), rows)
+
+
 def q_propensity_facts(spark, sf):
     """What must hold for the fitted model whatever the solver's noise: who is scored, the range, the calibration."""
     train = _training(bind(spark, sf))
@@ -480,8 +486,10 @@ def q_shift_employees(spark, sf):
 
 
 def q_shift_calendar(spark, sf):
-    """S7 with year columns: dates move by months, years by whole years."""
-    return ingest.shift_table(bind(spark, sf).dim_date, "DimDate")
+    """S7 with year columns: dates move by months, years by whole years; the calendar's days on which orders were placed."""
+    w = bind(spark, sf)
+    days = w.raw("orders").select(F.to_date("o_orderdate").alias("FullDateAlternateKey")).distinct()
+    return ingest.shift_table(w.dim_date.join(days, "FullDateAlternateKey", "left_semi"), "DimDate")
 
 
 # ------------------------------------------------- sinks (write, read back)

@@ -10,6 +10,7 @@ HALF_EVEN on their decimal text, reproduced here through a VARCHAR -> DECIMAL ca
 from __future__ import annotations
 
 from shelfwise.operators import mining, propensity
+from shelfwise.operators.propensity import CATEGORICAL, NUMERIC
 from shelfwise.operators.text import KEYWORD_INSTRUCTION, RECAP_INSTRUCTION, STOP_WORDS
 from shelfwise.plans import catalog as C
 from shelfwise.sources.binding import EDUCATION
@@ -469,6 +470,20 @@ STAR_SIMPLE = {
     "star_reseller_sales": "SELECT * FROM v_fact_reseller_sales",
 }
 
+def _equations_sql() -> str:
+    """Per feature of the propensity model its sum over the buyers; codes by frequency, ties alphabetically, missing values last."""
+    codes = "".join(f"""
+        , code_{c} AS (SELECT {c} AS v, CAST(row_number() OVER (ORDER BY {c} IS NULL, count(*) DESC, CAST({c} AS VARCHAR)) - 1 AS DOUBLE) AS code FROM labelled GROUP BY 1)"""
+                    for c in CATEGORICAL)
+    sums = "".join(f"""
+        UNION ALL SELECT '{c}', round(sum(CAST({c} AS DOUBLE)) FILTER (BikeBuyer = 1), 3), true FROM aged""" for c in NUMERIC)
+    sums += "".join(f"""
+        UNION ALL SELECT '{c}_code', round(sum(code) FILTER (BikeBuyer = 1), 3), true FROM labelled JOIN code_{c} ON {c} IS NOT DISTINCT FROM v""" for c in CATEGORICAL)
+    return f"""{codes}
+        , aged AS (SELECT *, date_diff('day', BirthDate, DATE '{C.AS_OF}') / 365 AS Age FROM labelled)
+        SELECT 'intercept' AS feature, round(sum(CAST(BikeBuyer AS DOUBLE)), 3) AS observed, true AS solved FROM labelled{sums}"""
+
+
 BODIES = {
     **STAR_SIMPLE,
     "customer_metrics": "SELECT * FROM customer_metrics",
@@ -616,7 +631,9 @@ BODIES = {
                                               AND coalesce(EndDate + INTERVAL 11 YEAR < DATE '2007-06-01', true)""",
     "shift_calendar": """SELECT * REPLACE (CAST(FullDateAlternateKey + INTERVAL 132 MONTH AS DATE) AS FullDateAlternateKey,
                                            CAST(CalendarYear + 11 AS INTEGER) AS CalendarYear,
-                                           CAST(FiscalYear + 11 AS INTEGER) AS FiscalYear) FROM dim_date""",
+                                           CAST(FiscalYear + 11 AS INTEGER) AS FiscalYear) FROM dim_date
+                         WHERE FullDateAlternateKey IN (SELECT CAST(o_orderdate AS DATE) FROM orders)""",
+    "propensity_equations": _equations_sql(),
     "clustered_write": "SELECT * FROM fact_internet_sales",
     "append_returns": """SELECT OrderNumber, LineNumber FROM returns r WHERE EXISTS (
                            SELECT 1 FROM fact_internet_sales s WHERE s.SalesOrderNumber = r.OrderNumber

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -56,3 +57,54 @@ def test_model_learns_planted_signal(spark):
     assert sc and all(0.0 <= r["score"] <= 1.0 for r in sc)
     assert [r["score"] for r in sc] == sorted((r["score"] for r in sc), reverse=True)
     assert {r["customerkey"] for r in sc} == {r["CustomerKey"] for r in rows(propensity.non_buyers(_labels(v)))}
+
+
+def _numpy_scores(table, steps=200):
+    """Maximum-likelihood probabilities by plain Newton steps on the coded features."""
+    x = np.array([[1.0] + [float(r[c]) for c in propensity.FEATURES] for r in table])
+    x[:, 1:] -= x[:, 1:].mean(axis=0)
+    keep = [0] + [j for j in range(1, x.shape[1]) if x[:, j].std() > 0]
+    x = x[:, keep] / np.array([1.0] + [x[:, j].std() for j in keep[1:]])
+    y = np.array([float(r["BikeBuyer"]) for r in table])
+    beta = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-x @ beta))
+        step = np.linalg.lstsq(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (y - p), rcond=1e-12)[0]
+        beta += step
+        if np.abs(step).max() < 1e-12:
+            break
+    return dict(zip((r["CustomerKey"] for r in table), 1 / (1 + np.exp(-x @ beta))))
+
+
+def test_newton_scores_equal_numpy_and_repeat(spark):
+    train = propensity.training_set(_labels(_view(spark)), "2002-01-01")
+    table = propensity.coded(train).cache()
+    want = _numpy_scores(rows(table))
+    runs = []
+    for parts in (1, 7):
+        part = table.repartition(parts)
+        model = propensity.newton_fit(part)
+        got = {r["CustomerKey"]: r["p"] for r in rows(part.select("CustomerKey", model.probability().alias("p")))}
+        assert max(abs(got[k] - want[k]) for k in want) < 1e-7
+        assert all(r["solved"] for r in rows(propensity.score_equations(model, part)))
+        runs.append([(r["customerkey"], round(r["score"], 6)) for r in propensity.newton_scores(model, part).collect()])
+    assert runs[0] == runs[1] and len(runs[0]) == sum(r["BikeBuyer"] == 0 for r in rows(table))
+    # a model that is off does not solve the equations
+    model.intercept += 0.01
+    assert not all(r["solved"] for r in rows(propensity.score_equations(model, table)))
+
+
+def test_newton_fit_of_degenerate_tables(spark):
+    """Constant and dependent features, a missing number, labels that a feature separates, one label only, no row."""
+    base = propensity.coded(propensity.training_set(_labels(_view(spark, 60)), "2002-01-01"))
+    dependent = base.withColumn("NumberCarsOwned", F.col("TotalChildren") * 2).withColumn("YearlyIncome", F.lit(5.0))
+    model = propensity.newton_fit(dependent)
+    assert "YearlyIncome" not in model.weights and all(r["solved"] for r in rows(propensity.score_equations(model, dependent)))
+    missing = base.withColumn("YearlyIncome", F.when(F.col("CustomerKey") > 5, F.col("YearlyIncome")))
+    assert all(0 <= r["p"] <= 1 for r in rows(missing.select(propensity.newton_fit(missing).probability().alias("p"))))
+    apart = base.withColumn("BikeBuyer", (F.col("TotalChildren") > 2).cast("int"))
+    fitted = rows(apart.select("BikeBuyer", propensity.newton_fit(apart).probability().alias("p")))
+    assert all((r["p"] > 0.5) == (r["BikeBuyer"] == 1) for r in fitted)
+    ones = base.withColumn("BikeBuyer", F.lit(0))
+    assert max(r["p"] for r in rows(ones.select(propensity.newton_fit(ones).probability().alias("p")))) < 0.01
+    assert propensity.newton_scores(propensity.newton_fit(base.where("false")), base.where("false")).count() == 0
