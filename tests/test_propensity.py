@@ -82,7 +82,7 @@ def test_newton_scores_equal_numpy_and_repeat(spark):
     want = _numpy_scores(rows(table))
     runs = []
     for parts in (1, 7):
-        part = table.repartition(parts)
+        part = table.repartition(parts).cache()
         model = propensity.newton_fit(part)
         got = {r["CustomerKey"]: r["p"] for r in rows(part.select("CustomerKey", model.probability().alias("p")))}
         assert max(abs(got[k] - want[k]) for k in want) < 1e-7
@@ -96,7 +96,7 @@ def test_newton_scores_equal_numpy_and_repeat(spark):
 
 def test_newton_fit_of_degenerate_tables(spark):
     """Constant and dependent features, a missing number, labels that a feature separates, one label only, no row."""
-    base = propensity.coded(propensity.training_set(_labels(_view(spark, 60)), "2002-01-01"))
+    base = propensity.coded(propensity.training_set(_labels(_view(spark, 60)), "2002-01-01")).coalesce(1).cache()
     dependent = base.withColumn("NumberCarsOwned", F.col("TotalChildren") * 2).withColumn("YearlyIncome", F.lit(5.0))
     model = propensity.newton_fit(dependent)
     assert "YearlyIncome" not in model.weights and all(r["solved"] for r in rows(propensity.score_equations(model, dependent)))
