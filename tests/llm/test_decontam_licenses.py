@@ -1,7 +1,10 @@
 """Greedy string tiling and license scans against brute force and planted cases."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 import textwrap
 
 import numpy as np
@@ -53,6 +56,41 @@ def test_tiles_equal_brute_force():
             assert found[0][3] == covered
 
 
+def test_tiles_of_repetitive_texts_equal_brute_force_in_small_steps(monkeypatch):
+    monkeypatch.setattr(decontam, "ENDS_AT_ONCE", 7)
+    monkeypatch.setattr(decontam, "PIECE", 11)
+    rng = random.Random(9)
+    for _ in range(60):
+        words = ["a", "b", "c"][:rng.randint(1, 3)]
+        item = [rng.choice(words) for _ in range(rng.randint(3, 9))]
+        doc = [rng.choice([*words, "zz"]) for _ in range(rng.randint(0, 60))]
+        texts = ["zz " * rng.randint(0, 9), " ".join(doc), None]
+        found = list(decontam.SeedTable([(1, " ".join(item)), (2, "c c c a b")], 3).contaminations(texts, 0.01))
+        covered, tiles = brute_tiles(doc, item, 3)
+        assert [(f[0], f[3]) for f in found if f[1] == 1] == ([(1, covered)] if covered else [])
+
+
+def test_only_matches_that_no_tile_needs_are_left_out():
+    rng = random.Random(3)
+    for _ in range(40):
+        item_words = rng.randint(6, 14)
+        matches = sorted({(rng.randrange(4000), t, rng.randint(3, item_words - t)) for t in [rng.randrange(item_words - 3) for _ in range(600)]})
+        every = np.array(matches, np.int64).T
+        assert decontam.greedy_tiles(decontam.first_matches(every, item_words, 3), item_words, 3) == decontam.greedy_tiles(every, item_words, 3)
+
+
+def test_five_million_equal_words_stay_small():
+    code = ("import resource, sys; sys.path.insert(0, '.')\n"
+            "from shelfwise.llm import decontam\n"
+            "table = decontam.SeedTable([(1, 'word ' * 60), (2, 'word ' * 40 + 'other ' * 40)])\n"
+            "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+            "found = list(table.contaminations(['word ' * 5_000_000]))\n"
+            "assert [f[:2] + f[3:] for f in found] == [(0, 1, 60, 60, 1, 60)], found\n"
+            "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert int(out.stdout) < 500_000  # kB
+
+
 def test_query_finds_every_whole_item_and_no_fragment(spark):
     got = {(r.doc_id, r.item_id): r for r in QUERIES["op3_greedy_tiling_decontamination"](spark, SF).collect()}
     items = {r.item_id: b" ".join(decontam.words_of(r.text)) for r in table(spark, SF, "benchmark").collect()}
