@@ -1,9 +1,11 @@
 """Nearest neighbours by a block matrix join over int8 tiles.
 
 Vectors are packed into blocks (rows of packed bytes) of one dimension each. Query
-blocks and candidate blocks meet in a block matrix join: every candidate block goes to
-each query block once, and candidate groups spread one query block's work over tasks.
-A joined row is a tile. In the tile
+blocks and candidate blocks are dealt to groups, and the cells of the grid (query group, candidate
+group) are the keys of a block matrix join: a candidate block is sent once to each query group, a query
+block once to each candidate group, and in a cell every pair of blocks meets. The numbers of
+groups follow the counted rows of the dimension, so cells grow with the data on both sides.
+A joined row is a tile, taken in strips of ``STRIP`` queries. In a strip
 
 1. both blocks are quantised to int8, one scale per vector, and multiplied; the products
    are whole numbers below 2**24 and therefore exact in float32,
@@ -15,6 +17,8 @@ A joined row is a tile. In the tile
 
 Every query keeps a heap of its k best; a task's heaps leave it at its end and are merged per
 query. The bounds are proven, so the result equals brute force: no recall is lost.
+Where squares could overflow or vanish, a tile is scaled by a power of two, which is exact; a distance
+beyond the largest double is infinite.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take
 no part, nor do rows with a null id; vectors of another dimension are never compared. A
@@ -35,9 +39,17 @@ from pyspark.sql import functions as F
 
 K = 10
 QUERY_EVERY = 100
-QUERY_BLOCK = 256
+QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 4096
+#: blocks of either side in a full group
+GROUP_BLOCKS = 8
+#: below this number every candidate block is a group of its own
 CANDIDATE_GROUPS = 64
+STRIP = 256
+#: squares of numbers within these bounds neither overflow nor vanish
+SAFE = (1e-140, 1e140)
+#: more than underflowing squares can take from a distance
+LEAST = 1e-150
 
 BLOCK_SCHEMA = "dim int, ids binary, vectors binary"
 FOUND_SCHEMA = "query_id bigint, vec_id bigint, score double"
@@ -112,7 +124,26 @@ def tile_bounds(query, candidate) -> tuple[np.ndarray, np.ndarray]:
     both = qe[:, None] + ce[None, :]
     low = np.sqrt(np.maximum(near - slack, 0)) - both
     high = np.sqrt(np.maximum(near + slack, 0)) + both
-    return low * (1 - 1e-12), high * (1 + 1e-12)
+    return low * (1 - 1e-12) - LEAST, high * (1 + 1e-12) + LEAST
+
+
+def distances(diff: np.ndarray) -> np.ndarray:
+    """Lengths of the rows; rows whose squares would overflow or vanish are scaled by their largest component."""
+    with np.errstate(over="ignore", under="ignore"):
+        found = np.sqrt((diff * diff).sum(axis=1))
+    top = np.abs(diff).max(axis=1)
+    odd = np.flatnonzero((top > 0) & np.isfinite(top) & ((top < SAFE[0]) | (top > SAFE[1])))
+    if odd.size:
+        part = diff[odd] / top[odd, None]
+        with np.errstate(over="ignore"):
+            found[odd] = top[odd] * np.sqrt((part * part).sum(axis=1))
+    return found
+
+
+def shift_of(queries: np.ndarray, candidates: np.ndarray) -> int:
+    """The power of two that brings a tile's largest component to about 1; 0 where nothing can overflow or vanish."""
+    top = max(np.abs(queries).max(), np.abs(candidates).max())
+    return 0 if SAFE[0] <= top <= SAFE[1] else int(np.frexp(top)[1])
 
 
 class Nearest:
@@ -146,55 +177,68 @@ class Nearest:
         return sorted((d, v) for v, d in self.best.items())
 
 
-def search_tile(query_ids, queries, q, candidate_ids, candidates, c, heaps: dict[int, Nearest], k: int) -> None:
+def search_tile(query_ids, queries, candidate_ids, candidates, heaps: dict[int, Nearest], k: int) -> None:
     """Offer the tile's surviving pairs to the queries' heaps."""
-    low, high = tile_bounds(q, c)
-    own = query_ids[:, None] == candidate_ids[None, :]
-    high[own] = np.inf
-    low[own] = np.inf
-    if len(candidate_ids) > k:
-        kth = np.partition(high, k - 1, axis=1)[:, k - 1]
-    else:
-        kth = np.full(len(query_ids), np.inf)
+    shift = shift_of(queries, candidates)
+    codes = quantise(np.ldexp(candidates, -shift) if shift else candidates)
     # repeated rows of an id count once, so their copies must not crowd out the k-th neighbour
-    if len(np.unique(candidate_ids)) < len(candidate_ids):
-        kth[:] = np.inf
-    for i, query_id in enumerate(query_ids.tolist()):
-        heap = heaps.setdefault(query_id, Nearest(k))
-        alive = np.flatnonzero(low[i] <= min(kth[i], heap.limit()))
-        alive = alive[candidate_ids[alive] != query_id]
-        if not alive.size:
-            continue
-        diff = candidates[alive] - queries[i]
-        distance = np.sqrt((diff * diff).sum(axis=1))
-        order = np.lexsort((candidate_ids[alive], distance))
-        offered = 0
-        for j in order.tolist():
-            if len(heap.heap) == k and (distance[j], candidate_ids[alive[j]]) > (-heap.heap[0][0], -heap.heap[0][1]):
-                break
-            heap.offer(float(distance[j]), int(candidate_ids[alive[j]]))
-            offered += 1
+    bounded = k < len(candidate_ids) == len(np.unique(candidate_ids))
+    for at in range(0, len(query_ids), STRIP):
+        ids, strip = query_ids[at:at + STRIP], queries[at:at + STRIP]
+        low, high = tile_bounds(quantise(np.ldexp(strip, -shift) if shift else strip), codes)
+        if shift:
+            with np.errstate(over="ignore", under="ignore"):
+                low, high = np.ldexp(low, shift), np.ldexp(high, shift)
+        own = ids[:, None] == candidate_ids[None, :]
+        high[own] = np.inf
+        low[own] = np.inf
+        kth = np.partition(high, k - 1, axis=1)[:, k - 1] if bounded else np.full(len(ids), np.inf)
+        for i, query_id in enumerate(ids.tolist()):
+            heap = heaps.setdefault(query_id, Nearest(k))
+            alive = np.flatnonzero(low[i] <= min(kth[i], heap.limit()))
+            alive = alive[candidate_ids[alive] != query_id]
+            if not alive.size:
+                continue
+            with np.errstate(over="ignore"):
+                distance = distances(candidates[alive] - strip[i])
+            order = np.lexsort((candidate_ids[alive], distance))
+            for j in order.tolist():
+                if len(heap.heap) == k and (distance[j], candidate_ids[alive[j]]) > (-heap.heap[0][0], -heap.heap[0][1]):
+                    break
+                heap.offer(float(distance[j]), int(candidate_ids[alive[j]]))
+
+
+def grid(asked: DataFrame, everyone: DataFrame, query_block: int, candidate_block: int, groups: int) -> DataFrame:
+    """Per dimension: q_groups and c_groups, the sides of the grid, from the counted rows of both sides."""
+    def counted(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+
+    full = counted(asked, query_block, "q").join(counted(everyone, candidate_block, "c"), "dim")
+    return full.select("dim", F.ceil(F.col("q") / GROUP_BLOCKS).cast("int").alias("q_groups"),
+                       F.greatest(F.least("c", F.lit(groups)), F.ceil(F.col("c") / GROUP_BLOCKS).cast("int")).alias("c_groups"))
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK,
             candidate_block: int = CANDIDATE_BLOCK, groups: int = CANDIDATE_GROUPS) -> DataFrame:
     """The k nearest rows of ``embeddings`` for every row of ``queries`` (vec_id, embedding), nearest first.
 
-    Nearness is the Euclidean distance. ``groups`` is the number of tasks that a query block's candidates spread over.
+    Nearness is the Euclidean distance. ``groups``: up to that many candidate blocks, each is a group of its own.
     """
     everyone = usable(embeddings)
     asked = usable(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    query_blocks = blocks(asked, query_block).withColumn("block", F.monotonically_increasing_id())
-    # candidate blocks are numbered into groups; every (query block, group) pair is one unit of the matrix join
-    all_groups = F.sequence(F.lit(0), F.lit(groups - 1))
-    left = query_blocks.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "block",
-                               F.explode(all_groups).alias("grp"))
-    right = blocks(everyone, candidate_block).withColumn("grp", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    tiles = left.join(right, ["dim", "grp"]).select("block", "grp", "q_ids", "q_vectors", "ids", "vectors")
+    sides = grid(asked, everyone, query_block, candidate_block, groups)
+    # a lost task must pack the same blocks again, so rows that come from a shuffle are sorted first
+    left = blocks(asked.repartition("vec_id").sortWithinPartitions("vec_id"), query_block).join(sides, "dim").select(
+        "dim", F.pmod(F.xxhash64("ids"), F.col("q_groups")).cast("int").alias("q_group"),
+        F.explode(F.sequence(F.lit(0), F.col("c_groups") - 1)).alias("c_group"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    right = blocks(everyone, candidate_block).join(sides, "dim").select(
+        "dim", F.explode(F.sequence(F.lit(0), F.col("q_groups") - 1)).alias("q_group"),
+        F.pmod(F.xxhash64("ids"), F.col("c_groups")).cast("int").alias("c_group"), "ids", "vectors")
+    tiles = left.join(right, ["dim", "q_group", "c_group"]).select("q_ids", "q_vectors", "ids", "vectors")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, Nearest] = {}
-        seen: tuple[bytes, tuple] | None = None
+        seen: tuple[bytes, np.ndarray] | None = None
 
         def leave() -> pa.RecordBatch:
             rows = [(q, v, d) for q, heap in heaps.items() for d, v in heap.ranked()]
@@ -208,14 +252,12 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = K, query_block:
                 raw = [batch.column(n)[row].as_py() for n in ("q_ids", "q_vectors", "ids", "vectors")]
                 ids = np.frombuffer(raw[0], "<i8")
                 if seen is None or seen[0] != raw[0]:
-                    x = np.frombuffer(raw[1], "<f8").reshape(len(ids), -1)
-                    seen = (raw[0], (x, quantise(x)))
+                    seen = (raw[0], np.frombuffer(raw[1], "<f8").reshape(len(ids), -1))
                     if len(heaps) > 50_000:
                         yield leave()
-                x, q = seen[1]
                 c_ids = np.frombuffer(raw[2], "<i8")
                 c = np.frombuffer(raw[3], "<f8").reshape(len(c_ids), -1)
-                search_tile(ids, x, q, c_ids, c, quantise(c), heaps, k)
+                search_tile(ids, seen[1], c_ids, c, heaps, k)
         yield leave()
 
     found = tiles.mapInArrow(search, FOUND_SCHEMA)

@@ -93,8 +93,28 @@ def test_search_with_copies_and_small_blocks(spark):
     base = np.round(rng.normal(size=(60, 5)), 2)
     vectors = [(i, base[i % 60].tolist() if i % 3 else base[0].tolist()) for i in range(100, 501)]
     df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").repartition(5)
-    got = ann.nearest(df, df.where("vec_id % 100 = 0"), query_block=2, candidate_block=37, groups=3).collect()
-    compare(got, brute(vectors, 10))
+    for groups in (1, 3, 64):
+        got = ann.nearest(df, df.where("vec_id % 100 = 0"), query_block=2, candidate_block=3 if groups == 1 else 37, groups=groups).collect()
+        compare(got, brute(vectors, 10))
+
+
+def test_search_grid_grows_with_both_sides(spark):
+    df = spark.range(1000).selectExpr("id AS vec_id", "array(1.0D + id, 2.0D) AS vector")
+    asked = df.where("vec_id < 300")
+    for query_block, candidate_block, groups, sides in ((300, 1000, 64, (1, 1)), (10, 10, 64, (4, 64)), (1, 1, 64, (38, 125)), (1, 1, 4, (38, 125))):
+        row = ann.grid(asked, df, query_block, candidate_block, groups).first()
+        assert (row.q_groups, row.c_groups) == sides
+
+
+def test_search_of_huge_and_tiny_doubles(spark):
+    vectors = [(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [-1e200, 1.0]), (3, [1.0, 2.0]), (100, [1e-200, 0.0]), (4, [4e-200, 0.0]), (200, [1.7e308, 0.0]), (5, [-1.7e308, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(df, df.where("vec_id % 100 = 0")).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got[0][0] == (1, 1.0) and [v for v, _ in got[0][1:4]] == [3, 4, 100] and got[0][4] == (2, 2e200)
+    assert got[100][0][0] == 4 and abs(got[100][0][1] / 3e-200 - 1) < 1e-12 and got[100][1] == (3, 5 ** 0.5)
+    assert all(len(v) == 7 for v in got.values()) and got[200][-1] == (5, float("inf"))
 
 
 def test_search_edge_cases(spark):
