@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import materialize, release_memory, sliced
+from shelfwise.llm.common import join_split, materialize, release_memory, sliced
 from shelfwise.llm.components import LINK_SCHEMA, components, spanning_stars
 
 SHINGLE_WORDS = 4
@@ -246,12 +246,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words_per_shingle
     ``member`` is the fingerprint that stands for the component, also where no document of it has an id.
     """
     prints = materialize(fingerprints(docs, words_per_shingle, seed), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "distinct")
     labels = components(fingerprint_links(distinct, max_bits))
-    labelled = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("member"))
-    smallest = labelled.groupBy("member").agg(F.min("first_id").alias("component_id"))
-    ids = labelled.join(smallest, "member").select("fp", "member", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id", "member")
+    labels = labels.withColumnRenamed("node", "fp").withColumnRenamed("label", "member")
+    linked = materialize(distinct.join(labels, "fp"), "linked")
+    smallest = materialize(linked.groupBy("member").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "smallest")
+    # a component, or a group of copies, may hold any share of all rows: both joins split such keys
+    joined = join_split(linked.select("fp", "copies", "member"), smallest, "member", "members").select("fp", "copies", "member", "component_id")
+    alone = distinct.join(labels, "fp", "left_anti").select("fp", "copies", F.col("fp").alias("member"), F.col("first_id").alias("component_id"))
+    ids = materialize(joined.unionByName(alone), "component-ids")
+    return join_split(prints, ids, "fp", "copies").select("doc_id", "text_hash", "fp", "component_id", "member")
 
 
 def keep_one_each(docs: DataFrame, max_bits: int = MAX_BITS, words_per_shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
