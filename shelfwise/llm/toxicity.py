@@ -17,6 +17,7 @@ Grams of a long text are hashed in pieces of ``PIECE`` bytes that overlap by a g
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from shelfwise.llm.labelled import keep_rows, score_rows, training_texts
 
 THRESHOLD = 0.5
 TRAIN_POSITIVES = 2000
-TRAIN_UNLABELLED = 5000
+TRAIN_UNLABELLED = 6000
 GRAMS = (5, 8)
 HASH_BITS = 20
 DENSITIES = (0.0004, 0.001)
@@ -37,7 +38,6 @@ MARKS = (1 + len(DENSITIES)) << HASH_BITS
 FEATURES = 20000
 LEAST_DOCUMENTS = 4
 LEAST_Z = 4.0
-SKETCH = 4
 STEPS = 300
 RATE = 0.05
 DECAY = 1e-4
@@ -93,15 +93,15 @@ class ToxicityModel:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, is_positive) to the text's marks and their sketch, the smallest ``SKETCH`` of them."""
+    """(text, is_positive) to the text's marks and a hash of all of them."""
     for part in sliced(batches):
         x = [marks(t).astype("<u4") for t in part.column(0).to_pylist()]
-        yield pa.record_batch([pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v[:SKETCH].tobytes() for v in x], pa.binary()),
-                               part.column(1)], names=["x", "sketch", "is_positive"])
+        yield pa.record_batch([pa.array([v.tobytes() for v in x], pa.binary()), pa.array([blake2b(v.tobytes(), digest_size=16).digest() for v in x], pa.binary()),
+                               part.column(1)], names=["x", "all_marks", "is_positive"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, sketch, is_positive) to (mark, texts of either kind that hold it) of the task's rows."""
+    """(x, all_marks, is_positive) to (mark, texts of either kind that hold it) of the task's rows."""
     held = np.zeros((2, MARKS), np.int32)
     for part in sliced(batches):
         for x, positive in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
@@ -117,17 +117,17 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = TRAIN_POSITIVES, un
     Marks are counted by Spark; the driver gets the significant ones, and then each sampled text's kept marks.
     """
     rows, prior = training_texts(docs, labels, "toxic", positives, unlabelled)
-    # copies count once: rows of a kind with the same sketch are the same or nearly the same text
-    sample = materialize(rows.mapInArrow(_hashed, "x binary, sketch binary, is_positive boolean")
-                         .dropDuplicates(["is_positive", "sketch"]), "toxicity-sample")
+    # copies count once: texts of a kind that hold exactly the same marks
+    sample = materialize(rows.mapInArrow(_hashed, "x binary, all_marks binary, is_positive boolean")
+                         .dropDuplicates(["is_positive", "all_marks"]), "toxicity-sample")
     n_p, n_u = sample.agg(F.count_if("is_positive"), F.count_if(~F.col("is_positive"))).first()
     start = float(np.log(prior / (1 - prior)))
     untaught = ToxicityModel(np.full(MARKS, -1, np.int32), np.zeros(1), start)
     if not n_p or not n_u:
         return untaught
     # an unlabelled row that is itself a confirmed text says nothing about what else holds a gram
-    confirmed = sample.where("is_positive").select("sketch")
-    counted = sample.where("is_positive").unionByName(sample.where(~F.col("is_positive")).join(F.broadcast(confirmed), "sketch", "left_anti").select(sample.columns))
+    confirmed = sample.where("is_positive").select("all_marks")
+    counted = sample.where("is_positive").unionByName(sample.where(~F.col("is_positive")).join(F.broadcast(confirmed), "all_marks", "left_anti").select(sample.columns))
     n_u = counted.where(~F.col("is_positive")).count()
     if not n_u:
         return untaught
