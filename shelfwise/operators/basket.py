@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions.skew import join_split
 from shelfwise.operators.ranking import materialize
 
 # Category assigned to lines with no category, and the anchor category.
@@ -65,15 +66,16 @@ def pair_counts(rows: DataFrame, anchor: str, pairs_per_bucket: int = PAIRS_PER_
     of about ``pairs_per_bucket`` pairs: anchors pick a row and are copied along it, companions pick a
     column. Every (anchor, companion) pair meets in exactly one bucket, so counts are exact,
     and a basket that holds a third of all lines is spread over many tasks. The items table is
-    written once, and both sides and the basket sizes are read from it.
+    written once, and both sides and the basket sizes are read from it; hot baskets are split before the first join.
     """
     items = materialize(_weighted_items(rows))
     is_anchor = F.col("category") == anchor
     sizes = items.groupBy("transaction_id").agg(F.count_if(is_anchor).alias("na"), F.count_if(~is_anchor).alias("nb"))
     side = pairs_per_bucket ** 0.5  # items of either side in a full bucket
-    sizes = (sizes.where((F.col("na") > 0) & (F.col("nb") > 0))
-             .select("transaction_id", F.ceil(F.col("na") / side).cast("int").alias("__a"), F.ceil(F.col("nb") / side).cast("int").alias("__b")))
-    sized = items.join(sizes, "transaction_id")
+    sizes = materialize(sizes.select("transaction_id", F.ceil(F.col("na") / side).cast("int").alias("__a"), F.ceil(F.col("nb") / side).cast("int").alias("__b"),
+                                     (F.col("na") + F.col("nb")).alias("__items")))
+    # a basket that holds a large share of all items is dealt out before it meets its size
+    sized = join_split(items, sizes, "transaction_id", "__items", wanted=(F.col("__a") > 0) & (F.col("__b") > 0))
     anchors = sized.where(is_anchor).select(
         "transaction_id", F.col("productkey").alias("bike_key"), F.col("m").alias("ma"),
         F.pmod(F.xxhash64("productkey"), F.col("__a")).cast("int").alias("__row"),

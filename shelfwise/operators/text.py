@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import cosine
+from shelfwise.functions.skew import join_split
 from shelfwise.operators import similarity
+from shelfwise.operators.ranking import materialize
 
 # The keyword-extraction instruction placed before each description.
 KEYWORD_INSTRUCTION = ('Given the following product description, identify and list the key features and '
@@ -78,13 +80,13 @@ def keywords(docs: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFr
     """Top-k TF-IDF terms per document as ``refined_description`` ("a, b, c"); "" for a document without a usable token.
 
     tf = term count in the document, idf = ln((N + 1) / (df + 1)); ties by term.
-    Term counts combine map-side; the (doc, term) x (term, df) join is a shuffle
-    join on the term, where AQE skew handling splits very frequent terms.
+    Term counts combine map-side and are written once, so texts are split into words once. The (doc, term) x (term, df)
+    join is a shuffle join on the term; the document counts say which terms are hot, and those are dealt out.
     """
-    tf = tokens(docs, id_col, text_col).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = materialize(tokens(docs, id_col, text_col).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    df_ = materialize(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("__rows", F.col("df")))
     n = F.broadcast(docs.agg(F.count(F.lit(1)).alias("N")))
-    scored = tf.join(df_, "term").crossJoin(n).withColumn(
+    scored = join_split(tf, df_, "term", "__rows").crossJoin(n).withColumn(
         "score", F.col("tf") * F.log((F.col("N") + 1).cast("double") / (F.col("df") + 1).cast("double")))
     w = Window.partitionBy("id").orderBy(F.desc("score"), F.asc("term"))
     top = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.operators import basket, customer, forecast, inventory, mining, propensity, serving, star, text
+from shelfwise.operators import basket, customer, forecast, inventory, mining, propensity, seasonal, serving, star, text
 from shelfwise.sources import ingest, publish
 from shelfwise.operators.ranking import materialize
 from shelfwise.session import checkpoint_dir, side_by_side
@@ -30,6 +30,7 @@ QUERY_VEC_ID = 0
 SEARCH_K = 10
 MATCH_K = 3
 KEYWORDS_K = 8
+LAYOUT_DATES = ("1995-01-01", "1995-06-30")
 # parameters of the time-series view over the driver tables' product types
 TS_MODELS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 TS_SUCCESSOR = {"ECONOMY": "SARD", "SMALL": "MIUM"}
@@ -324,6 +325,16 @@ def q_demand_forecast(spark, sf):
     return forecast.forecast_demand(bind(spark, sf).fact_internet_sales)
 
 
+def q_seasonal_forecast(spark, sf):
+    """I5 with yearly waves and a bending trend; values are tested against dense least squares, no SQL."""
+    return seasonal.seasonal_forecast(bind(spark, sf).fact_internet_sales)
+
+
+def q_seasonal_equations(spark, sf):
+    """The normal equations behind ``seasonal_forecast``, both sides per product and basis function."""
+    return seasonal.seasonal_equations(bind(spark, sf).fact_internet_sales)
+
+
 def q_weekly_demand(spark, sf):
     return _weekly(bind(spark, sf))
 
@@ -523,6 +534,13 @@ def q_clustered_write(spark, sf):
     return publish.read_published(spark, root)
 
 
+def q_interleaved_write(spark, sf):
+    """The internet-sales fact published in the interleaved order of product and date, read back by a range of the second."""
+    root = _scratch(spark, "fact_internet_sales_interleaved")
+    ingest.publish_clustered(bind(spark, sf).fact_internet_sales, ["ProductKey", "OrderDate"], root, interleaved=True)
+    return publish.read_published(spark, root).where(F.col("OrderDate").between(*LAYOUT_DATES))
+
+
 def q_replace_append_table(spark, sf):
     """A catalog table replaced twice (the second schema wins), then appended to, read back and dropped."""
     orders = bind(spark, sf).raw("orders")

@@ -470,6 +470,23 @@ STAR_SIMPLE = {
     "star_reseller_sales": "SELECT * FROM v_fact_reseller_sales",
 }
 
+def _seasonal_sql() -> str:
+    """Observed sums of units times each basis function; at the least squares the fitted ones are the same."""
+    bends = [f"greatest(d - first_day - (last_day - first_day) * {k} // 5, 0)" for k in range(1, 5)]
+    weekdays = [f"CAST(d % 7 = {k} AS INTEGER)" for k in range(1, 7)]
+    waves = [f"{f}(d * (2 * pi() * {m} / 365.25))" for f in ("sin", "cos") for m in range(1, 4)]
+    sums = ", ".join(f"sum(CAST(q AS DOUBLE) * ({f}))" for f in ("1", "d - first_day", *bends, *weekdays, *waves))
+    return f"""
+        SELECT ProductKey, CAST(feature AS INTEGER) AS feature, {sround('sums[feature + 1]', 3)} + 0.0::DOUBLE AS observed,
+               {sround('sums[feature + 1]', 3)} + 0.0::DOUBLE AS fitted
+        FROM (SELECT ProductKey, [{sums}] AS sums
+              FROM (SELECT ProductKey, OrderQuantity AS q, date_diff('day', DATE '1970-01-01', OrderDate) AS d,
+                           date_diff('day', DATE '1970-01-01', (SELECT min(OrderDate) FROM fact_internet_sales)) AS first_day,
+                           date_diff('day', DATE '1970-01-01', (SELECT max(OrderDate) FROM fact_internet_sales)) AS last_day
+                    FROM fact_internet_sales)
+              GROUP BY 1) CROSS JOIN (SELECT unnest(range(18)) AS feature)"""
+
+
 def _equations_sql() -> str:
     """Per feature of the propensity model its sum over the buyers; codes by frequency, ties alphabetically, missing values last."""
     codes = "".join(f"""
@@ -545,6 +562,7 @@ BODIES = {
           ON ds.ProductKey = v.ProductKey AND ds.ds = v.OrderDate
         GROUP BY 1""",
     "demand_forecast": "SELECT ProductKey, ds, yhat FROM forecast",
+    "seasonal_equations": _seasonal_sql(),
     "weekly_demand": "SELECT * FROM weekly",
     "margin": "SELECT * FROM margin",
     "demand_rank": "SELECT * FROM demand_rank",
@@ -635,6 +653,8 @@ BODIES = {
                          WHERE FullDateAlternateKey IN (SELECT CAST(o_orderdate AS DATE) FROM orders)""",
     "propensity_equations": _equations_sql(),
     "clustered_write": "SELECT * FROM fact_internet_sales",
+    "interleaved_write": f"""SELECT * FROM fact_internet_sales
+                             WHERE OrderDate BETWEEN DATE '{C.LAYOUT_DATES[0]}' AND DATE '{C.LAYOUT_DATES[1]}'""",
     "append_returns": """SELECT OrderNumber, LineNumber FROM returns r WHERE EXISTS (
                            SELECT 1 FROM fact_internet_sales s WHERE s.SalesOrderNumber = r.OrderNumber
                                                                 AND s.SalesOrderLineNumber = r.LineNumber)""",

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from shelfwise.functions.layout import interleaved_key
 from shelfwise.session import side_by_side
 from shelfwise.sources import files, publish
 
@@ -91,20 +92,26 @@ def jdbc_reader(spark: SparkSession, url: str, properties: dict[str, str],
     return read
 
 
-def cluster(df: DataFrame, cols: list[str], num_partitions: int | None = None) -> DataFrame:
+def cluster(df: DataFrame, cols: list[str], num_partitions: int | None = None, interleaved: bool = False) -> DataFrame:
     """Range-partition by the cluster keys and sort inside partitions (S5 layout).
 
-    Without ``num_partitions`` the session and adaptive execution size the ranges.
+    In the order of the keys, which serves filters on the first of them; ``interleaved``: in the order of all keys'
+    bits in turns, which serves filters on any of them. There a hash of the row cuts ranges inside a value that
+    many rows share. Without ``num_partitions`` the session and adaptive execution size the ranges.
     """
     parts = [num_partitions] if num_partitions else []
+    if interleaved:
+        keyed = df.withColumn("__layout", interleaved_key(df, cols))
+        order = ["__layout", *cols]
+        return keyed.repartitionByRange(*parts, *order, F.xxhash64(*df.columns)).sortWithinPartitions(*order).drop("__layout")
     return df.repartitionByRange(*parts, *cols).sortWithinPartitions(*cols)
 
 
 def write_clustered(df: DataFrame, cols: list[str], path: str, mode: str = "overwrite",
-                    num_partitions: int | None = None) -> None:
+                    num_partitions: int | None = None, interleaved: bool = False) -> None:
     """Clustered write to a plain folder. Overwriting a folder that exists writes aside first, so a failing job leaves
     the old rows; the new files carry the new schema. Tables with readers are replaced by ``publish_clustered``."""
-    out = cluster(df, cols, num_partitions)
+    out = cluster(df, cols, num_partitions, interleaved)
     if mode == "overwrite" and files.exists(df.sparkSession, path):
         publish.swap_folder(out, path)
     else:
@@ -112,9 +119,9 @@ def write_clustered(df: DataFrame, cols: list[str], path: str, mode: str = "over
 
 
 def publish_clustered(df: DataFrame, cols: list[str], root: str, num_partitions: int | None = None,
-                      keep: int = publish.KEEP) -> str:
+                      keep: int = publish.KEEP, interleaved: bool = False) -> str:
     """Clustered write of a new version of the table under ``root``, made current in one step (``publish``)."""
-    return publish.publish(cluster(df, cols, num_partitions), root, keep)
+    return publish.publish(cluster(df, cols, num_partitions, interleaved), root, keep)
 
 
 def replace_table(df: DataFrame, table: str, cluster_cols: list[str] | None = None,
