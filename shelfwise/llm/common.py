@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: inputs, scratch tables, joins of hot keys."""
+"""Helpers shared by the training-data operators: inputs, scratch tables, slices."""
 
 from __future__ import annotations
 
@@ -16,7 +16,6 @@ from shelfwise.session import checkpoint_dir
 
 HASH_BUCKETS = 1 << 40
 SLICE_ROWS = 512
-JOIN_PIECES = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,19 +79,3 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 def fold(column: str, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod`` (null id: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)
-
-
-def join_split(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame:
-    """``rows`` joined on ``key`` with ``side``, which holds each key once, keys with many rows cut into pieces.
-
-    ``weight`` (a column of ``side``, not returned) is the key's number of rows in ``rows``. A key with more than one
-    row in ``JOIN_PIECES`` is dealt out over as many pieces as it exceeds that, and its row of ``side`` is copied to
-    each; fewer than ``JOIN_PIECES`` keys can be so large, so their list is bounded whatever the data.
-    """
-    total = side.agg(F.sum(weight)).first()[0] or 1
-    cut = side.withColumn("__pieces", F.least(F.col(weight), F.ceil(F.col(weight) * F.lit(JOIN_PIECES / total))).cast("int"))
-    hot = cut.where(F.col("__pieces") > 1).select(key, "__pieces")
-    piece = F.pmod(F.xxhash64(*rows.columns, F.monotonically_increasing_id()), F.coalesce("__pieces", F.lit(1))).cast("int")
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__piece", piece).drop("__pieces")
-    copies = cut.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1))).drop("__pieces", weight)
-    return dealt.join(copies, [key, "__piece"]).drop("__piece")
