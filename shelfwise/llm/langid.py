@@ -4,6 +4,8 @@ The network reads UTF-8 bytes in both directions, labels every byte position wit
 distribution over the learned languages, and a document's distribution is pooled from its
 positions. It is trained here in numpy by backpropagation through time on a bounded
 sample of labelled rows (``TRAIN_DOCS`` by share, at least ``LANGUAGE_DOCS`` of each language or all it has) and applied to every byte of every text.
+The ``LEARNED_LANGUAGES`` languages with most labelled rows are learned (ties: the one that sorts first), so the sample is
+bounded however many distinct tags, noisy ones included, a table holds.
 
 Texts are cut into windows of ``WINDOW`` bytes (state starts anew in each), so many windows run
 side by side as matrices and a very long text needs no more memory than a short one. Bytes that
@@ -32,6 +34,7 @@ UNKNOWN = "und"
 HELD_OUT_MOD, HELD_OUT_FOLD = 4, 2
 TRAIN_DOCS = 2000
 LANGUAGE_DOCS = 100
+LEARNED_LANGUAGES = 256
 TRAIN_WINDOWS_PER_DOC = 6
 HIDDEN = 8
 WINDOW = 64
@@ -239,16 +242,19 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(fold(column, HELD_OUT_MOD) == HELD_OUT_FOLD, F.lit(False))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, hidden: int = HIDDEN, steps: int = STEPS, seed: int = SEED) -> ByteGRU:
-    """Train on about ``train_docs`` labelled rows that are not held out, and about ``LANGUAGE_DOCS`` of each rarer language; windows are drawn from the whole text of each."""
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, hidden: int = HIDDEN, steps: int = STEPS, seed: int = SEED,
+        learned_languages: int = LEARNED_LANGUAGES) -> ByteGRU:
+    """Train on about ``train_docs`` labelled rows that are not held out, and about ``LANGUAGE_DOCS`` of each rarer language;
+    windows are drawn from the whole text of each. Only the ``learned_languages`` languages with most rows are learned."""
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("string").alias("id"), "lang", F.col("text").cast("binary").alias("text"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(learned_languages)
+    counts = {r["lang"]: r["rows"] for r in most.collect()}
     if not counts:
         return ByteGRU([], hidden, seed)
     share = train_docs / sum(counts.values())
     keep = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(HASH_BUCKETS * min(1.0, max(share, LANGUAGE_DOCS / n))))])
-    picked = labelled.where(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(HASH_BUCKETS)) < F.element_at(keep, F.col("lang")))
+    picked = labelled.where(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(HASH_BUCKETS)) < F.try_element_at(keep, F.col("lang")))
     size = F.octet_length("text")
     # a window at each of some random starts: what reaches the driver is bounded per document
     starts = F.transform(F.sequence(F.lit(1), F.lit(TRAIN_WINDOWS_PER_DOC)), lambda i: F.pmod(F.xxhash64("id", i), F.greatest(size - WINDOW // 2, F.lit(1))))

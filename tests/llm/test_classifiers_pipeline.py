@@ -81,6 +81,15 @@ def test_rare_languages_are_learned(spark):
     assert langid.fit(spark.createDataFrame(rows, DOCS), train_docs=20, steps=1).languages == ["en", "xx"]
 
 
+def test_number_of_learned_languages_is_bounded(spark):
+    # two real languages under hundreds of one-row tags; the tie at the bound goes to the tag that sorts first
+    rows = ([(i, f"the of and that {i}", "en", "", 1) for i in range(60)] + [(100 + i, f"der und die {i}", "de", "", 1) for i in range(40)]
+            + [(1000 + i, f"ok ja ni {i}", f"noise{i:03}", "", 1) for i in range(400)])
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    first = min(r[2] for r in rows if r[2].startswith("noise"))
+    assert langid.fit(spark.createDataFrame(rows, DOCS), steps=1, learned_languages=3).languages == ["de", "en", first]
+
+
 def test_batching_does_not_change_predictions():
     model = langid.ByteGRU(["a", "b", "c"], seed=5)
     texts = ["abc " * k for k in range(1, 60)]
