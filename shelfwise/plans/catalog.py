@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.operators import basket, customer, forecast, inventory, mining, propensity, seasonal, serving, star, text
-from shelfwise.sources import ingest, publish
+from shelfwise.sources import footers, ingest, publish
 from shelfwise.operators.ranking import materialize
 from shelfwise.session import checkpoint_dir, side_by_side
 from shelfwise.sources.binding import ANCHOR_CATEGORY, Warehouse, bind
@@ -34,6 +34,9 @@ LAYOUT_DATES = ("1995-01-01", "1995-06-30")
 # parameters of the time-series view over the driver tables' product types
 TS_MODELS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 TS_SUCCESSOR = {"ECONOMY": "SARD", "SMALL": "MIUM"}
+# tables and the columns whose maxima their files' footers give; the ship date, a timestamp, is scanned
+FOOTER_AUDIT = [("lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_shipdate"]), ("orders", ["o_orderkey", "o_custkey"]),
+                ("customer", ["c_custkey"]), ("part", ["p_partkey"]), ("supplier", ["s_suppkey"]), ("events", ["event_id", "user_id"])]
 # (application, warehouse folder) -> where its inventory status is published
 _STATUS_ROOTS: dict[tuple[str, str], str] = {}
 
@@ -472,6 +475,10 @@ def q_freshness(spark, sf):
     ])
 
 
+def q_freshness_footers(spark, sf):
+    return footers.audit(spark, lambda session, table: read_table(session, sf, table), FOOTER_AUDIT)
+
+
 def q_reconcile(spark, sf):
     w = bind(spark, sf)
     return ingest.reconcile([("lineitem", w.raw("lineitem"), F.col("l_shipdate") < F.lit("2001-01-01"))])

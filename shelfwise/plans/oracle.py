@@ -630,6 +630,19 @@ BODIES = {
         UNION ALL SELECT 'FactInternetSales', 'ShipDate', CAST(max(ShipDate) AS VARCHAR) FROM fact_internet_sales
         UNION ALL SELECT 'FactResellerSales', 'OrderDate', CAST(max(OrderDate) AS VARCHAR) FROM fact_reseller_sales
         UNION ALL SELECT 'FactSurveyResponse', 'Date', CAST(max(Date) AS VARCHAR) FROM fact_survey_response""",
+    "freshness_footers": """
+        SELECT 'lineitem' AS "table", 'l_orderkey' AS "column", CAST(max(l_orderkey) AS VARCHAR) AS max_value,
+               count(*) AS row_count FROM lineitem
+        UNION ALL SELECT 'lineitem', 'l_partkey', CAST(max(l_partkey) AS VARCHAR), count(*) FROM lineitem
+        UNION ALL SELECT 'lineitem', 'l_linenumber', CAST(max(l_linenumber) AS VARCHAR), count(*) FROM lineitem
+        UNION ALL SELECT 'lineitem', 'l_shipdate', CAST(max(l_shipdate) AS VARCHAR), count(*) FROM lineitem
+        UNION ALL SELECT 'orders', 'o_orderkey', CAST(max(o_orderkey) AS VARCHAR), count(*) FROM orders
+        UNION ALL SELECT 'orders', 'o_custkey', CAST(max(o_custkey) AS VARCHAR), count(*) FROM orders
+        UNION ALL SELECT 'customer', 'c_custkey', CAST(max(c_custkey) AS VARCHAR), count(*) FROM customer
+        UNION ALL SELECT 'part', 'p_partkey', CAST(max(p_partkey) AS VARCHAR), count(*) FROM part
+        UNION ALL SELECT 'supplier', 's_suppkey', CAST(max(s_suppkey) AS VARCHAR), count(*) FROM supplier
+        UNION ALL SELECT 'events', 'event_id', CAST(max(event_id) AS VARCHAR), count(*) FROM events
+        UNION ALL SELECT 'events', 'user_id', CAST(max(user_id) AS VARCHAR), count(*) FROM events""",
     "reconcile": """SELECT 'lineitem' AS "table", count(*) AS pre_count,
                            count_if(coalesce(l_shipdate < TIMESTAMP '2001-01-01', false)) AS post_count
                     FROM lineitem""",
