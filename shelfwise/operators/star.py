@@ -132,11 +132,12 @@ def v_fact_internet_sales(w, need: set[str] | None = None) -> DataFrame:
 
 
 def v_fact_internet_sales_reason(w) -> DataFrame:
-    # fact-to-fact LEFT join on the composite (order, line) key is a shuffle join on both keys
+    # the fact-to-fact LEFT join on the composite (order, line) key comes first: facts bucketed on it
+    # (sources.colocate) meet as they are stored, others shuffle on both keys
     return star_join(w.fact_internet_sales_reason, [
-        DimSpec("b", w.dim_sales_reason, "SalesReasonKey", "SalesReasonKey"),
         DimSpec("c", w.fact_internet_sales, ("SalesOrderNumber", "SalesOrderLineNumber"),
                 ("SalesOrderNumber", "SalesOrderLineNumber")),
+        DimSpec("b", w.dim_sales_reason, "SalesReasonKey", "SalesReasonKey"),
         DimSpec("d", w.dim_date, "OrderDateKey", "DateKey", small=True)])
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from shelfwise.sources import footers, ingest, publish
 from shelfwise.operators.ranking import materialize
 from shelfwise.session import checkpoint_dir, side_by_side
 from shelfwise.sources.binding import ANCHOR_CATEGORY, Warehouse, bind
+from shelfwise.sources.colocate import write_bucketed
 from shelfwise.sources.raw import read_table
 from shelfwise.streaming import returns as returns_stream
 
@@ -39,6 +41,8 @@ FOOTER_AUDIT = [("lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_ship
                 ("customer", ["c_custkey"]), ("part", ["p_partkey"]), ("supplier", ["s_suppkey"]), ("events", ["event_id", "user_id"])]
 # (application, warehouse folder) -> where its inventory status is published
 _STATUS_ROOTS: dict[tuple[str, str], str] = {}
+# (application, warehouse folder, fact) -> its bucketed copy's table name
+_BUCKETED: dict[tuple[str, str, str], str] = {}
 
 
 # ------------------------------------------------------------ shared pieces
@@ -145,6 +149,26 @@ def q_star_sales_reason(spark, sf):
     return star.v_fact_internet_sales_reason(bind(spark, sf))
 
 
+def _bucketed_fact(w: Warehouse, fact: str) -> DataFrame:
+    """The sales fact bucketed on (order, line), written once per application and folder."""
+    key = (w.spark.sparkContext.applicationId, w.sf_dir, fact)
+    if key in _BUCKETED:
+        return w.spark.table(_BUCKETED[key])
+    name = f"{fact}_{uuid.uuid4().hex}"
+    out = write_bucketed(getattr(w, fact), name, f"{checkpoint_dir(w.spark).rstrip('/')}/{name}",
+                         ["SalesOrderNumber", "SalesOrderLineNumber"])
+    _BUCKETED[key] = name
+    return out
+
+
+def q_sales_reason_colocated(spark, sf):
+    w = bind(spark, sf)
+    return star.v_fact_internet_sales_reason(SimpleNamespace(
+        dim_sales_reason=w.dim_sales_reason, dim_date=w.dim_date,
+        fact_internet_sales=_bucketed_fact(w, "fact_internet_sales"),
+        fact_internet_sales_reason=_bucketed_fact(w, "fact_internet_sales_reason")))
+
+
 def q_star_call_center(spark, sf):
     return star.v_fact_call_center(bind(spark, sf))
 

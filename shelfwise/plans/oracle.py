@@ -466,6 +466,9 @@ STAR_SIMPLE = {
     "star_sales_reason": """SELECT * FROM fact_internet_sales_reason LEFT JOIN dim_sales_reason USING (SalesReasonKey)
                             LEFT JOIN fact_internet_sales USING (SalesOrderNumber, SalesOrderLineNumber)
                             LEFT JOIN order_day USING (OrderDateKey)""",
+    "sales_reason_colocated": """SELECT * FROM fact_internet_sales_reason LEFT JOIN dim_sales_reason USING (SalesReasonKey)
+                            LEFT JOIN fact_internet_sales USING (SalesOrderNumber, SalesOrderLineNumber)
+                            LEFT JOIN order_day USING (OrderDateKey)""",
     "star_internet_sales": "SELECT * FROM v_fact_internet_sales",
     "star_reseller_sales": "SELECT * FROM v_fact_reseller_sales",
 }
