@@ -528,10 +528,8 @@ def q_shift_employees(spark, sf):
 
 
 def q_shift_calendar(spark, sf):
-    """S7 with year columns: dates move by months, years by whole years; the calendar's days on which orders were placed."""
-    w = bind(spark, sf)
-    days = w.raw("orders").select(F.to_date("o_orderdate").alias("FullDateAlternateKey")).distinct()
-    return ingest.shift_table(w.dim_date.join(days, "FullDateAlternateKey", "left_semi"), "DimDate")
+    """S7 with year columns: dates move by months, years by whole years; every day of the calendar."""
+    return ingest.shift_table(bind(spark, sf).dim_date, "DimDate")
 
 
 # ------------------------------------------------- sinks (write, read back)

@@ -160,3 +160,12 @@ def test_replace_and_append_catalog_table(spark):
     ingest.append_table(spark.createDataFrame([(5.0, 2.0, 9)], "W2 double, W1 double, ProductKey long"), t)
     assert {r["ProductKey"]: r["W2"] for r in rows(spark.table(t))} == {3: 4.0, 9: 5.0}
     spark.sql("DROP DATABASE shelfwise_test CASCADE")
+
+
+def test_shift_calendar_moves_every_day(spark):
+    from shelfwise.plans import catalog
+    from shelfwise.sources.binding import CALENDAR_END, CALENDAR_START
+    got = catalog.q_shift_calendar(spark, SF_SMOKE).select("DateKey", "FullDateAlternateKey", "CalendarYear").collect()
+    assert len(got) == (CALENDAR_END - CALENDAR_START).days + 1
+    last = max(got, key=lambda r: r.DateKey)
+    assert (last.FullDateAlternateKey, last.CalendarYear) == (dt.date(2041, 12, 31), 2041)
