@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import badge
-from shelfwise.operators.ranking import with_percent_ranks
+from shelfwise.operators.ranking import global_rank_table, with_percent_ranks, written
 
 CUSTOMER_ATTRS = ["FirstName", "LastName", "Gender", "HouseOwnerFlag", "NumberCarsOwned",
                   "CommuteDistance", "YearlyIncome"]
@@ -123,19 +123,31 @@ def customer_metrics(summary: DataFrame, customers: DataFrame) -> DataFrame:
 def customer_upsells(sales_view: DataFrame, upsells: DataFrame) -> DataFrame:
     """(customerkey, upsell_list) — distinct first upsell of every anchor product bought.
 
-    Joined on product *name* (names map to many keys, hence the DISTINCT). Both
-    sides are reduced to their distinct (customer, name) / (name, upsell) pairs
-    before the join, so repeated lines and repeated names never fan out. The list
-    is sorted for determinism and bounded by the number of distinct upsell names.
+    Joined on product *name*, and names map to many keys, so a name may have any number of upsells. Upsells are numbered
+    in their order, and 64 of them are one row: a word number and its bits. A line meets a name's words, not its upsells,
+    and a customer's words are united by ``bit_or``, which combines before the shuffle and takes repeated lines as one.
+    The list is sorted for determinism and bounded by the number of distinct upsell names.
     """
     u = upsells.select(F.col("bike_name").alias("EnglishProductName"), F.col("upsell_1").alias("upsell")) \
                .distinct()
-    s = sales_view.select(F.col("CustomerKey").alias("customerkey"), "EnglishProductName").distinct()
-    # few names, many customers: a name's customers are dealt over ``NAME_SALT`` tasks and its upsells copied to each
-    s = s.withColumn("salt", F.pmod(F.xxhash64("customerkey"), F.lit(NAME_SALT)).cast("int"))
-    u = u.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(NAME_SALT - 1))))
-    j = s.join(u, ["EnglishProductName", "salt"], "inner").select("customerkey", "upsell").distinct()
-    return j.groupBy("customerkey").agg(F.array_sort(F.collect_list("upsell")).alias("upsell_list"))
+    u = written(u, "upsells")
+    numbers = global_rank_table(u.where(F.col("upsell").isNotNull()).select("upsell").distinct(), [("upsell", False)])
+    numbers = written(numbers.select("upsell", F.expr("cast((rank - 1) div 64 as int)").alias("word"),
+                                     F.expr("cast((rank - 1) % 64 as int)").alias("bit")), "upsell_numbers")
+    # a missing upsell has no bit, but its customers still get a list
+    bits = F.expr("coalesce(shiftleft(1L, bit), 0L)")
+    masks = u.join(numbers, "upsell", "left").groupBy("EnglishProductName", F.coalesce("word", F.lit(0)).alias("word")).agg(F.bit_or(bits).alias("bits"))
+    words = numbers.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("bit", "upsell"))).alias("names"))
+    masks, words = written(masks, "upsell_masks"), written(words, "upsell_words")
+    # few names, many customers: a name's customers are dealt over ``NAME_SALT`` tasks and its words copied to each
+    salt = F.pmod(F.xxhash64("customerkey"), F.lit(NAME_SALT)).cast("int").alias("salt")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(NAME_SALT - 1))).alias("salt")
+    s = sales_view.select(F.col("CustomerKey").alias("customerkey"), "EnglishProductName").select("*", salt)
+    j = s.join(masks.select("*", copies), ["EnglishProductName", "salt"]).groupBy("customerkey", "word").agg(F.bit_or("bits").alias("bits"))
+    named = j.select("*", salt).join(words.select("*", copies), ["word", "salt"], "left")
+    own = F.transform(F.filter("names", lambda n: F.getbit("bits", n["bit"]) == 1), lambda n: n["upsell"])
+    lists = named.select("customerkey", F.coalesce(own, F.array().cast("array<string>")).alias("own"))
+    return lists.groupBy("customerkey").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("upsell_list"))
 
 
 def customer_360(metrics: DataFrame, ranks: DataFrame, upsell_lists: DataFrame) -> DataFrame:

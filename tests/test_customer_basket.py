@@ -165,3 +165,16 @@ def test_one_name_with_a_third_of_the_rows_keeps_all_upsells(spark):
     ups = spark.createDataFrame([("Hot", "u1"), ("Hot", "u2"), ("N3", "u3")], "bike_name string, upsell_1 string")
     got = {r["customerkey"]: r["upsell_list"] for r in rows(customer.customer_upsells(sales, ups))}
     assert got == {i: ["u1", "u2"] for i in range(300) if i % 3} | {3: ["u3"]}
+
+
+def test_upsells_of_many_names_meet_lines_as_words(spark):
+    """A name with 150 upsells is three rows of bits; missing upsells and names, repeated lines."""
+    names = [f"u{i:03d}" for i in range(150)]
+    upsells = spark.createDataFrame([("ring", u, None, None) for u in names for _ in range(2)] + [("bolt", None, None, None), ("nut", "u000", None, None), ("nut", None, None, None), (None, "x", None, None)],
+                                    "bike_name string, upsell_1 string, upsell_2 string, upsell_3 string")
+    lines = spark.createDataFrame([(1, "ring"), (1, "ring"), (1, "nut"), (2, "bolt"), (3, "nut"), (None, "nut"), (4, "none"), (5, None), (6, "bolt"), (6, "nut")],
+                                  "CustomerKey long, EnglishProductName string")
+    out = customer.customer_upsells(lines, upsells)
+    got = {r.customerkey: r.upsell_list for r in out.collect()}
+    assert got == {1: names, 2: [], 3: ["u000"], None: ["u000"], 6: ["u000"]}
+    assert "upsell#" not in "".join(line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(customerkey" in line and "upsell" in line)
