@@ -3,9 +3,10 @@
 Paragraphs are the lines of a text. Features are the word 1- and 2-grams that occur in licence
 templates, by presence (a sparse vector over a bounded vocabulary). A multinomial
 logistic regression tells the licence families and ``unknown`` apart. It learns from the
-templates, whole, in halves and amid prose, from look-alike sentences, and from a bounded sample of
-the corpus's own paragraphs as unknown. The threshold of a detection is calibrated on a second,
-disjoint sample: at most ``FALSE_RATE`` of unknown paragraphs may reach it. A detected
+templates, whole and amid prose, from look-alike sentences, and from half of all
+the corpus's own paragraphs as unknown. The threshold of a detection is calibrated on the other
+half: at most ``FALSE_RATE`` of unknown paragraphs may reach it. Nothing is sampled: paragraphs are counted by the set of template n-grams
+they hold, which is all that the classifier sees. A detected
 paragraph is confirmed when it holds at least ``CONTAINMENT`` of the 2-grams of one of its family's templates.
 
 A notice may also be wrapped over several lines. Its place is found by *windows of words*, whatever the line breaks: a
@@ -37,15 +38,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import materialize
+
 UNKNOWN = "unknown"
-TRAIN_DOCS = 600
-TRAIN_PARAGRAPHS = 2000
-CONTEXTS = 12
+# sums of the weights of all learned paragraphs, as unknown and around templates
+UNKNOWN_WEIGHT, MIXED_WEIGHT = 1000, 768
+# steps of the threshold between 0 and 1
+STEPS = 1 << 16
 FALSE_RATE = 0.001
 LEAST_PROBABILITY = 0.5
 CONTAINMENT = 0.8
 STRETCH = 1.25
-TRAIN_CHARS = 4000
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
 #: Wording of common licence notices, by family.
@@ -158,16 +161,20 @@ def _vectorise(rows: DataFrame, column: str, vectoriser: CountVectorizerModel) -
     return vectoriser.transform(rows.withColumn("__grams", grams))
 
 
-def _classify(rows, column, vectoriser, classifier, families) -> DataFrame:
+def _scored(rows, kept, classifier, families) -> DataFrame:
     # a generator stands between the model and what reads its result, so the model runs once per row
-    scored = classifier.transform(_vectorise(rows, column, vectoriser)).select(*rows.columns, F.explode(F.array(vector_to_array("__probability"))).alias("__p"))
+    scored = classifier.transform(rows).select(*kept, F.explode(F.array(vector_to_array("__probability"))).alias("__p"))
     known = F.slice("__p", 2, len(families) - 1)
     best = F.array_max(known)
     names = F.array(*[F.lit(f) for f in families[1:]])
-    return scored.select(*rows.columns, F.element_at(names, F.array_position(known, best).cast("int")).alias("family"),
+    return scored.select(*kept, F.element_at(names, F.array_position(known, best).cast("int")).alias("family"),
                          best.alias("probability"), F.col("__p")[0].alias("p_unknown"))
 
 
+def _classify(rows, column, vectoriser, classifier, families) -> DataFrame:
+    return _scored(_vectorise(rows, column, vectoriser), rows.columns, classifier, families)
+
+
 def compare(rows: DataFrame, family: str | None = "family") -> DataFrame:
     """Adds ``template`` and ``similarity``: of the row's family's templates (all, without a family) the best contained one."""
     held = rows.withColumn("__bigrams", bigrams(words(F.col("paragraph")))).withColumn("__row", F.monotonically_increasing_id())
@@ -178,36 +185,64 @@ def compare(rows: DataFrame, family: str | None = "family") -> DataFrame:
     return pairs.groupBy("__row", *rows.columns).agg(best).select(*rows.columns, F.col("__best.template").alias("template"), F.col("__best.similarity").alias("similarity"))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_paragraphs: int = TRAIN_PARAGRAPHS, false_rate: float = FALSE_RATE) -> LicenseModel:
-    """Train on templates and on about ``train_paragraphs`` paragraphs (of ``TRAIN_CHARS`` characters at most) of about ``train_docs``
-    documents, half of them kept for calibration."""
+def gram_sets(docs: DataFrame) -> DataFrame:
+    """(__grams, learn, number, n): the sets of template n-grams that the distinct paragraphs of a table hold, and how many hold each.
+
+    ``learn`` parts the paragraphs by hash into those to learn from and those to calibrate on; ``number`` deals them to the templates.
+    """
+    known = vocabulary(docs.sparkSession)
+    grams = F.get(F.transform(F.array(words(F.col("paragraph"))), lambda t: F.concat(t, bigrams(t))), F.lit(0))
+    held = F.array_sort(F.array_distinct(F.filter(grams, lambda g: g.isin(known))))
+    # a generator stands between, so that the words are made once
+    lines = paragraphs(docs).select(F.xxhash64("paragraph").alias("h"), F.explode(F.array(held)).alias("__grams")).groupBy("h", "__grams").agg(F.count(F.lit(1)))
+    return lines.groupBy("__grams", (F.col("h") % 2 == 0).alias("learn"), F.pmod("h", F.lit(sum(map(len, TEMPLATES.values())))).cast("int").alias("number")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def threshold_of(scored: DataFrame, false_rate: float) -> float:
+    """The smallest multiple of 1 / ``STEPS`` that at most ``false_rate`` of all rows reach; ``scored``: (probability, n rows)."""
+    total = scored.agg(F.sum("n")).first()[0] or 0
+    step = F.floor(F.col("probability") * STEPS).cast("int").alias("step")
+    allowed, least = total * false_rate, int(LEAST_PROBABILITY * STEPS)
+    # one row a step: their number is bounded whatever the table
+    for r in scored.groupBy(step).agg(F.sum("n").alias("n")).where(F.col("step") >= least).orderBy(F.desc("step")).collect():
+        allowed -= r.n
+        if allowed < 0:
+            return (r.step + 1) / STEPS
+    return LEAST_PROBABILITY
+
+
+def fit(docs: DataFrame, false_rate: float = FALSE_RATE) -> LicenseModel:
+    """Train on the templates and on half of all distinct paragraphs of ``docs``, calibrate on the other half.
+
+    The classifier sees which template n-grams a paragraph holds, so paragraphs are counted by that set and no text is left out or cut.
+    Sets that hold a template are no examples of the unknown class. The counts of each class are scaled to a fixed sum,
+    so that a large corpus does not drown the templates.
+    """
     spark = docs.sparkSession
-    total = max(1, docs.count())
-    share = min(1 << 30, int((1 << 30) * train_docs / total))
-    sampled = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share)
-    lines = paragraphs(sampled).select("paragraph", F.xxhash64("paragraph").alias("h")).distinct()
-    lines = lines.where(F.length("paragraph") <= TRAIN_CHARS).orderBy("h").limit(train_paragraphs)
-    seen = spark.createDataFrame([(r[0], r[1]) for r in lines.collect()], "paragraph string, h bigint")
-    # paragraphs that hold a template are no examples of the unknown class
-    unlicensed = compare(seen, None).where(F.col("similarity") < CONTAINMENT).select("paragraph", F.col("h"))
     families = [UNKNOWN, *sorted(TEMPLATES)]
     label = lambda f: F.lit(float(families.index(f)))
-    whole = templates(spark).select(F.col("template").alias("paragraph"), F.element_at(F.create_map(
-        *[c for f in families for c in (F.lit(f), label(f))]), F.col("family")).alias("label"))
-    # notices amid prose: some sampled paragraphs, shortened, before and after
-    contexts = seen.orderBy("h").limit(CONTEXTS).select(F.substring("paragraph", 1, 200).alias("context"))
-    mixed = whole.join(F.broadcast(contexts))
-    licensed = whole.unionByName(mixed.select(F.concat_ws(" ", "context", "paragraph").alias("paragraph"), "label")).unionByName(
-        mixed.select(F.concat_ws(" ", "paragraph", "context").alias("paragraph"), "label"))
-    decoys = spark.createDataFrame([(t,) for t in LOOK_ALIKES], "paragraph string").withColumn("label", label(UNKNOWN))
-    train = licensed.unionByName(decoys).unionByName(unlicensed.where(F.col("h") % 2 == 0).select("paragraph", label(UNKNOWN).alias("label")))
+    kind = F.element_at(F.create_map(*[c for f in families for c in (F.lit(f), label(f))]), F.col("family"))
+    tokens = words(F.col("template"))
+    whole = spark.createDataFrame([(f, t, k) for k, (f, t) in enumerate((f, t) for f, ts in TEMPLATES.items() for t in ts)], "family string, template string, number int")
+    whole = whole.select("number", kind.alias("label"), F.array_distinct(F.concat(tokens, bigrams(tokens))).alias("own"))
+    sets = materialize(gram_sets(docs), "license-grams")
+    contained = [F.size(F.array_intersect("__grams", F.array(*[F.lit(p) for p in w.pairs]))) / len(w.pairs) for w in wordings()]
+    unlicensed = sets.where(F.greatest(*contained) < CONTAINMENT)
+    learn = unlicensed.where("learn")
+    total = learn.agg(F.sum("n")).first()[0] or 0
+    # notices amid prose: every learned paragraph around one of the templates
+    weight = lambda most: F.col("n") * F.lit(min(1.0, most / max(total, 1)))
+    mixed = learn.join(F.broadcast(whole), "number").select(F.array_union("own", "__grams").alias("__grams"), "label", weight(MIXED_WEIGHT).alias("weight"))
+    plain = whole.select(F.col("own").alias("__grams"), "label", F.lit(1.0).alias("weight"))
+    decoy = spark.createDataFrame([(t,) for t in LOOK_ALIKES], "paragraph string").select(words(F.col("paragraph")).alias("t"))
+    decoys = decoy.select(F.concat("t", bigrams(F.col("t"))).alias("__grams"), label(UNKNOWN).alias("label"), F.lit(1.0).alias("weight"))
+    train = plain.unionByName(mixed).unionByName(decoys).unionByName(learn.select("__grams", label(UNKNOWN).alias("label"), weight(UNKNOWN_WEIGHT).alias("weight")))
     vectoriser = CountVectorizerModel.from_vocabulary(vocabulary(spark), inputCol="__grams", outputCol="__features", binary=True)
-    learner = LogisticRegression(featuresCol="__features", labelCol="label", family="multinomial", regParam=1e-3, maxIter=30,
+    learner = LogisticRegression(featuresCol="__features", labelCol="label", weightCol="weight", family="multinomial", regParam=1e-3, maxIter=30,
                                  probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__class")
-    classifier = learner.fit(_vectorise(train, "paragraph", vectoriser).select("__features", "label").coalesce(1))
-    calibration = _classify(unlicensed.where(F.col("h") % 2 != 0).select("paragraph"), "paragraph", vectoriser, classifier, families)
-    reached = calibration.agg(F.percentile("probability", F.lit(1 - false_rate))).first()[0]
-    return LicenseModel(vectoriser, classifier, families, max(LEAST_PROBABILITY, reached or 0.0))
+    classifier = learner.fit(vectoriser.transform(train).select("__features", "label", "weight"))
+    scored = _scored(vectoriser.transform(unlicensed.where(~F.col("learn")).select("__grams", "n")), ["n"], classifier, families)
+    return LicenseModel(vectoriser, classifier, families, threshold_of(scored, false_rate))
 
 
 class Wording:

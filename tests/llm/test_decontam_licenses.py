@@ -246,3 +246,25 @@ def test_rolling_hash_is_position_free():
     ids = np.array([1, 2, 3, 4, 1, 2, 3, 4, 9])
     h = decontam.rolling(ids, 3)
     assert h[0] == h[4] and h[1] == h[5] and len(set(h.tolist())) == 5
+
+
+def test_license_model_learns_from_every_paragraph(spark):
+    """All distinct paragraphs of any length count, in either half, and the threshold is that of all of them."""
+    known = set(licenses.vocabulary(spark))
+    texts = [f"license number{i} of the work" for i in range(2500)] + ["filler " * 1000 + "permission is hereby granted", "no such gram"]
+    docs = spark.createDataFrame([(i, f"{t}\n\n{texts[0]}", 1, "") for i, t in enumerate(texts)] + [(9000, None, 1, "")], DOCS)
+    got = {}
+    for r in licenses.gram_sets(docs).collect():
+        got[tuple(r["__grams"])] = got.get(tuple(r["__grams"]), 0) + r.n
+    want = {}
+    for t in texts:
+        tokens = re.findall(licenses.WORD, t)
+        held = tuple(sorted(known & {*tokens, *(f"{a} {b}" for a, b in zip(tokens, tokens[1:]))}))
+        want[held] = want.get(held, 0) + 1
+    assert got == want and max(want.values()) == 2500
+    scored = spark.createDataFrame([(0.99, 2), (0.8, 3), (0.6, 7), (0.1, 988)], "probability double, n long")
+    assert licenses.threshold_of(scored, 0.0) > 0.99
+    for rate, reach in ((0.002, 2), (0.0049, 2), (0.005, 5), (0.5, 12)):
+        t = licenses.threshold_of(scored, rate)
+        assert sum(n for p, n in ((0.99, 2), (0.8, 3), (0.6, 7), (0.1, 988)) if p >= t) == reach, rate
+    assert licenses.threshold_of(scored.where("false"), 0.001) == licenses.LEAST_PROBABILITY
