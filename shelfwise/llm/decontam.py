@@ -58,7 +58,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode().translate(SEPARATORS).split() if text else []
 
 
-def rolling(ids: np.ndarray, width: int, base: int) -> np.ndarray:
+#: the base of the runs' hashes; odd, so that it has an inverse modulo 2**64
+HASH_BASE = 0xD6E8FEB86659FD93
+
+
+def rolling(ids: np.ndarray, width: int, base: int = HASH_BASE) -> np.ndarray:
     """Karp-Rabin hashes (modulo 2**64) of all runs of ``width`` ids, each from its neighbour by differences of one running sum."""
     if len(ids) < width:
         return np.zeros(0, np.uint64)
@@ -152,7 +156,7 @@ class SeedTable:
         owner = np.repeat(np.arange(len(sizes)), seeds)
         place = spread(np.zeros(len(sizes), np.int64), seeds)
         run = np.arange(min_match)
-        self.multiplier = 0xD6E8FEB86659FD93
+        self.multiplier = HASH_BASE
         while True:
             h = rolling(self.flat, min_match, self.multiplier)[self.base[owner] + place]
             self.hashes, some, cls = np.unique(h, return_index=True, return_inverse=True)
