@@ -48,6 +48,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+# rows of a fact that one shuffle task gets, and the compressed size up to which adaptive execution merges small tasks
+ROWS_PER_TASK = 500_000
+MERGE_UP_TO = "8m"
+SHUFFLE_PARTITIONS, MERGE_SIZE = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+def size_shuffles(spark: SparkSession, rows: int) -> None:
+    """Raise the session's number of shuffle partitions so that a fact of ``rows`` rows gives a task ``ROWS_PER_TASK``.
+
+    A fixed number makes a task's memory and reads grow with the tables. It is never lowered, and a merge size that the
+    cluster chose stays; Spark's own default merges by compressed bytes, which hold very many narrow rows.
+    """
+    wanted = -(-rows // ROWS_PER_TASK)
+    if wanted > int(spark.conf.get(SHUFFLE_PARTITIONS)):
+        spark.conf.set(SHUFFLE_PARTITIONS, str(wanted))
+    if wanted > 1 and spark.conf.get(MERGE_SIZE).lower() in ("64mb", "64m", "67108864", "67108864b"):
+        spark.conf.set(MERGE_SIZE, MERGE_UP_TO)
+
+
 def is_local(master: str) -> bool:
     """Whether driver and executors are one process (``local-cluster`` is not)."""
     return master == "local" or master.startswith("local[")

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import date_key, fiscal_year, money
+from shelfwise.session import size_shuffles
 from shelfwise.sources.raw import read_table
 
 # Fixed values of the binding.
@@ -46,6 +47,12 @@ EDUCATION = ["Bachelors", "Partial College", "High School", "Graduate Degree", "
 COMMUTE = ["0-1 Miles", "0-1 Miles", "1-2 Miles", "1-2 Miles", "2-5 Miles", "5-10 Miles", "10+ Miles"]
 
 
+# (application, folder, table) -> rows, counted from the files' footers once
+_ROWS: dict[tuple[str, str, str], int] = {}
+# a table of no more rows is small enough to be broadcast with its derived columns
+FEW_ROWS = 100_000
+
+
 def subcategory_key(brand: str, ptype: str):
     """Subcategory key from (brand, type): brand number * 1e6 + character codes of the
     type's first two letters — a row-local rule (no global numbering pass)."""
@@ -70,7 +77,19 @@ class Warehouse:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        df = read_table(self.spark, self.sf_dir, name)
+        if name == "lineitem":  # the largest table: shuffles of its rows follow their number
+            size_shuffles(self.spark, self._rows(name))
+        return df
+
+    def _rows(self, name: str) -> int:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _ROWS:
+            _ROWS[key] = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet").count()
+        return _ROWS[key]
+
+    def few(self, name: str) -> bool:
+        return self._rows(name) <= FEW_ROWS
 
     # ---------------------------------------------------------------- facts
     def _sales_lines(self) -> DataFrame:

@@ -16,7 +16,8 @@ BUCKETS_SETTING = "spark.sql.shuffle.partitions"
 
 
 def default_buckets(spark: SparkSession) -> int:
-    """As many buckets as the session has shuffle partitions, so a bucket is what a shuffle task would get."""
+    """As many buckets as the session has shuffle partitions, so a bucket is what a shuffle task would get; the binding raises
+    that number with the order lines (``session.size_shuffles``), and with it the buckets."""
     return int(spark.conf.get(BUCKETS_SETTING))
 
 
