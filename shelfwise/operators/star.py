@@ -2,8 +2,8 @@
 
 One generic ``star_join`` expresses every view as configuration:
 ``SELECT a.*, dim.* EXCEPT(key, ...) [, dim.col AS alias] FROM fact a LEFT JOIN dim ON key``.
-Only a dimension whose size is bounded by construction — the calendar, one row
-per day of a fixed range — is broadcast explicitly. Every other dimension is left
+Only a dimension whose size is bounded by construction or by a count — the calendar, one row
+per day of a fixed range, and a product chain of few parts — is broadcast explicitly. Every other dimension is left
 to the planner: it broadcasts when the (runtime, under AQE) size is below
 ``spark.sql.autoBroadcastJoinThreshold`` and uses a sort-merge join beyond it.
 """
@@ -27,6 +27,7 @@ class DimSpec:
     rename: dict[str, str] = field(default_factory=dict)  # dim col -> output alias, appended
     carry: tuple[str, ...] = ()    # dim columns kept hidden for later snowflake joins
     small: bool = False            # size bounded by construction (calendar): broadcast explicitly
+    late: bool = False             # few rows, so that its join shuffles nothing: joined after those that may
     how: str = "left"
 
     def out_columns(self) -> list[tuple[str, str]]:
@@ -53,6 +54,11 @@ def star_join(fact: DataFrame, dims: list[DimSpec], need: set[str] | None = None
     ``need``: if given, dimensions contributing none of these columns (and carrying
     no key a later needed dimension joins on) are skipped. Valid because dimension
     keys are unique, so an unused LEFT join never changes the fact row count.
+
+    Rows and columns are those of joining in the given order. Yet in a whole view a dimension keyed on another one's column
+    (snowflake) joins that one before the facts do, so wide fact rows never move for it; the few columns of a view with
+    ``need`` move cheaply, and there the planner knows each dimension's size. Of the others, the narrowest join first and the
+    ``late`` and ``small`` ones last, so that rows are as narrow as they can be whenever a join shuffles them.
     """
     active = list(dims)
     if need is not None:
@@ -67,8 +73,12 @@ def star_join(fact: DataFrame, dims: list[DimSpec], need: set[str] | None = None
                 required_keys.update(k.lower() for k in _keys(spec.left_on))
         active = list(reversed(keep))
 
-    out = fact
     seen = {c.lower() for c in fact.columns}
+    order = [c for c in fact.columns if not c.startswith("__")]
+    outer: list[DimSpec] = []
+    sides: dict[str, DataFrame] = {}  # name of an outer dimension -> its frame, snowflake dimensions joined
+    keys: dict[str, list[str]] = {}
+    home = {c.lower(): "" for c in fact.columns}  # column -> the outer dimension it comes from
     for spec in active:
         lkeys, rkeys = _keys(spec.left_on), _keys(spec.right_on)
         tmp = [f"__k_{spec.name}_{i}" for i in range(len(rkeys))]
@@ -78,16 +88,34 @@ def star_join(fact: DataFrame, dims: list[DimSpec], need: set[str] | None = None
                 raise ValueError(f"column {alias!r} from dimension {spec.name!r} collides; "
                                  "exclude or rename it")
             seen.add(alias.lower())
+            order.append(alias)
         side = spec.df.select(
             *[F.col(k).alias(t) for k, t in zip(rkeys, tmp)],
             *[F.col(src).alias(alias) for src, alias in cols],
             *[F.col(c).alias(carried(spec.name, c)) for c in spec.carry])
-        if spec.small:
-            side = F.broadcast(side)
-        cond = [out[lk] == side[t] for lk, t in zip(lkeys, tmp)]
+        owners = {home[k.lower()] for k in lkeys}
+        owner = owners.pop() if len(owners) == 1 else ""
+        if owner and need is None and spec.how == "left" and not (spec.small or spec.late):
+            cond = [sides[owner][lk] == side[t] for lk, t in zip(lkeys, tmp)]
+            sides[owner] = sides[owner].join(side, cond, spec.how).drop(*tmp)
+        else:
+            owner = spec.name
+            outer.append(spec)
+            sides[owner], keys[owner] = side, tmp
+        home.update({c.lower(): owner for c in [a for _, a in cols] + [carried(spec.name, c) for c in spec.carry]})
+
+    def rank(spec: DimSpec) -> tuple:
+        return (spec.small, spec.late, len(sides[spec.name].columns))
+
+    # only joins that keep every fact row, on keys of the fact, may change places
+    free = all(s.how == "left" and all(home[k.lower()] == "" for k in _keys(s.left_on)) for s in outer)
+    out = fact
+    for spec in sorted(outer, key=rank) if free else outer:
+        side, tmp = sides[spec.name], keys[spec.name]
+        side = F.broadcast(side) if spec.small else side
+        cond = [out[lk] == side[t] for lk, t in zip(_keys(spec.left_on), tmp)]
         out = out.join(side, cond, spec.how).drop(*tmp)
-    hidden = [c for c in out.columns if c.startswith("__")]
-    return out.drop(*hidden) if hidden else out
+    return out.select(*order)
 
 
 # ------------------------------------------------------------------ views
@@ -112,9 +140,13 @@ def v_fact_finance(w) -> DataFrame:
 
 
 def _product_chain(w, left_on: str = "ProductKey") -> list[DimSpec]:
-    """product (all but key) -> subcategory name -> category name (snowflake)."""
+    """product (all but key) -> subcategory name -> category name (snowflake).
+
+    The planner can't tell the size of the joined chain, so it is broadcast when the table of parts is known to have few rows.
+    """
+    few = getattr(w, "few", lambda table: False)("part")
     return [
-        DimSpec("d", w.dim_product, left_on, "ProductKey"),
+        DimSpec("d", w.dim_product, left_on, "ProductKey", small=few),
         DimSpec("e", w.dim_product_subcategory, "ProductSubcategoryKey", "ProductSubcategoryKey",
                 pick=["EnglishProductSubcategoryName"], carry=("ProductCategoryKey",)),
         DimSpec("f", w.dim_product_category, carried("e", "ProductCategoryKey"), "ProductCategoryKey",
@@ -124,7 +156,7 @@ def _product_chain(w, left_on: str = "ProductKey") -> list[DimSpec]:
 
 def v_fact_internet_sales(w, need: set[str] | None = None) -> DataFrame:
     return star_join(w.fact_internet_sales, [
-        DimSpec("b", w.dim_currency, "CurrencyKey", "CurrencyKey", pick=["CurrencyName"]),
+        DimSpec("b", w.dim_currency, "CurrencyKey", "CurrencyKey", pick=["CurrencyName"], late=True),
         DimSpec("c", w.dim_customer, "CustomerKey", "CustomerKey"),
         *_product_chain(w),
         DimSpec("g", w.dim_date, "OrderDateKey", "DateKey", small=True),
@@ -144,9 +176,9 @@ def v_fact_internet_sales_reason(w) -> DataFrame:
 def v_fact_reseller_sales(w, need: set[str] | None = None) -> DataFrame:
     emp_renamed = ("StartDate", "EndDate", "Phone", "SalesTerritoryKey", "Status")
     return star_join(w.fact_reseller_sales, [
-        DimSpec("b", w.dim_currency, "CurrencyKey", "CurrencyKey", pick=["CurrencyName"]),
+        DimSpec("b", w.dim_currency, "CurrencyKey", "CurrencyKey", pick=["CurrencyName"], late=True),
         DimSpec("c", w.dim_employee, "EmployeeKey", "EmployeeKey", except_=emp_renamed,
-                rename={c: "Emp" + c for c in emp_renamed}),
+                rename={c: "Emp" + c for c in emp_renamed}, late=True),
         *_product_chain(w),
         DimSpec("g", w.dim_date, "OrderDateKey", "DateKey", small=True),
         DimSpec("h", w.dim_reseller, "ResellerKey", "ResellerKey", except_=("ProductLine",),

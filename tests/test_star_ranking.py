@@ -145,3 +145,52 @@ def test_ranks_use_one_range_exchange(spark):
     stacked, _, sort = ranking._stacked(ranking.with_row(spark.range(10).withColumn("v", F.lit(1))), [[("id", True)], [("v", True)], [("v", False)]])
     plan = stacked.repartitionByRange(4, *sort)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("rangepartitioning") == 1 and plan.count("Scan parquet") == 1
+
+
+def test_star_joins_move_narrow_facts_and_snowflakes_not_at_all(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact = spark.createDataFrame([(1, 10, 100), (2, 99, 200), (3, None, None), (1, 10, 100)], "id int, wk int, pk int")
+        wide = spark.createDataFrame([(10, "a", "b", "c"), (10, "d", "e", "f")], "wk int, w1 string, w2 string, w3 string")
+        prod = spark.createDataFrame([(100, 7), (200, None)], "pk int, sk int")
+        sub = spark.createDataFrame([(7, "s7")], "sk int, sname string")
+        out = star_join(fact, [DimSpec("w", wide, "wk", "wk"), DimSpec("p", prod, "pk", "pk"), DimSpec("s", sub, "sk", "sk")])
+        assert out.columns == ["id", "wk", "pk", "w1", "w2", "w3", "sk", "sname"]
+        want = [(1, 10, 100, *w, 7, "s7") for w in [("a", "b", "c"), ("d", "e", "f")] * 2] + [(2, 99, 200, None, None, None, None, None), (3, *[None] * 7)]
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        # outermost first: the wide dimension joins last, the snowflake joins the product, not the facts
+        assert [line.split("SortMergeJoin")[1].split("#")[0] for line in plan.split("\n") if "SortMergeJoin" in line] == [" [wk", " [pk", " [sk"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shuffles_follow_the_rows(spark):
+    from shelfwise import session
+    before = {k: spark.conf.get(k) for k in (session.SHUFFLE_PARTITIONS, session.MERGE_SIZE)}
+    try:
+        session.size_shuffles(spark, 1000)
+        assert {k: spark.conf.get(k) for k in before} == before
+        session.size_shuffles(spark, 100 * session.ROWS_PER_TASK + 1)
+        assert spark.conf.get(session.SHUFFLE_PARTITIONS) == "101" and spark.conf.get(session.MERGE_SIZE) == session.MERGE_UP_TO
+        session.size_shuffles(spark, 1000)
+        assert spark.conf.get(session.SHUFFLE_PARTITIONS) == "101"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_buckets_follow_the_order_lines(spark, monkeypatch):
+    from shelfwise import session
+    from shelfwise.sources import binding
+    from shelfwise.sources.colocate import default_buckets
+    before = {k: spark.conf.get(k) for k in (session.SHUFFLE_PARTITIONS, session.MERGE_SIZE)}
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(binding, "_ROWS", {})
+    try:
+        lines = binding.bind(spark, "/root/testdata/sf0.001").raw("lineitem").count()
+        assert default_buckets(spark) == -(-lines // 100) > 8
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
