@@ -8,8 +8,8 @@ yhat = half-even round(max(a + b t + effect, 0)). With one day of history b = 0.
 
 Over a zero-filled series every sum the fit needs is either closed-form in n
 (number of days) or a sum over the *sparse* sale rows, so the forecast never
-materialises the product x day grid: it is one partial (map-side) aggregate per
-product over the fact table, plus a one-row broadcast holding the last day.
+materialises the product x day grid: the fact rows are summed once per product
+(``product_sums``), plus a one-row broadcast holding the last day.
 The dense grid itself (``daily_demand``) is still provided, generated from the
 sparse rows by gap filling inside each product, never by shuffling grid rows.
 """
@@ -70,19 +70,32 @@ def grid_stats(dense: DataFrame) -> DataFrame:
         F.count_if(F.col("y") == 0).alias("zero_days"), F.sum("y").alias("total"))
 
 
-def fit_params(sales: DataFrame, date_col: str = "OrderDate", qty_col: str = "OrderQuantity") -> DataFrame:
-    """Per product: n, intercept a, slope b and the 7 weekday effects (relative to the first day).
+def product_sums(sales: DataFrame, date_col: str = "OrderDate", qty_col: str = "OrderQuantity", also: tuple[str, ...] = ()) -> DataFrame:
+    """Per product, written once: first and last sale day, units, units * day, units by weekday class, and sums of the ``also`` columns.
 
-    Single aggregation over the fact rows (sums of y, y*day and y per absolute
-    weekday class); everything else is closed-form.
+    A product's lines are few and spread over all tasks, and the sums of one line are much wider than the line. So the lines move, by product
+    and weekday, and are summed where they meet; only those sums, at most 7 rows a product, move on, before they
+    are turned into columns. A product that most lines share is dealt to 7 tasks.
     """
     d = _daynum(F.col(date_col))
-    q = F.col(qty_col).cast("bigint")
-    per = sales.groupBy("ProductKey").agg(
-        F.min(d).alias("d0"), F.max(d).alias("d1"), F.sum(q).alias("Sy"), F.sum(q * d).alias("Syd"),
-        *[F.sum(F.when(F.pmod(d, F.lit(7)) == k, q).otherwise(F.lit(0))).alias(f"Sk{k}") for k in range(7)])
+    lines = sales.select("ProductKey", d.alias("__d"), F.col(qty_col).cast("bigint").alias("__q"), *also)
+    by_weekday = lines.repartition("ProductKey", F.pmod("__d", F.lit(7))).groupBy("ProductKey", F.pmod("__d", F.lit(7)).alias("__k")).agg(
+        F.min("__d").alias("d0"), F.max("__d").alias("d1"), F.sum("__q").alias("Sy"), F.sum(F.col("__q") * F.col("__d")).alias("Syd"),
+        *[F.sum(c).alias(c) for c in also])
+    return materialize(by_weekday.repartition("ProductKey").groupBy("ProductKey").agg(
+        F.min("d0").alias("d0"), F.max("d1").alias("d1"), F.sum("Sy").alias("Sy"), F.sum("Syd").alias("Syd"),
+        *[F.sum(F.when(F.col("__k") == k, F.col("Sy")).otherwise(F.lit(0))).alias(f"Sk{k}") for k in range(7)],
+        *[F.sum(c).alias(c) for c in also]))
+
+
+def fit_params(sales: DataFrame, date_col: str = "OrderDate", qty_col: str = "OrderQuantity", sums: DataFrame | None = None) -> DataFrame:
+    """Per product: n, intercept a, slope b and the 7 weekday effects (relative to the first day).
+
+    Sums over the fact rows (units, units * day and units per absolute weekday class: ``product_sums``, unless the
+    caller has them as ``sums``); everything else is closed-form.
+    """
     # one row per product, written once: the global last day comes from it and the fact is scanned once
-    per = materialize(per)
+    per = sums if sums is not None else product_sums(sales, date_col, qty_col)
     p = per.crossJoin(F.broadcast(per.agg(F.max("d1").alias("dmax"))))
     n = (F.col("dmax") - F.col("d0") + 1).cast("bigint")
     p = p.select("ProductKey", "d0", "dmax", "Sy", n.alias("n"),
@@ -112,9 +125,10 @@ def fit_params(sales: DataFrame, date_col: str = "OrderDate", qty_col: str = "Or
 
 
 def forecast_demand(sales: DataFrame, horizon: int = HORIZON_DAYS, date_col: str = "OrderDate",
-                    qty_col: str = "OrderQuantity") -> DataFrame:
+                    qty_col: str = "OrderQuantity", sums: DataFrame | None = None) -> DataFrame:
     """(ProductKey, ds, yhat) for the ``horizon`` days after the global last day."""
-    p = fit_params(sales, date_col, qty_col)
+    # the products move before their days are made, so that what groups the days by product finds them together
+    p = fit_params(sales, date_col, qty_col, sums).repartition("ProductKey")
     h = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")
     x = p.select("ProductKey", "n", "a", "b", "effects", "dmax", h)
     t = F.col("n") - 1 + F.col("h")

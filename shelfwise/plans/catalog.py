@@ -92,8 +92,11 @@ def _weekly(w: Warehouse) -> DataFrame:
 
 def _status(w: Warehouse) -> DataFrame:
     stock = star.stock_position(w.fact_product_inventory)
-    ranked = inventory.rank_demand(inventory.demand(stock, _weekly(w)))
-    return inventory.inventory_status(inventory.reorder_policy(ranked), inventory.margin(w.fact_internet_sales))
+    # the order lines are joined and summed once, for the forecast and for the margin
+    sums = forecast.product_sums(w.fact_internet_sales, also=("Profit", "SalesAmount"))
+    weekly = forecast.weekly_buckets(forecast.forecast_demand(w.fact_internet_sales, sums=sums))
+    ranked = inventory.rank_demand(inventory.demand(stock, weekly))
+    return inventory.inventory_status(inventory.reorder_policy(ranked), inventory.margin(sums))
 
 
 def _stored_status(w: Warehouse) -> DataFrame:

@@ -1,10 +1,12 @@
 import datetime as dt
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import rows
 from shelfwise.operators import forecast, inventory
+from shelfwise.plans import catalog as C
 
 D = dt.date
 
@@ -114,3 +116,28 @@ def test_margin_zero_sales_is_null(spark):
                  F.col("SalesAmount").cast("decimal(18,4)").alias("SalesAmount"))
     got = {r["ProductKey"]: r["Margin_Pct"] for r in rows(inventory.margin(s))}
     assert got == {1: None, 2: 0.3}
+
+
+def test_sums_of_products_serve_forecast_and_margin(spark):
+    """The order lines are joined and summed once; null and repeated keys, days and quantities count as in the lines."""
+    day = lambda n: dt.date(2000, 1, 1) + dt.timedelta(days=n)
+    sold = [(p, day(n * n % 40), n % 5, Decimal(n), Decimal(2 * n + 1)) for p in (1, 2, 3, None) for n in range(12)]
+    sold += [(4, None, 3, Decimal(1), None), (4, day(2), None, None, Decimal(0)), (5, day(1), 2, Decimal(1), Decimal(0))] + sold[:5]
+    s = spark.createDataFrame(sold, "ProductKey long, OrderDate date, OrderQuantity int, Profit decimal(18,4), SalesAmount decimal(18,4)")
+    sums = forecast.product_sums(s, also=("Profit", "SalesAmount"))
+    by_key = lambda df: {r["ProductKey"]: r for r in rows(df)}
+    got, units = by_key(sums), {}
+    for p, d, q, *_ in sold:
+        k = (d - dt.date(1970, 1, 1)).days % 7 if d else None
+        units.setdefault(p, [0] * 7)
+        for i in range(7):
+            units[p][i] += (q or 0) if i == k else 0
+    assert {p: [r[f"Sk{k}"] or 0 for k in range(7)] for p, r in got.items()} == units
+    assert {p: r["Sy"] for p, r in got.items()} == {p: sum(x[2] or 0 for x in sold if x[0] == p) for p in units}
+    assert by_key(inventory.margin(sums)) == by_key(inventory.margin(s))
+    assert by_key(forecast.fit_params(s, sums=sums)) == by_key(forecast.fit_params(s))
+
+
+def test_status_scans_the_order_lines_once_for_forecast_and_margin(spark):
+    plan = C.q_inventory_status(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "orders" not in plan  # the margin's sums are those that the forecast has made
