@@ -156,9 +156,20 @@ class LicenseModel:
         return _classify(rows, column, self.vectoriser, self.classifier, self.families)
 
 
+def held_grams(text: Column, vocabulary: list[str]) -> Column:
+    """The 1- and 2-grams of a text that the vocabulary holds, with repeats. Words outside it become null first, so only pairs of
+    known words are joined and looked up. The one-element arrays bind the words once."""
+    single, double = [g for g in vocabulary if " " not in g], [g for g in vocabulary if " " in g]
+    ends = sorted({w for g in double for w in g.split(" ")} | set(single))
+    known = lambda t: F.transform(t, lambda w: F.when(w.isin(ends), w))
+    joined = lambda t: F.transform(t, lambda w, i: F.concat(w, F.lit(" "), F.get(t, i + 1)))
+    held = lambda t: F.concat(F.filter(t, lambda w: w.isin(single)), F.filter(joined(t), lambda p: p.isin(double)))
+    return F.get(F.transform(F.transform(F.array(words(text)), known), held), F.lit(0))
+
+
 def _vectorise(rows: DataFrame, column: str, vectoriser: CountVectorizerModel) -> DataFrame:
-    grams = F.get(F.transform(F.array(words(F.col(column))), lambda t: F.concat(t, bigrams(t))), F.lit(0))
-    return vectoriser.transform(rows.withColumn("__grams", grams))
+    # the vectoriser passes over other grams
+    return vectoriser.transform(rows.withColumn("__grams", held_grams(F.col(column), vectoriser.vocabulary)))
 
 
 def _scored(rows, kept, classifier, families) -> DataFrame:
@@ -190,9 +201,7 @@ def gram_sets(docs: DataFrame) -> DataFrame:
 
     ``learn`` parts the paragraphs by hash into those to learn from and those to calibrate on; ``number`` deals them to the templates.
     """
-    known = vocabulary(docs.sparkSession)
-    grams = F.get(F.transform(F.array(words(F.col("paragraph"))), lambda t: F.concat(t, bigrams(t))), F.lit(0))
-    held = F.array_sort(F.array_distinct(F.filter(grams, lambda g: g.isin(known))))
+    held = F.array_sort(F.array_distinct(held_grams(F.col("paragraph"), vocabulary(docs.sparkSession))))
     # a generator stands between, so that the words are made once
     lines = paragraphs(docs).select(F.xxhash64("paragraph").alias("h"), F.explode(F.array(held)).alias("__grams")).groupBy("h", "__grams").agg(F.count(F.lit(1)))
     return lines.groupBy("__grams", (F.col("h") % 2 == 0).alias("learn"), F.pmod("h", F.lit(sum(map(len, TEMPLATES.values())))).cast("int").alias("number")).agg(F.count(F.lit(1)).alias("n"))
@@ -277,8 +286,9 @@ def windows(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     keys = sorted({k for w in known for k in w.keys})
     pairs_known = sorted({p for w in known for p in w.pairs})
     longest = max(w.window for w in known)
-    lower = F.lower("text")
-    asked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(reduce(lambda a, b: a | b, [F.contains(lower, F.lit(k)) for k in keys]))
+    # the one-element array binds the text in lower case, which is made once and not for every key
+    has_key = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(k)) for k in keys])
+    asked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.get(F.transform(F.array(F.lower("text")), has_key), F.lit(0)))
     # a blank line is a word of its own, without letters, which no window crosses
     tokens_of = lambda line: F.when(line.rlike(r"^[ \t\r]*$"), F.array(F.lit(""))).otherwise(words(line))
     lined = F.flatten(F.transform(F.split("text", "\n"), lambda line, i: F.transform(tokens_of(line), lambda w: F.struct(w.alias("w"), i.alias("line")))))

@@ -8,6 +8,7 @@ import sys
 import textwrap
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shelfwise.llm import decontam, licenses
 from shelfwise.llm.common import table
@@ -268,3 +269,14 @@ def test_license_model_learns_from_every_paragraph(spark):
         t = licenses.threshold_of(scored, rate)
         assert sum(n for p, n in ((0.99, 2), (0.8, 3), (0.6, 7), (0.1, 988)) if p >= t) == reach, rate
     assert licenses.threshold_of(scored.where("false"), 0.001) == licenses.LEAST_PROBABILITY
+
+
+def test_held_grams_are_the_known_grams_of_a_text(spark):
+    known = licenses.vocabulary(spark)
+    some = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    texts = [*some, *licenses.LOOK_ALIKES, "", "zzz", "The MIT\tlicense, the MIT License", " ".join(t[::-1] for t in some), " ".join(some).upper(), "x license x version 3", "license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: sorted(r.g) for r in df.select("i", licenses.held_grams(F.col("t"), known).alias("g")).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(licenses.WORD, t.lower())
+        assert got[i] == sorted(g for g in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))] if g in set(known)), t
