@@ -16,6 +16,8 @@ from shelfwise.session import checkpoint_dir
 
 HASH_BUCKETS = 1 << 40
 SLICE_ROWS = 512
+#: for tables whose rows are blocks of up to megabytes: a reader holds up to 4,096 rows of a row group in memory at once, a writer all of a page
+WIDE_ROWS = {"parquet.block.row.count.limit": "16", "parquet.page.size.row.check.min": "1"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +30,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage with files that outlive any executor; several consumers
-    of the result then read the files instead of repeating the work.
+    of the result then read the files instead of repeating the work. ``wide``: rows are blocks (see ``WIDE_ROWS``).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**WIDE_ROWS if wide else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

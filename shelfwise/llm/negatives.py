@@ -291,7 +291,8 @@ def descend(anchors: DataFrame, candidates: DataFrame, windows: int, k: int, sam
     """(anchor_id, slot, vec_id, score): the k best candidates of each window of every anchor, over all trees.
 
     ``same`` asks for the anchor's label (without its own id), else for the other labels. The grid's two sides are the
-    measured numbers of blocks over what one cell takes.
+    measured numbers of blocks over what one cell takes. The cells always meet in a shuffle: the planner knows the size of a side
+    before its blocks are copied to their cells, and would broadcast many times that.
     """
     n_trees, n_anchors = candidates.count(), anchors.count()
     down, across = -(-max(n_trees, 1) // CELL_TREES), -(-max(n_anchors, 1) // CELL_ANCHORS)
@@ -302,7 +303,7 @@ def descend(anchors: DataFrame, candidates: DataFrame, windows: int, k: int, sam
 
     left = side(anchors, "a_ids", "across", across, "down", down)
     right = side(candidates, "ids", "down", down, "across", across)
-    cells = left.join(right, ["dim", "across", "down"]).select(
+    cells = left.hint("merge").join(right, ["dim", "across", "down"]).select(
         "dim", "a_ids", "a_labels", "a_points", "a_windows", "points", "labels", "ids", "id_ends", "nodes", "radii")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,11 +353,11 @@ def hard_negatives(embeddings: DataFrame, positives: int = POSITIVES, negatives:
     Trees, anchors and positives are written to the shared folder when called; the second search runs when the result is read.
     """
     rows = usable(embeddings, scale)
-    candidates = materialize(trees(rows, keep=max(positives + 1, negatives)), "trees")
+    candidates = materialize(trees(rows, keep=max(positives + 1, negatives)), "trees", wide=True)
     first = rows.where(F.col("vec_id") % anchor_every == 0).groupBy("vec_id").agg(F.min(F.struct("label", "vector")).alias("a"))
     anchors = materialize(first.select("vec_id", "a.label", "a.vector"), "anchors")
     everything = anchors.select("*", F.array(F.lit(NO_LOW)).alias("lows"), F.array(F.lit(NO_HIGH)).alias("highs"))
-    best = descend(materialize(anchor_blocks(everything, 1), "anchor-blocks"), candidates, 1, positives, same=True)
+    best = descend(materialize(anchor_blocks(everything, 1), "anchor-blocks", wide=True), candidates, 1, positives, same=True)
     best = materialize(best.select("anchor_id", (F.col("rank") - 1).alias("slot"), F.col("vec_id").alias("positive_id"),
                                    F.col("score").alias("positive_score")), "positives")
     # lowest * positive <= 100 * negative <= highest * positive, in decimals: scores may take up to 62 bits
@@ -366,7 +367,7 @@ def hard_negatives(embeddings: DataFrame, positives: int = POSITIVES, negatives:
     ranges = best.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("slot", low.alias("low"), high.alias("high")))).alias("w"))
     windowed = anchors.join(ranges, anchors["vec_id"] == ranges["anchor_id"]).select(
         "vec_id", "label", "vector", F.col("w.low").alias("lows"), F.col("w.high").alias("highs"))
-    found = descend(materialize(anchor_blocks(windowed, positives), "windows"), candidates, positives, negatives, same=False)
+    found = descend(materialize(anchor_blocks(windowed, positives), "windows", wide=True), candidates, positives, negatives, same=False)
     out = found.select("anchor_id", "slot", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"),
                        F.col("score").alias("negative_score")).join(best, ["anchor_id", "slot"])
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -6,9 +6,11 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow.dataset as ds
 import pytest
 
 from shelfwise.llm import clustering, negatives
+from shelfwise.llm.common import materialize
 from shelfwise.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -142,6 +144,31 @@ def test_negative_edge_cases(spark):
     assert ran(negatives.hard_negatives(frame(spark, rows + rows))) == in_order(mined(rows))
 
 
+def test_cells_are_not_broadcast(spark):
+    """The planner knows a side's size only before its blocks are copied to the cells; joins of the cells shuffle at any size."""
+    rows = negatives.usable(frame(spark, [(i, [float(i % 7), float(i % 5)], i % 3) for i in range(200)]))
+    blocks = negatives.anchor_blocks(rows.selectExpr("*", "array(0L) lows", "array(9L) highs"), 1, size=20)
+    found = negatives.descend(materialize(blocks, "test-blocks"), materialize(negatives.trees(rows, size=50), "test-trees"), 1, 3, same=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [dim" in plan and "BroadcastHashJoin [dim" not in plan
+
+
+def test_blocks_are_read_in_small_groups(spark, monkeypatch):
+    """A reader holds a row group's rows at once: no group of trees is large, whatever their number."""
+    monkeypatch.setattr(negatives.trees, "__defaults__", (10, 6))
+    written = []
+
+    def kept(df, name, **options):
+        written.append((name, materialize(df, name, **options)))
+        return written[-1][1]
+
+    monkeypatch.setattr(negatives, "materialize", kept)
+    negatives.hard_negatives(frame(spark, [(i, [float(i % 71), float(i)], i % 3) for i in range(400)]).coalesce(1))
+    trees = dict(written)["trees"]
+    groups = [g.num_rows for f in ds.dataset([x.removeprefix("file://") for x in trees.inputFiles()]).get_fragments() for g in f.row_groups]
+    assert sum(groups) == 40 and max(groups) <= 16
+
+
 def test_cover_tree_invariants():
     rng = np.random.default_rng(2)
     points = np.floor(rng.normal(size=(12, 6))[rng.integers(0, 12, 400)] * 200 + rng.normal(size=(400, 6)) * 20).astype(np.int64)
