@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.derived import Derived, column_by_column
+
 
 @dataclass
 class DimSpec:
@@ -29,6 +31,7 @@ class DimSpec:
     small: bool = False            # size bounded by construction (calendar): broadcast explicitly
     late: bool = False             # few rows, so that its join shuffles nothing: joined after those that may
     how: str = "left"
+    made: Derived | None = None    # how ``df`` is derived from narrow columns, which a whole view moves instead
 
     def out_columns(self) -> list[tuple[str, str]]:
         cols = self.df.columns
@@ -48,7 +51,7 @@ def carried(name: str, col: str) -> str:
     return f"__{name}__{col}"
 
 
-def star_join(fact: DataFrame, dims: list[DimSpec], need: set[str] | None = None) -> DataFrame:
+def star_join(fact: DataFrame, dims: list[DimSpec], need: set[str] | None = None, made: Derived | None = None) -> DataFrame:
     """Left-join ``fact`` to each dimension in order; see module doc.
 
     ``need``: if given, dimensions contributing none of these columns (and carrying
@@ -59,7 +62,13 @@ def star_join(fact: DataFrame, dims: list[DimSpec], need: set[str] | None = None
     (snowflake) joins that one before the facts do, so wide fact rows never move for it; the few columns of a view with
     ``need`` move cheaply, and there the planner knows each dimension's size. Of the others, the narrowest join first and the
     ``late`` and ``small`` ones last, so that rows are as narrow as they can be whenever a join shuffles them.
+
+    ``made`` (of the fact) and ``DimSpec.made``, used in whole views: what a shuffle moves are the columns a table is derived from; the
+    derived ones are computed after the last join, those of a dimension only where its key was met. A dimension that may shuffle and is
+    keyed on a column of the fact's headers joins the headers before their many lines do.
     """
+    if need is not None:
+        made = None
     active = list(dims)
     if need is not None:
         needed = {c.lower() for c in need}
@@ -79,6 +88,10 @@ def star_join(fact: DataFrame, dims: list[DimSpec], need: set[str] | None = None
     sides: dict[str, DataFrame] = {}  # name of an outer dimension -> its frame, snowflake dimensions joined
     keys: dict[str, list[str]] = {}
     home = {c.lower(): "" for c in fact.columns}  # column -> the outer dimension it comes from
+    inside = {c.lower(): e for c, e in (made.columns if made else {c: F.col(c) for c in fact.columns}).items()}  # column -> its value in the frame it comes from
+    value = dict(inside)  # column -> its value after the joins
+    taken = made.names() if made else set()
+    late = ""  # a column that is derived after the joins
     for spec in active:
         lkeys, rkeys = _keys(spec.left_on), _keys(spec.right_on)
         tmp = [f"__k_{spec.name}_{i}" for i in range(len(rkeys))]
@@ -89,15 +102,25 @@ def star_join(fact: DataFrame, dims: list[DimSpec], need: set[str] | None = None
                                  "exclude or rename it")
             seen.add(alias.lower())
             order.append(alias)
-        side = spec.df.select(
-            *[F.col(k).alias(t) for k, t in zip(rkeys, tmp)],
-            *[F.col(src).alias(alias) for src, alias in cols],
-            *[F.col(c).alias(carried(spec.name, c)) for c in spec.carry])
+        own = spec.made if need is None and len(rkeys) == 1 else None
+        given = [*cols, *[(c, carried(spec.name, c)) for c in spec.carry]]
+        if own and own.headers is None and not own.names() & (taken | seen | set(home)):
+            side, tmp = own.base, [own.key]
+            taken |= own.names()
+            # literals and CASE chains give values for null columns too
+            met = F.col(own.key).isNotNull()
+            inside.update({alias.lower(): own.columns[src] for src, alias in given})
+            value.update({alias.lower(): F.when(met, own.columns[src]) for src, alias in given})
+            late = late or (cols[0][1].lower() if cols else "")
+        else:
+            side = spec.df.select(*[F.col(k).alias(t) for k, t in zip(rkeys, tmp)], *[F.col(src).alias(alias) for src, alias in given])
+            inside.update({alias.lower(): F.col(alias) for _, alias in given})
+            value.update({alias.lower(): F.col(alias) for _, alias in given})
         owners = {home[k.lower()] for k in lkeys}
         owner = owners.pop() if len(owners) == 1 else ""
         if owner and need is None and spec.how == "left" and not (spec.small or spec.late):
-            cond = [sides[owner][lk] == side[t] for lk, t in zip(lkeys, tmp)]
-            sides[owner] = sides[owner].join(side, cond, spec.how).drop(*tmp)
+            cond = [inside[lk.lower()] == F.col(t) for lk, t in zip(lkeys, tmp)]
+            sides[owner] = sides[owner].join(side, cond, spec.how).drop(*[t for t in tmp if t.startswith("__")])
         else:
             owner = spec.name
             outer.append(spec)
@@ -107,15 +130,26 @@ def star_join(fact: DataFrame, dims: list[DimSpec], need: set[str] | None = None
     def rank(spec: DimSpec) -> tuple:
         return (spec.small, spec.late, len(sides[spec.name].columns))
 
-    # only joins that keep every fact row, on keys of the fact, may change places
-    free = all(s.how == "left" and all(home[k.lower()] == "" for k in _keys(s.left_on)) for s in outer)
-    out = fact
-    for spec in sorted(outer, key=rank) if free else outer:
+    def joined(out: DataFrame, spec: DimSpec) -> DataFrame:
         side, tmp = sides[spec.name], keys[spec.name]
         side = F.broadcast(side) if spec.small else side
-        cond = [out[lk] == side[t] for lk, t in zip(_keys(spec.left_on), tmp)]
-        out = out.join(side, cond, spec.how).drop(*tmp)
-    return out.select(*order)
+        cond = [value[lk.lower()] == F.col(t) for lk, t in zip(_keys(spec.left_on), tmp)]
+        return out.join(side, cond, spec.how).drop(*[t for t in tmp if t.startswith("__")])
+
+    # only joins that keep every fact row, on keys of the fact, may change places
+    free = all(s.how == "left" and all(home[k.lower()] == "" for k in _keys(s.left_on)) for s in outer)
+    rest, out = sorted(outer, key=rank) if free else outer, fact
+    if made:
+        headers = made.headers
+        early = [s for s in rest if free and headers is not None and not (s.small or s.late) and set(_keys(s.left_on)) <= set(made.of_header)]
+        for spec in early:
+            headers = joined(headers, spec)
+        rest, out = [s for s in rest if s not in early], made.joined(headers)
+    for spec in rest:
+        out = joined(out, spec)
+    if late:
+        value[late] = column_by_column(value[late])
+    return out.select(*[value[c.lower()].alias(c) for c in order])
 
 
 # ------------------------------------------------------------------ views
@@ -139,6 +173,10 @@ def v_fact_finance(w) -> DataFrame:
         DimSpec("e", w.dim_date, "DateKey", "DateKey", small=True)])
 
 
+def _made(w, table: str) -> Derived | None:
+    return getattr(w, "made", lambda name: None)(table)
+
+
 def _product_chain(w, left_on: str = "ProductKey") -> list[DimSpec]:
     """product (all but key) -> subcategory name -> category name (snowflake).
 
@@ -157,10 +195,10 @@ def _product_chain(w, left_on: str = "ProductKey") -> list[DimSpec]:
 def v_fact_internet_sales(w, need: set[str] | None = None) -> DataFrame:
     return star_join(w.fact_internet_sales, [
         DimSpec("b", w.dim_currency, "CurrencyKey", "CurrencyKey", pick=["CurrencyName"], late=True),
-        DimSpec("c", w.dim_customer, "CustomerKey", "CustomerKey"),
+        DimSpec("c", w.dim_customer, "CustomerKey", "CustomerKey", made=_made(w, "dim_customer")),
         *_product_chain(w),
         DimSpec("g", w.dim_date, "OrderDateKey", "DateKey", small=True),
-    ], need=need)
+    ], need=need, made=_made(w, "fact_internet_sales"))
 
 
 def v_fact_internet_sales_reason(w) -> DataFrame:
@@ -183,7 +221,7 @@ def v_fact_reseller_sales(w, need: set[str] | None = None) -> DataFrame:
         DimSpec("g", w.dim_date, "OrderDateKey", "DateKey", small=True),
         DimSpec("h", w.dim_reseller, "ResellerKey", "ResellerKey", except_=("ProductLine",),
                 rename={"ProductLine": "ResellerProductLine"}),
-    ], need=need)
+    ], need=need, made=_made(w, "fact_reseller_sales"))
 
 
 def v_fact_sales_quota(w) -> DataFrame:

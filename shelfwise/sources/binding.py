@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import date_key, fiscal_year, money
+from shelfwise.functions.derived import Derived
 from shelfwise.session import size_shuffles
 from shelfwise.sources.raw import read_table
 
@@ -91,53 +92,51 @@ class Warehouse:
     def few(self, name: str) -> bool:
         return self._rows(name) <= FEW_ROWS
 
+    def made(self, table: str) -> Derived | None:
+        """How a wide table is derived from the raw columns, for joins that had better move only those; None: not given."""
+        return getattr(self, f"_{table}", None)
+
     # ---------------------------------------------------------------- facts
-    def _sales_lines(self) -> DataFrame:
-        l = self.raw("lineitem")
-        o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        j = l.join(o, l.l_orderkey == o.o_orderkey, "inner")
-        d = F.to_date("o_orderdate")
+    def _sales(self, **keys: F.Column) -> Derived:
+        """Sales lines with the given key columns after the product's; an order gives its date and what ``o_custkey`` alone does."""
+        lines = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("l_shipday"),
+                                            "l_quantity", "l_extendedprice", "l_discount")
+        orders = self.raw("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o_orderday"))
         sales = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
         cost = F.col("l_extendedprice") * F.lit(0.6)
-        return j.select(
-            F.col("l_orderkey").alias("SalesOrderNumber"),
-            F.col("l_linenumber").alias("SalesOrderLineNumber"),
-            F.col("l_partkey").alias("ProductKey"),
-            F.col("o_custkey"),
-            F.col("l_suppkey"),
-            date_key(d).alias("OrderDateKey"),
-            d.alias("OrderDate"),
-            F.to_date("l_shipdate").alias("ShipDate"),
-            F.col("l_quantity").cast("int").alias("OrderQuantity"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("UnitPrice"),
-            money("l_extendedprice").alias("ExtendedAmount"),
-            money(sales).alias("SalesAmount"),
-            money(cost).alias("TotalProductCost"),
-            (money(sales) - money(cost)).cast("decimal(18,4)").alias("Profit"),
-        )
+        columns = {
+            "SalesOrderNumber": F.col("l_orderkey"),
+            "SalesOrderLineNumber": F.col("l_linenumber"),
+            "ProductKey": F.col("l_partkey"),
+            **keys,
+            "CurrencyKey": (F.col("o_custkey") % NUM_NATIONS).cast("int"),
+            "OrderDateKey": date_key("o_orderday"),
+            "OrderDate": F.col("o_orderday"),
+            "ShipDate": F.col("l_shipday"),
+            "OrderQuantity": F.col("l_quantity").cast("int"),
+            "UnitPrice": F.col("l_extendedprice") / F.col("l_quantity"),
+            "ExtendedAmount": money("l_extendedprice"),
+            "SalesAmount": money(sales),
+            "TotalProductCost": money(cost),
+            "Profit": (money(sales) - money(cost)).cast("decimal(18,4)"),
+        }
+        return Derived(lines, columns, headers=orders, on=("l_orderkey", "o_orderkey"), of_header=("CustomerKey", "CurrencyKey", "OrderDateKey", "OrderDate"))
+
+    @cached_property
+    def _fact_internet_sales(self) -> Derived:
+        return self._sales(CustomerKey=F.col("o_custkey"))
 
     @cached_property
     def fact_internet_sales(self) -> DataFrame:
-        s = self._sales_lines()
-        return s.select(
-            "SalesOrderNumber", "SalesOrderLineNumber", "ProductKey",
-            F.col("o_custkey").alias("CustomerKey"),
-            (F.col("o_custkey") % NUM_NATIONS).cast("int").alias("CurrencyKey"),
-            "OrderDateKey", "OrderDate", "ShipDate", "OrderQuantity", "UnitPrice",
-            "ExtendedAmount", "SalesAmount", "TotalProductCost", "Profit",
-        )
+        return self._fact_internet_sales.frame()
+
+    @cached_property
+    def _fact_reseller_sales(self) -> Derived:
+        return self._sales(ResellerKey=F.col("l_suppkey"), EmployeeKey=(F.col("l_suppkey") % NUM_NATIONS).cast("int"))
 
     @cached_property
     def fact_reseller_sales(self) -> DataFrame:
-        s = self._sales_lines()
-        return s.select(
-            "SalesOrderNumber", "SalesOrderLineNumber", "ProductKey",
-            F.col("l_suppkey").alias("ResellerKey"),
-            (F.col("l_suppkey") % NUM_NATIONS).cast("int").alias("EmployeeKey"),
-            (F.col("o_custkey") % NUM_NATIONS).cast("int").alias("CurrencyKey"),
-            "OrderDateKey", "OrderDate", "ShipDate", "OrderQuantity", "UnitPrice",
-            "ExtendedAmount", "SalesAmount", "TotalProductCost", "Profit",
-        )
+        return self._fact_reseller_sales.frame()
 
     @cached_property
     def fact_internet_sales_reason(self) -> DataFrame:
@@ -273,40 +272,44 @@ class Warehouse:
         )
 
     @cached_property
-    def dim_customer(self) -> DataFrame:
-        c = self.raw("customer")
+    def _dim_customer(self) -> Derived:
+        c = self.raw("customer").select("c_custkey", "c_nationkey", "c_name", "c_acctbal", "c_mktsegment")
         k = F.col("c_custkey")
-        return c.select(
-            k.alias("CustomerKey"),
-            F.col("c_nationkey").alias("GeographyKey"),
-            F.concat(F.lit("AW"), F.lpad(k.cast("string"), 8, "0")).alias("CustomerAlternateKey"),
-            F.split_part("c_name", F.lit("#"), F.lit(1)).alias("FirstName"),
-            F.split_part("c_name", F.lit("#"), F.lit(2)).alias("LastName"),
-            F.date_add(F.lit(dt.date(1940, 1, 1)), (k * 37 % 18000).cast("int")).alias("BirthDate"),
-            F.when(k % 2 == 0, "M").otherwise("S").alias("MaritalStatus"),
-            F.when(k % 17 == 0, F.lit(None)).when(k % 5 < 2, "F").otherwise("M").alias("Gender"),
-            F.concat(F.lit("customer"), k.cast("string"), F.lit("@example.com")).alias("EmailAddress"),
-            ((F.col("c_acctbal") + F.lit(1000.0)) * F.lit(10.0)).alias("YearlyIncome"),
-            (k % 6).cast("int").alias("TotalChildren"),
-            (k % 3).cast("int").alias("NumberChildrenAtHome"),
-            _pick(k, EDUCATION).alias("EnglishEducation"),
-            F.col("c_mktsegment").alias("EnglishOccupation"),
-            F.when(k % 3 == 0, "0").otherwise("1").alias("HouseOwnerFlag"),
-            (k % 5).cast("int").alias("NumberCarsOwned"),
-            F.concat((k % 900 + 100).cast("string"), F.lit(" Market Street")).alias("AddressLine1"),
-            F.concat(F.lit("555-"), F.lpad((k % 10000).cast("string"), 4, "0")).alias("Phone"),
-            F.date_add(F.lit(dt.date(1995, 1, 1)), (k % 365).cast("int")).alias("DateFirstPurchase"),
-            _pick(k, COMMUTE).alias("CommuteDistance"),
-            F.when(k % 9 == 0, "Dr.").alias("Title"),
-            F.substring(F.lit("ABCDEFGHIJ"), (k % 10 + 1).cast("int"), F.lit(1)).alias("MiddleName"),
-            F.lit("0").alias("NameStyle"),
-            F.when(k % 50 == 0, "Jr.").alias("Suffix"),
-            F.concat(F.lit("es:"), _pick(k, EDUCATION)).alias("SpanishEducation"),
-            F.concat(F.lit("fr:"), _pick(k, EDUCATION)).alias("FrenchEducation"),
-            F.concat(F.lit("es:"), F.col("c_mktsegment")).alias("SpanishOccupation"),
-            F.concat(F.lit("fr:"), F.col("c_mktsegment")).alias("FrenchOccupation"),
-            F.when(k % 8 == 0, F.concat(F.lit("Unit "), (k % 40).cast("string"))).alias("AddressLine2"),
-        )
+        return Derived(c, {
+            "CustomerKey": k,
+            "GeographyKey": F.col("c_nationkey"),
+            "CustomerAlternateKey": F.concat(F.lit("AW"), F.lpad(k.cast("string"), 8, "0")),
+            "FirstName": F.split_part("c_name", F.lit("#"), F.lit(1)),
+            "LastName": F.split_part("c_name", F.lit("#"), F.lit(2)),
+            "BirthDate": F.date_add(F.lit(dt.date(1940, 1, 1)), (k * 37 % 18000).cast("int")),
+            "MaritalStatus": F.when(k % 2 == 0, "M").otherwise("S"),
+            "Gender": F.when(k % 17 == 0, F.lit(None)).when(k % 5 < 2, "F").otherwise("M"),
+            "EmailAddress": F.concat(F.lit("customer"), k.cast("string"), F.lit("@example.com")),
+            "YearlyIncome": ((F.col("c_acctbal") + F.lit(1000.0)) * F.lit(10.0)),
+            "TotalChildren": (k % 6).cast("int"),
+            "NumberChildrenAtHome": (k % 3).cast("int"),
+            "EnglishEducation": _pick(k, EDUCATION),
+            "EnglishOccupation": F.col("c_mktsegment"),
+            "HouseOwnerFlag": F.when(k % 3 == 0, "0").otherwise("1"),
+            "NumberCarsOwned": (k % 5).cast("int"),
+            "AddressLine1": F.concat((k % 900 + 100).cast("string"), F.lit(" Market Street")),
+            "Phone": F.concat(F.lit("555-"), F.lpad((k % 10000).cast("string"), 4, "0")),
+            "DateFirstPurchase": F.date_add(F.lit(dt.date(1995, 1, 1)), (k % 365).cast("int")),
+            "CommuteDistance": _pick(k, COMMUTE),
+            "Title": F.when(k % 9 == 0, "Dr."),
+            "MiddleName": F.substring(F.lit("ABCDEFGHIJ"), (k % 10 + 1).cast("int"), F.lit(1)),
+            "NameStyle": F.lit("0"),
+            "Suffix": F.when(k % 50 == 0, "Jr."),
+            "SpanishEducation": F.concat(F.lit("es:"), _pick(k, EDUCATION)),
+            "FrenchEducation": F.concat(F.lit("fr:"), _pick(k, EDUCATION)),
+            "SpanishOccupation": F.concat(F.lit("es:"), F.col("c_mktsegment")),
+            "FrenchOccupation": F.concat(F.lit("fr:"), F.col("c_mktsegment")),
+            "AddressLine2": F.when(k % 8 == 0, F.concat(F.lit("Unit "), (k % 40).cast("string"))),
+        }, key="c_custkey")
+
+    @cached_property
+    def dim_customer(self) -> DataFrame:
+        return self._dim_customer.frame()
 
     @cached_property
     def dim_promotion(self) -> DataFrame:

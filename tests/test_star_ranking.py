@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows
+from shelfwise.functions.derived import Derived
 from shelfwise.operators import ranking
 from shelfwise.operators.ranking import global_rank_table, with_percent_rank, with_percent_ranks, with_row_number
-from shelfwise.operators.star import DimSpec, star_join, stock_position
+from shelfwise.operators.star import DimSpec, star_join, stock_position, v_fact_internet_sales
 
 
 def test_star_join_keeps_fact_rows_and_nulls_unmatched(spark):
@@ -166,6 +167,53 @@ def test_star_joins_move_narrow_facts_and_snowflakes_not_at_all(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _joins(df):
+    """Keys of the sort-merge joins, outermost first."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line.split("SortMergeJoin [")[1].split("#")[0] for line in plan.split("\n") if "SortMergeJoin" in line]
+
+
+def test_derived_columns_are_those_of_plain_joins(spark, no_broadcast):
+    """Unknown and null keys, keys that repeat on every side, lines without an order, columns that are never null by themselves."""
+    lines = spark.createDataFrame([(1, 100, 2.0), (1, 100, 2.0), (2, 200, 3.0), (3, None, None), (4, 100, 1.0), (9, 100, 1.0), (None, 100, 1.0)],
+                                  "l_o long, l_p long, l_q double")
+    orders = spark.createDataFrame([(1, 10), (2, 11), (2, 11), (3, None), (4, 99), (5, 10), (None, 10)], "o_o long, o_c long")
+    people = spark.createDataFrame([(10, "ann"), (10, "abe"), (11, None), (None, "nil")], "c_k long, c_name string")
+    prod = spark.createDataFrame([(100, "p", 7), (200, "q", None)], "pk long, pname string, sk int")
+    sub = spark.createDataFrame([(7, "s7")], "sk int, sname string")
+    made = Derived(lines, {"id": F.col("l_o"), "pk": F.col("l_p"), "ck": F.col("o_c"), "twice": F.col("l_q") * 2}, headers=orders, on=("l_o", "o_o"), of_header=("ck",))
+    own = Derived(people, {"ck": F.col("c_k"), "half": F.when(F.col("c_k") % 2 == 0, "M").otherwise("S"), "fixed": F.lit("x"), "name": F.upper("c_name")}, key="c_k")
+
+    def view(late):
+        return star_join(made.frame(), [DimSpec("c", own.frame(), "ck", "ck", made=own if late else None), DimSpec("p", prod, "pk", "pk"),
+                                        DimSpec("s", sub, "sk", "sk")], made=made if late else None)
+
+    assert view(True).columns == view(False).columns and view(True).dtypes == view(False).dtypes
+    got = sorted(map(tuple, view(True).collect()), key=str)
+    assert got == sorted(map(tuple, view(False).collect()), key=str)
+    assert got == sorted([*[(1, 100, 10, 4.0, "M", "x", n, "p", 7, "s7") for n in ("ANN", "ABE") * 2], *[(2, 200, 11, 6.0, "S", "x", None, "q", None, None)] * 2,
+                          (3, *[None] * 9), (4, 100, 99, 2.0, None, None, None, "p", 7, "s7")], key=str)
+    assert _joins(view(True)) == ["l_p", "l_o", "o_c", "sk"]
+
+
+def test_internet_sales_move_raw_columns(spark, no_broadcast, monkeypatch):
+    """Customers join the orders before the order lines do, and the lines shuffle twice: for their orders and for the products."""
+    from shelfwise.sources import binding
+    monkeypatch.setattr(binding, "FEW_ROWS", 0)
+    view = v_fact_internet_sales(binding.bind(spark, "/root/testdata/sf0.001"))
+    joins = _joins(view)
+    assert joins.index("l_partkey") < joins.index("l_orderkey") < joins.index("o_custkey")
+    assert len(view.columns) == 62 and view.columns[:3] == ["SalesOrderNumber", "SalesOrderLineNumber", "ProductKey"]
+
+
 def test_shuffles_follow_the_rows(spark):
     from shelfwise import session
     before = {k: spark.conf.get(k) for k in (session.SHUFFLE_PARTITIONS, session.MERGE_SIZE)}
